@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space, and the line ends.
-WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0        "
-               "        　")
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 WHITE_SPACE_CLASS = "[" + WHITE_SPACE + "]"
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Section titles that hold no prose.
 SKIPPED_SECTIONS = ["see also", "references", "external links", "further reading", "notes",
@@ -20,14 +21,17 @@ SKIPPED_SECTIONS = ["see also", "references", "external links", "further reading
 NEGATION = r"(?iU)\b(not|no|prohibit\w*|forbid\w*)\b"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside array lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def words(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, WHITE_SPACE_CLASS + "+"))
+    return F.array_remove(F.split(text, WHITE_SPACE_CLASS + "+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -45,13 +49,16 @@ def is_skipped_section(title: Column) -> Column:
 
 def is_label_list(text: Column) -> Column:
     """True for a list of short terms rather than prose."""
-    rows = F.filter(F.transform(lines(strip(text)), strip), lambda l: l != "")
-    counts = F.transform(rows, word_count)
-    total = F.aggregate(counts, F.lit(0), lambda s, n: s + n)
-    short = F.size(F.filter(counts, lambda n: n <= 4))
-    return (F.when(F.size(rows) == 0, True)
-            .when(F.size(rows) < 3, total <= 4)
-            .otherwise(short / F.size(rows) > 0.6))
+    counts = F.filter(F.transform(lines(strip(text)), word_count), lambda n: n > 0)
+
+    def decide(ns: Column) -> Column:
+        total = F.aggregate(ns, F.lit(0), lambda s, n: s + n)
+        short = F.size(F.filter(ns, lambda n: n <= 4))
+        return (F.when(F.size(ns) == 0, True)
+                .when(F.size(ns) < 3, total <= 4)
+                .otherwise(short / F.size(ns) > 0.6))
+
+    return let(counts, decide)
 
 
 def is_negated(text: Column) -> Column:

@@ -28,15 +28,19 @@ RISK_START = (r"(?=\n[A-Z][A-Z\s,;:\-\.]{10,}\n)|(?=\nRisk Factor \p{Nd}+)|(?=\n
 def sections(text: Column) -> Column:
     """Section texts: heading line then body; the preamble is kept, empty bodies are not."""
     text = F.coalesce(text, F.lit(""))
-    bodies = F.split(text, HEADING)
-    headings = F.regexp_extract_all(text, F.lit(HEADING), F.lit(1))
-    preamble = F.filter(F.array(tx.strip(F.get(bodies, F.lit(0)))), lambda p: p != "")
-    rest = F.zip_with(headings, F.slice(bodies, F.lit(2), F.size(headings)),
-                      lambda h, b: F.struct(tx.strip(h).alias("h"), tx.strip(b).alias("b")))
-    headed = F.transform(F.filter(rest, lambda s: s["b"] != ""),
-                         lambda s: F.concat(s["h"], F.lit("\n"), s["b"]))
-    found = F.concat(preamble, headed)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+
+    def assemble(parts: Column) -> Column:
+        bodies, headings = parts["bodies"], parts["headings"]
+        preamble = F.filter(F.array(tx.strip(F.get(bodies, F.lit(0)))), lambda p: p != "")
+        rest = F.zip_with(headings, F.slice(bodies, F.lit(2), F.size(headings)),
+                          lambda h, b: F.struct(tx.strip(h).alias("h"), tx.strip(b).alias("b")))
+        return F.concat(preamble, F.transform(F.filter(rest, lambda s: s["b"] != ""),
+                                              lambda s: F.concat(s["h"], F.lit("\n"), s["b"])))
+
+    parts = F.struct(F.split(text, HEADING).alias("bodies"),
+                     F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)).alias("headings"))
+    return tx.let(tx.let(parts, assemble),
+                  lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))
 
 
 def split_title(section: Column) -> Column:
@@ -45,21 +49,26 @@ def split_title(section: Column) -> Column:
     A preamble of several lines loses its first line to the title; a section of
     one line keeps it as body too.
     """
-    rows = tx.lines(tx.strip(section))
-    title = tx.strip(F.get(rows, F.lit(0)))
-    body = F.when(F.size(rows) > 1, tx.strip(F.array_join(
-        F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), "\n"))).otherwise(section)
-    return F.struct(title.alias("title"), F.when(body == "", section).otherwise(body).alias("body"))
+    def name(rows: Column) -> Column:
+        body = F.when(F.size(rows) > 1, tx.strip(F.array_join(
+            F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), "\n"))).otherwise(section)
+        return F.struct(tx.strip(F.get(rows, F.lit(0))).alias("title"),
+                        F.coalesce(F.nullif(body, F.lit("")), section).alias("body"))
+
+    return tx.let(tx.lines(tx.strip(section)), name)
 
 
 def windows(text: Column, size: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
     """Overlapping word windows; a text of at most ``size`` words stays as it is."""
     step = size - overlap
-    all_words = tx.words(text)
-    last = F.ceil(F.greatest(F.size(all_words) - size, F.lit(0)) / step).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last),
-                      lambda i: F.array_join(F.slice(all_words, i * step + 1, size), " "))
-    return F.when(F.size(all_words) <= size, F.array(text)).otherwise(cut)
+
+    def cut(all_words: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(all_words) - size, F.lit(0)) / step).cast("int")
+        return F.when(F.size(all_words) <= size, F.array(text)).otherwise(F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(all_words, i * step + 1, size), " ")))
+
+    return tx.let(tx.words(text), cut)
 
 
 def section_rows(articles: DataFrame) -> DataFrame:
@@ -79,11 +88,12 @@ def chunk_articles(articles: DataFrame) -> DataFrame:
                      lambda s: ~tx.is_skipped_section(s["title"]) & ~tx.is_label_list(s["body"]))
     cut = F.flatten(F.transform(parts, lambda s: F.transform(
         windows(s["body"]), lambda w: F.struct(s["title"].alias("section_title"), w.alias("content")))))
-    kept = F.filter(cut, lambda c: tx.word_count(c["content"]) >= MIN_WORDS)
+    counted = F.transform(cut, lambda c: c.withField("token_estimate", tx.word_count(c["content"])))
+    kept = F.filter(counted, lambda c: c["token_estimate"] >= MIN_WORDS)
     return (articles.select("document_id", F.posexplode(kept).alias("sequence", "chunk"))
             .select(chunk_key(F.col("document_id"), F.col("sequence")).alias("chunk_id"),
-                    "document_id", "sequence", "chunk.section_title", "chunk.content")
-            .withColumn("token_estimate", tx.word_count(F.col("content"))))
+                    "document_id", "sequence", "chunk.section_title", "chunk.content",
+                    "chunk.token_estimate"))
 
 
 def chunk_key(document_id: Column, sequence: Column) -> Column:

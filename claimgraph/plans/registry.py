@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgraph.sources.derived import CHECK_VIEWS, Corpus
 
@@ -35,7 +37,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Corpus(spark, sf_dir))
+        out = fn(Corpus(spark, sf_dir))
+        # Whole numbers leave as 64-bit, the type the checking SQL counts in.
+        return out.select(*[F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+                            if isinstance(f.dataType, T.IntegerType) else F.col(f"`{f.name}`")
+                            for f in out.schema])
 
     return run
 

@@ -108,12 +108,12 @@ share("v_risk_chunks", f"""
     select cik || '_' || period || '_1a_' || lpad(cast(pos as string), 4, '0') as chunk_id, 'item1a' as source,
            cik, period, trim(piece, {WS}) as text, pos
     from (select cik, period, unnest(range(len(cuts))) as pos,
-                 unnest(list_transform(range(1, len(cuts) + 1), lambda k: substr(item1a, cuts[k],
-                     (case when k < len(cuts) then cuts[k + 1] else length(item1a) + 1 end) - cuts[k]))) as piece
-          from (select cik, period, item1a, list_concat([1], list_filter(range(1, length(item1a) + 1), lambda p:
-                    item1a[p] = chr(10) and regexp_matches(substr(item1a, p),
+                 unnest(list_transform(range(1, len(cuts) + 1), lambda k: array_to_string(list_slice(ls, cuts[k],
+                     (case when k < len(cuts) then cuts[k + 1] - 1 else len(ls) end)), chr(10)))) as piece
+          from (select cik, period, ls, list_concat([1], list_filter(range(2, len(ls) + 1), lambda p:
+                    regexp_matches(chr(10) || array_to_string(list_slice(ls, p, len(ls)), chr(10)),
                         '^(\\n[A-Z][A-Z\\s,;:\\-.]{{10,}}\\n|\\nRisk Factor [0-9]+|\\n[•●]\\s)'))) as cuts
-                from v_filing_text))
+                from (select cik, period, string_split(item1a, chr(10)) as ls from v_filing_text)))
     where length(trim(piece, {WS})) >= 200""")
 
 share("v_paragraph_chunks", f"""

@@ -20,31 +20,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='claimgraph-')}/run-{uuid.uuid4().hex}"
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Multi-line JSON objects or arrays; text that does not parse lands in ``_bad_record``."""
+def _json(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool) -> DataFrame:
+    """JSON objects or arrays, a file each or one per line; unparsable text lands in ``_bad_record``.
+
+    Files with one object per line split across tasks, so large exports should use them.
+    """
     with_bad = T.StructType(schema.fields + [T.StructField(BAD_RECORD, T.StringType())])
-    return (spark.read.schema(with_bad).option("multiLine", True).option("mode", "PERMISSIVE")
+    return (spark.read.schema(with_bad).option("multiLine", not one_per_line).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", BAD_RECORD).json(path))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.RAW_ARTICLE)
+def read_articles(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _json(spark, path, S.RAW_ARTICLE, one_per_line)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.CHUNK)
+def read_chunks(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _json(spark, path, S.CHUNK, one_per_line)
 
 
-def read_assertions(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.ASSERTION)
+def read_assertions(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _json(spark, path, S.ASSERTION, one_per_line)
 
 
-def read_relations(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.RELATION)
+def read_relations(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _json(spark, path, S.RELATION, one_per_line)
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.EVAL_QUERY)
+def read_queries(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _json(spark, path, S.EVAL_QUERY, one_per_line)
 
 
 def read_grammar(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from claimgraph.plans import registry
 from claimgraph.plans import (  # noqa: F401
     analytics_queries,
+    graph_queries,
+    path_queries,
     source_queries,
     assertion_queries,
     curation_queries,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.ranking import top_per_key
 from claimgraph.operators.assertions import live, positive_or
 from claimgraph.operators.graph import SHOWN_TYPES
+from claimgraph.session import cut_lineage
 
 # Edge types of each traversal.
 PROOF_TYPES = ["ENTAILS", "DEFINES", "TRIGGERS", "SPECIALIZES", "SUPERSEDES"]
@@ -214,20 +215,21 @@ def causal_chains(pairs: DataFrame, concept_edges: DataFrame, edges: DataFrame,
     walk drops every path that cannot; no path that arrives is dropped.
     """
     max_hops = min(max_hops, 4)
-    kept = of_types(edges, CAUSAL_CHAIN_TYPES)
+    kept = cut_lineage(of_types(edges, CAUSAL_CHAIN_TYPES).select("src", "dst", "edge_id", "type", "confidence"))
+    pairs = cut_lineage(pairs.select("pair_id", "source_concept", "target_concept"))
     forward = steps(kept)
     anchors = lambda column: (pairs.join(concept_edges, F.col(column) == F.col("name"))
                               .select("pair_id", F.col("assertion_id").alias("node")).distinct())
     sources, targets = anchors("source_concept"), anchors("target_concept")
     backward = steps(kept, "in").select("here", "there")
     # (pair, node, left): node arrives in exactly ``left`` further steps.
-    level = targets
-    arrive = targets.withColumn("left", F.lit(0))
+    level = cut_lineage(targets)
+    arrive = level.withColumn("left", F.lit(0))
     for left in range(1, max_hops + 1):
-        level = (level.join(backward, F.col("node") == F.col("here"))
-                 .select("pair_id", F.col("there").alias("node")).distinct())
+        level = cut_lineage(level.join(backward, F.col("node") == F.col("here"))
+                            .select("pair_id", F.col("there").alias("node")).distinct())
         arrive = arrive.unionByName(level.withColumn("left", F.lit(left)))
-    nearest = arrive.groupBy("pair_id", "node").agg(F.min("left").alias("least_left"))
+    nearest = cut_lineage(arrive.groupBy("pair_id", "node").agg(F.min("left").alias("least_left")))
 
     def can_arrive(paths: DataFrame) -> DataFrame:
         return (paths.join(nearest, ["pair_id", "node"])

@@ -5,6 +5,8 @@ from claimgraph.plans import (  # noqa: F401
     analytics_queries,
     graph_queries,
     path_queries,
+    retrieval_queries,
+    conflict_queries,
     source_queries,
     assertion_queries,
     curation_queries,

@@ -25,7 +25,7 @@ def seeds(c, n=5):
 
 share("v_forward", f"""with recursive e as (select src, dst, edge_id, type, confidence from v_edges
         where type in {PROOF} and is_truth_preserving and src in (select assertion_id from v_live) and dst in (select assertion_id from v_live)),
-    p as (select query_id, node as start, dst as node, [edge_id] as edge_ids, [type] as types, confidence * 0.9::double as conf, 1 as hops
+    p as (select query_id, node as start, dst as node, [edge_id] as edge_ids, [type] as types, confidence * 0.9::double as conf, 1::bigint as hops
           from v_seeds join e on e.src = node where rank <= 5
           union all
           select query_id, start, e.dst, list_append(edge_ids, edge_id), list_append(types, type), conf * confidence * 0.9::double, hops + 1
@@ -42,7 +42,7 @@ def forward_trace(c):
 
 share("v_backward", f"""with recursive e as (select src, dst, edge_id, type, confidence from v_edges
         where type in {PROOF} and is_truth_preserving and src in (select assertion_id from v_live) and dst in (select assertion_id from v_live)),
-    p as (select query_id, node as target, src as head, [src, node] as chain, [edge_id] as back_ids, [type] as rels, [confidence] as confs, 1 as hops
+    p as (select query_id, node as target, src as head, [src, node] as chain, [edge_id] as back_ids, [type] as rels, [confidence] as confs, 1::bigint as hops
           from v_seeds join e on e.dst = node where rank <= 5
           union all
           select query_id, target, e.src, list_prepend(e.src, chain), list_append(back_ids, edge_id), list_prepend(type, rels),
@@ -129,9 +129,9 @@ share("v_all_edges", """
            kind || '|' || assertion_id || '|' || name from v_name_edges""")
 share("v_near_paths", """with e as (select src as here, dst as there, edge_id from v_all_edges union all
         select dst, src, edge_id from v_all_edges where src <> dst),
-    one as (select query_id, 'A:' || node as start, there as node, [edge_id] as edge_ids, ['A:' || node, there] as nodes, 1 as hops
+    one as (select query_id, 'A:' || node as start, there as node, [edge_id] as edge_ids, ['A:' || node, there] as nodes, 1::bigint as hops
             from v_seeds join e on here = 'A:' || node where rank = 1),
-    two as (select query_id, start, there as node, list_append(edge_ids, edge_id) as edge_ids, list_append(nodes, there) as nodes, 2 as hops
+    two as (select query_id, start, there as node, list_append(edge_ids, edge_id) as edge_ids, list_append(nodes, there) as nodes, 2::bigint as hops
             from one join e on e.here = one.node and e.edge_id <> edge_ids[1])
     select * from (select * from one union all select * from two)
     qualify row_number() over (partition by query_id, start order by hops, edge_ids) <= 100""")
@@ -175,7 +175,7 @@ share("v_concept_pairs", """select distinct x.name as source_concept, y.name as
 
 @query("p12_causal_chains", """with recursive e as (select src, dst, edge_id from v_edges where type in ('CAUSES', 'INHIBITS')),
     g as (select assertion_id, name from v_name_edges where kind = 'GOVERNS'),
-    p as (select source_concept, target_concept, dst as node, [edge_id] as edge_ids, 1 as hops
+    p as (select source_concept, target_concept, dst as node, [edge_id] as edge_ids, 1::bigint as hops
           from v_concept_pairs join g on name = source_concept join e on src = assertion_id
           union all
           select source_concept, target_concept, dst, list_append(edge_ids, edge_id), hops + 1

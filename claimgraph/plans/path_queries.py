@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from claimgraph.operators import graph as G
 from claimgraph.operators import paths as P
-from claimgraph.plans.graph_queries import graph_edges
 from claimgraph.plans.registry import query, share
+from claimgraph.plans.stored import graph_edges
 
 PROOF = "('ENTAILS', 'DEFINES', 'TRIGGERS', 'SPECIALIZES', 'SUPERSEDES')"
 TOULMIN = "('ENTAILS', 'CAUSES', 'TRIGGERS', 'SPECIALIZES')"

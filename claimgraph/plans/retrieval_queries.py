@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from claimgraph.operators import evidence as E
-from claimgraph.operators import graph as G
 from claimgraph.operators import retrieval as R
-from claimgraph.plans.graph_queries import graph_edges
 from claimgraph.plans.registry import query, share
+from claimgraph.plans.stored import citations, graph_edges
 from claimgraph.sources.derived import DOMAINS
 
 share("v_scores", """
@@ -185,10 +184,6 @@ share("v_periphery", periphery_sql("v_c"))
 share("v_periphery1", periphery_sql("v_c1"))
 
 
-def citations(c):
-    return G.name_edges(c.assertions, "regulations")
-
-
 @query("r14_regulation_periphery", "select * from v_periphery")
 def regulation_periphery(c):
     seeds = R.condition_c(found(c), c.assertions)

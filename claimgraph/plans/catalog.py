@@ -4,6 +4,7 @@ from claimgraph.plans import registry
 from claimgraph.plans import (  # noqa: F401
     analytics_queries,
     graph_queries,
+    metric_queries,
     path_queries,
     retrieval_queries,
     inference_queries,

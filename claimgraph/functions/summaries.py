@@ -24,15 +24,20 @@ def assertion_listing() -> Column:
                     F.lit("\nScope: "), scope_summary(with_organisation=False, season_first=False), F.lit("\n"))
 
 
+def two_digits(value: Column) -> Column:
+    """Two decimals, halves rounded up."""
+    return F.format_string("%.2f", value)
+
+
 def evidence_line() -> Column:
     return F.concat(F.lit("["), F.upper("epistemic_status"), F.lit("] [toulmin_expansion] "), F.col("claim_text"),
                     F.lit(" (source: "), F.col("source_document"), F.lit(", conf: "),
-                    F.format_string("%.2f", F.col("confidence")), F.lit(")"))
+                    two_digits(F.col("confidence")), F.lit(")"))
 
 
 def trace_line() -> Column:
     return F.concat(F.lit("  ["), F.col("hops").cast("string"), F.lit(" hops, conf:"),
-                    F.format_string("%.2f", F.col("chain_confidence")), F.lit("] [toulmin_expansion] via "),
+                    two_digits(F.col("chain_confidence")), F.lit("] [toulmin_expansion] via "),
                     F.coalesce("relation_used", F.lit("direct")), F.lit(": "), F.substring("claim_text", 1, 120))
 
 

@@ -6,6 +6,7 @@ from claimgraph.plans import (  # noqa: F401
     graph_queries,
     metric_queries,
     path_queries,
+    stream_queries,
     retrieval_queries,
     inference_queries,
     conflict_queries,

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from claimgraph.functions import summaries
+from claimgraph.functions.ranking import top_per_key
 from claimgraph.operators import inference as I
+from claimgraph.operators import paths as P
 from claimgraph.operators import retrieval as R
 from claimgraph.operators import two_pass as W
 from claimgraph.plans.registry import query, share
@@ -98,6 +101,26 @@ def answer_evidence_nested(c):
     return evidence(c)
 
 
+@query("t23_source_texts", """select query_id, string_agg('[' || upper(epistemic_status) || '] [toulmin_expansion] ' || claim_text || ' (source: ' || source_document
+        || ', conf: ' || printf('%.2f', confidence) || ')', chr(10) || chr(10) order by rank) as context_text
+    from v_question where rank <= 50 group by 1""")
+def source_texts(c):
+    chunks = R.top_chunks(c.queries, c.vectors, 10)
+    rows = W.question_sources(chunks, c.assertions, include_derived=False).where("rank <= 50")
+    return summaries.join_lines(rows, ["query_id"], "rank", summaries.evidence_line(), "context_text", "\n\n")
+
+
+@query("t23_trace_texts", """select query_id, string_agg('  [' || hops || ' hops, conf:' || printf('%.2f', round(conf, 2)) || '] [toulmin_expansion] via ' || relation_used || ': '
+        || left(claim_text, 120), chr(10) order by p) as trace_text
+    from (select query_id, hops, conf, relation_used, claim_text, row_number() over (partition by query_id order by conf desc, hops, edge_ids) as p
+          from v_forward join v_assertions on assertion_id = node qualify p <= 10) group by 1""")
+def trace_texts(c):
+    starts = (c.assertions.where("line_no < 5").select(F.col("document_id").alias("query_id"), F.col("assertion_id").alias("node")))
+    trace = P.forward_trace(starts, graph_edges(c), c.assertions).withColumnRenamed("node", "assertion_id")
+    rows = top_per_key(R.fetch(trace, c.assertions), ["query_id"], [F.desc("chain_confidence"), F.col("hops"), F.col("edge_ids")], 10, rank="p")
+    return summaries.join_lines(rows, ["query_id"], "p", summaries.trace_line(), "trace_text")
+
+
 # ---- proofs --------------------------------------------------------------------------------------
 
 share("v_claim_seeds", """select query_id, assertion_id, f.* exclude (assertion_id), row_number() over (partition by query_id order by f.confidence desc, assertion_id) as rank

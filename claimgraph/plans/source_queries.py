@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgraph import schemas as S
+from claimgraph.functions import annotate
 from claimgraph.functions import scope as sc
 from claimgraph.operators import chunking as K
+from claimgraph.operators.retrieval import neutral_seeds
 from claimgraph.plans.registry import query, share
+from claimgraph.plans.stored import found
 from claimgraph.sources import files, responses, tables
 
 
@@ -308,3 +311,26 @@ def flat_scope(c):
     return flat.select("assertion_id", F.coalesce("temporal_season", F.lit("none")).alias("temporal_season"),
                        "temporal_is_default", F.array_join("geo_countries", "|").alias("geo_countries"),
                        "geo_is_global", "org_is_universal", "scope_coverage", "scope_source")
+
+
+@query("s09_gazetteer_mentions", """select name, count(*) as documents from (
+        select document_id, name from (select document_id, lower(title) as t from v_docs) d,
+            (select unnest(['Basel III', 'Basel II', 'Basel I', 'MiFID', 'MiFID II', 'Solvency II', 'SEC', 'CRA']) as name) g
+        where case when contains(t, lower(name)) then regexp_matches(t, '(^|[^\\pL\\pN_])' || lower(name) || '($|[^\\pL\\pN_])') else false end) group by 1""")
+def gazetteer_mentions(c):
+    named = c.docs.select("document_id", F.explode(annotate.regulation_mentions(F.col("title"))).alias("name"))
+    return named.groupBy("name").agg(F.count("*").alias("documents"))
+
+
+@query("s12_queries_with_seeds", """select cast(query_id as string) as query_id, epistemic_type,
+        case when query_id % 5 = 0 then 'kept' else cast(assertion_id as string) end as query_seed_assertion_id
+    from v_queries join (select query_id, assertion_id from v_found where want = 0 and rank = 1) using (query_id)""")
+def queries_with_seeds(c):
+    path, again = files.scratch_folder(c.spark), files.scratch_folder(c.spark)
+    rows = c.queries.select(F.col("query_id").cast("string").alias("query_id"), "query_text", "epistemic_type",
+                            F.when(F.col("query_id") % 5 == 0, "kept").alias("query_seed_assertion_id"))
+    files.write_json(rows, path)
+    seeds = neutral_seeds(found(c)).withColumn("query_id", F.col("query_id").cast("string"))
+    files.write_json(tables.with_seeds(files.read_queries(c.spark, path, one_per_line=True), seeds), again)
+    return (files.read_queries(c.spark, again, one_per_line=True)
+            .select("query_id", "epistemic_type", "query_seed_assertion_id"))

@@ -128,7 +128,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
     heading = (f"'== ' || {pick(SECTIONS, 'i + doc_id')} || ' =='")
     body = f"case when (i + 2) % 4 = 0 then {heading} || {d.newline()} || l else l end"
     v["v_text"] = f"""
-        select doc_id as document_id, {pick(TITLES, 'doc_id * 7 + 3')} as title,
+        select doc_id as document_id, {pick(TITLES, 'doc_id * 7 + 3')} || ' ' || cast(doc_id as string) as title,
                'https://corpus.example/' || cast(doc_id as string) as url,
                {d.join(d.map_indexed(d.split_lines('text'), body), chr(92) + 'n')} as content
         from documents"""

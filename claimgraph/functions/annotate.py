@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import let
+
 # Cue words of each discourse role, strongest role first.
 ROLE_CUES = [
     ("rebuttal", ["unless", "except", "except when", "provided that", "does not apply when"]),
@@ -75,10 +77,13 @@ def regulation_mentions(text: Column, names: list[str] | None = None) -> Column:
     stage.  A cheap substring test runs before the word-boundary pattern.
     """
     names = REGULATION_NAMES if names is None else names
-    low = F.lower(text)
-    hits = []
-    for name in names:
-        key = name.lower()
-        pattern = r"(?<![\p{L}\p{N}_])" + key.replace("-", r"\-") + r"(?![\p{L}\p{N}_])"
-        hits.append(F.when(F.contains(low, F.lit(key)) & low.rlike(pattern), F.lit(name)))
-    return F.array_compact(F.array(*hits))
+
+    def hits(low: Column) -> Column:
+        found = []
+        for name in names:
+            key = name.lower()
+            pattern = r"(?<![\p{L}\p{N}_])" + key.replace("-", r"\-") + r"(?![\p{L}\p{N}_])"
+            found.append(F.when(F.contains(low, F.lit(key)) & low.rlike(pattern), F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    return let(F.lower(text), hits)

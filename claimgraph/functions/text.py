@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                "\u2028\u2029\u202f\u205f\u3000")
-WHITE_SPACE_CLASS = "[" + WHITE_SPACE + "]"
+# The same characters as a pattern; ranges keep the test of an ordinary letter short.
+WHITE_SPACE_CLASS = "[ \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028-\\u2029\\u202f\\u205f\\u3000]"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Section titles that hold no prose.

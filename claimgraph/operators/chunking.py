@@ -21,8 +21,8 @@ MIN_CHUNK_CHARS = 200
 HEADING = r"(?md)^={2,3}\s*(.+?)\s*={2,3}\s*$".replace(r"\s", tx.WHITE_SPACE_CLASS)
 
 # Fixed value: where a new risk factor starts (capital header, numbered factor, bullet).
-RISK_START = (r"(?=\n[A-Z][A-Z\s,;:\-\.]{10,}\n)|(?=\nRisk Factor \p{Nd}+)|(?=\n[•●]\s)"
-              .replace(r"[A-Z\s", "[A-Z" + tx.WHITE_SPACE).replace(r"\s", tx.WHITE_SPACE_CLASS))
+RISK_START = (r"(?=\n(?:[A-Z][A-Z" + tx.WHITE_SPACE_CLASS[1:-1] + r",;:\-\.]{10,}\n|Risk Factor \p{Nd}+|[•●]"
+              + tx.WHITE_SPACE_CLASS + "))")
 
 
 def sections(text: Column) -> Column:

@@ -49,6 +49,16 @@ def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
     return edges.select(way.alias("w"), *cols).select(F.col("w.h").alias("here"), F.col("w.t").alias("there"), *cols)
 
 
+def first_steps(steps_df: DataFrame, order: Sequence[Column], paths: int, max_hops: int) -> DataFrame:
+    """The steps of a node that any of its best ``paths`` extensions can use.
+
+    For the best ``paths`` of each seed, a path is extended by at most that many
+    steps; it may have to skip the fewer than ``max_hops`` edges it already holds.
+    A hub is cut to this number of edges before it meets a path.
+    """
+    return top_per_key(steps_df, ["here"], order, paths + max_hops)
+
+
 def _unmatched(node: Column, is_text: bool) -> Column:
     """A join key that no edge has, different per node so that it spreads."""
     return F.concat(F.lit("-"), node) if is_text else -1 - node
@@ -108,7 +118,8 @@ def forward_trace(seeds: DataFrame, edges: DataFrame, assertions: DataFrame, max
     usable = of_types(edges, PROOF_TYPES, True).join(alive, F.col("dst") == F.col("assertion_id"), "left_semi")
     started = seeds.join(alive, F.col("node") == F.col("assertion_id"), "left_semi")
     order = [F.desc("chain_confidence"), F.col("hops"), F.col("edge_ids")]
-    best = walk(started, ["query_id"], steps(usable), max_hops,
+    usable_steps = first_steps(steps(usable), [F.desc(positive_or(F.col("confidence"))), F.col("edge_id")], per_seed, max_hops)
+    best = walk(started, ["query_id"], usable_steps, max_hops,
                 lambda p: top_per_key(p, ["query_id", "start"], order, per_seed))
     return best.withColumn("relation_used", F.element_at("types", -1))
 
@@ -124,7 +135,8 @@ def backward_chains(targets: DataFrame, edges: DataFrame, assertions: DataFrame,
     usable = of_types(edges, PROOF_TYPES, True).join(alive, F.col("src") == F.col("assertion_id"), "left_semi")
     started = targets.join(alive, F.col("node") == F.col("assertion_id"), "left_semi")
     order = [F.col("hops"), F.col("edge_ids")]
-    found = walk(started, ["query_id"], steps(usable, "in"), max_depth,
+    usable_steps = first_steps(steps(usable, "in"), [F.col("edge_id")], per_target, max_depth)
+    found = walk(started, ["query_id"], usable_steps, max_depth,
                  lambda p: top_per_key(p, ["query_id", "start"], order, per_target))
     confidences = F.transform(F.reverse("confidences"), lambda c: F.coalesce(c, F.lit(0.8)))
     return found.select("query_id", F.col("start").alias("target"), F.reverse("nodes").alias("chain"),
@@ -183,7 +195,8 @@ def neighborhood_paths(centres: DataFrame, all_edges: DataFrame, depth: int = 2,
     """
     order = [F.col("hops"), F.col("edge_ids")]
     edges = all_edges if "confidence" in all_edges.columns else all_edges.withColumn("confidence", F.lit(None).cast("double"))
-    return walk(centres, ["query_id"], steps(edges, "both"), min(depth, 4),
+    depth = min(depth, 4)
+    return walk(centres, ["query_id"], first_steps(steps(edges, "both"), [F.col("edge_id")], limit, depth), depth,
                 lambda p: top_per_key(p, ["query_id", "start"], order, limit))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import top_per_key
+from claimgraph.session import cut_lineage
 
 SCORE_DIGITS = 9
 # A set of query vectors up to this size is sent to every task.
@@ -144,59 +145,101 @@ def _block_hits(queries: DataFrame, items: DataFrame, n_queries: int, k: int) ->
 PAIR_SCHEMA = "left_id bigint, right_id bigint, score double"
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 64, block_rows: int = BLOCK_ROWS,
-                    keep: int | None = None) -> DataFrame:
+SHELL_DEGREES = 10.0
+SHELLS = 19
+
+
+def spread_points(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` rows, each the farthest from those before it."""
+    chosen = [0]
+    nearest = vectors @ vectors[0]
+    while len(chosen) < min(count, len(vectors)):
+        far = int(nearest.argmin())
+        if nearest[far] > 1.0 - 1e-9:
+            break
+        chosen.append(far)
+        nearest = np.maximum(nearest, vectors @ vectors[far])
+    return vectors[chosen]
+
+
+def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sample: int = 4096,
+                    block_rows: int = BLOCK_ROWS, keep: int | None = None) -> DataFrame:
     """Ordered pairs (left_id, right_id, score) of distinct vectors at or above ``threshold``.
 
     ``vectors`` is (vec_id, vector).  Exact partitioning by pivots: a vector's home
-    is its nearest pivot.  If u lives at pivot p and v at pivot q, the arc between
-    them crosses the plane half-way between p and q, so v can only reach u when v
-    itself is within the threshold angle of that plane; v then visits p.  Every
-    pair is found in the home of its left vector, once.  Homes are cut into blocks
-    of bounded size, so a crowded pivot becomes many tasks.  With ``keep``, each
-    block reports only a vector's best ``keep`` partners (ties by the smaller id).
+    is the cell of its nearest pivot and of its angle to that pivot.  Another vector
+    visits a cell unless the triangle inequality proves that no vector there is
+    within the threshold angle: its angle to the pivot is too far from the angles in
+    the cell, or it lies too far behind the plane half-way to its own pivot.  Every
+    pair is found in the home cell of its left vector, once.  Cells are cut into
+    blocks of bounded size, so a crowded cell becomes many tasks.  With ``keep``,
+    each block reports only a vector's best ``keep`` partners (ties by the smaller id).
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "vector")
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
+    vectors = cut_lineage(vectors.select("vec_id", "vector"))
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     if chosen.empty:
         return spark.createDataFrame([], PAIR_SCHEMA)
-    matrix = np.unique(unit_matrix(pa.Table.from_pandas(chosen, preserve_index=False).column("vector")).round(12), axis=0)
-    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * matrix @ matrix.T))
+    points = spread_points(unit_matrix(pa.Table.from_pandas(chosen, preserve_index=False).column("vector")), pivots)
+    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * points @ points.T))
     np.fill_diagonal(gaps, 1.0)
     # A margin keeps rounding from dropping a pair that lies on the limit.
-    reach = math.sin(min(math.acos(max(-1.0, threshold)) + 1e-6, math.pi / 2))
-    shared = spark.sparkContext.broadcast((matrix, gaps))
+    theta = min(math.acos(max(-1.0, min(1.0, threshold))) + 1e-6, math.pi / 2)
+    shared = spark.sparkContext.broadcast((points, gaps))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, between = shared.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, _ = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            dots = unit_matrix(batch.column("vector")) @ points.T
-            home = dots.argmax(axis=1)
-            own = dots[np.arange(len(home)), home]
-            visits = (own[:, None] - dots) / between[home] <= reach + 1e-9
-            visits[np.arange(len(home)), home] = True
-            row, pivot = np.nonzero(visits)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(pivot, pa.int32()),
-                 pa.array(pivot == home[row])], names=["vec_id", "vector", "pivot", "is_home"])
-
-    placed = vectors.mapInArrow(assign, "vec_id bigint, vector array<float>, pivot int, is_home boolean")
-    sizes = (placed.groupBy("pivot").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks")))
-    # One row per pivot, at most ``pivots`` rows.
-    placed = placed.join(F.broadcast(sizes), "pivot")
-    own_block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            if batch.num_rows:
+                dots = unit_matrix(batch.column("vector")) @ near.T
+                home = dots.argmax(axis=1)
+                angle = np.arccos(np.clip(dots[np.arange(len(home)), home], -1.0, 1.0))
+                shell = np.minimum(np.degrees(angle) // SHELL_DEGREES, SHELLS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id"), batch.column("vector"), pa.array(home.astype(np.int32) * SHELLS + shell),
+                     pa.array(angle)], names=["vec_id", "vector", "cell", "angle"])
+
+    homes = cut_lineage(vectors.mapInArrow(place, "vec_id bigint, vector array<float>, cell int, angle double"))
+    # At most pivots x shells rows.
+    cells = (homes.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
+             .orderBy("cell").toPandas())
+    known = spark.sparkContext.broadcast((cells["cell"].to_numpy(np.int32), cells["low"].to_numpy(), cells["high"].to_numpy()))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, between = shared.value
+        ids, low, high = known.value
+        pivot = ids // SHELLS
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                dots = unit_matrix(batch.column("vector")) @ near.T
+                home = batch.column("cell").to_numpy(zero_copy_only=False) // SHELLS
+                angle = np.arccos(np.clip(dots, -1.0, 1.0))[:, pivot]
+                own = dots[np.arange(len(home)), home]
+                behind = (own[:, None] - dots) / between[home]
+                reaches = (angle >= low - theta - 1e-9) & (angle <= high + theta + 1e-9)
+                reaches &= (behind <= math.sin(theta) + 1e-9)[:, pivot] | (home[:, None] == pivot[None, :])
+                row, at = np.nonzero(reaches)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(ids[at])],
+                    names=["vec_id", "vector", "cell"])
+
+    visits = homes.select("vec_id", "vector", "cell").mapInArrow(visit, "vec_id bigint, vector array<float>, cell int")
+    sizes = spark.createDataFrame(
+        [(int(c), max(1, math.ceil(n / block_rows))) for c, n in zip(cells["cell"], cells["n"])], "cell int, home_blocks int")
+    most = (visits.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("visit_blocks")))
+    # Both tables have one row per cell.
+    blocks = F.broadcast(cut_lineage(sizes.join(most, "cell")))
+    home_of = F.pmod(F.xxhash64("vec_id"), F.col("home_blocks")).cast("int")
+    visit_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("visit_blocks")).cast("int")
     # The two sides need different column names to be grouped together.
-    left = (placed.where("is_home").select("pivot", own_block.alias("home_block"), all_blocks.alias("visit_block"),
-                                           "vec_id", "vector").groupBy("pivot", "home_block", "visit_block"))
-    right = (placed.select(F.col("pivot").alias("at"), own_block.alias("visit"), all_blocks.alias("home"),
-                           F.col("vec_id").alias("other_id"), F.col("vector").alias("other"))
-             .groupBy("at", "home", "visit"))
+    left = (homes.join(blocks, "cell").select(
+        "cell", home_of.alias("home_block"), F.explode(F.sequence(F.lit(0), F.col("visit_blocks") - 1)).alias("visit_block"),
+        "vec_id", "vector").groupBy("cell", "home_block", "visit_block"))
+    right = (visits.join(blocks, "cell").select(
+        F.col("cell").alias("at"), F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)).alias("home"),
+        visit_of.alias("visit"), F.col("vec_id").alias("other_id"), F.col("vector").alias("other")).groupBy("at", "home", "visit"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:

@@ -9,7 +9,7 @@ from claimgraph.operators import paths as P
 from claimgraph.operators import retrieval as R
 from claimgraph.operators import two_pass as W
 from claimgraph.plans.registry import query, share
-from claimgraph.plans.stored import citations, found, graph_edges, stored
+from claimgraph.plans.stored import citations, found, graph_edges, stored, vectors
 
 _TOULMIN = "('ENTAILS', 'CAUSES', 'TRIGGERS', 'SPECIALIZES')"
 share("v_anchor", "select query_id, assertion_id as node from v_c where rank = 1")
@@ -92,7 +92,7 @@ def answer_evidence(c):
 
 
 def evidence(c):
-    chunks = R.top_chunks(c.queries, c.vectors, 10)
+    chunks = R.top_chunks(c.queries, vectors(c), 10)
     return W.answer_evidence(chunks, c.queries, c.assertions, graph_edges(c), c.conflicts, citations(c), include_derived=False)
 
 
@@ -105,7 +105,7 @@ def answer_evidence_nested(c):
         || ', conf: ' || printf('%.2f', confidence) || ')', chr(10) || chr(10) order by rank) as context_text
     from v_question where rank <= 50 group by 1""")
 def source_texts(c):
-    chunks = R.top_chunks(c.queries, c.vectors, 10)
+    chunks = R.top_chunks(c.queries, vectors(c), 10)
     rows = W.question_sources(chunks, c.assertions, include_derived=False).where("rank <= 50")
     return summaries.join_lines(rows, ["query_id"], "rank", summaries.evidence_line(), "context_text", "\n\n")
 
@@ -128,12 +128,12 @@ share("v_claim_seeds", """select query_id, assertion_id, f.* exclude (assertion_
 
 
 def seeds(c):
-    return stored(c, "claim_seeds", lambda: I.claim_seeds(c.queries, c.vectors, c.assertions))
+    return stored(c, "claim_seeds", lambda: I.claim_seeds(c.queries, vectors(c), c.assertions))
 
 
 @query("i01_claim_seeds", "select query_id, rank, assertion_id, confidence, epistemic_status from v_claim_seeds")
 def claim_seeds(c):
-    return (I.claim_seeds(c.queries, c.vectors, c.assertions)
+    return (I.claim_seeds(c.queries, vectors(c), c.assertions)
             .select("query_id", "rank", "assertion_id", "confidence", "epistemic_status"))
 
 

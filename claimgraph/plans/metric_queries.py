@@ -11,7 +11,7 @@ from claimgraph.operators import retrieval as R
 from claimgraph.operators import stats as T
 from claimgraph.plans.inference_queries import two_pass_rows
 from claimgraph.plans.registry import query, share
-from claimgraph.plans.stored import citations, found, graph_edges, stored
+from claimgraph.plans.stored import citations, found, graph_edges, stored, vectors
 
 _one = lambda name, view: f"select query_id, '{name}' as condition, rank, rank as vtp_rank, assertion_id, validity_claim_type from {view}"
 share("v_results", " union all ".join([
@@ -210,7 +210,7 @@ share("v_repetition", "select query_id, round(avg(score), 9) as r from v_top_chu
 @query("m13_tests_by_repetitiveness", _tests_sql("""(select p.*, case when r >= (select median(r) from v_repetition) then 'high' else 'low' end as stratum
     from v_paired p join v_repetition using (query_id))""", "stratum, pair, metric"))
 def tests_by_repetitiveness(c):
-    index = R.repetitiveness(c.queries, c.vectors)
+    index = R.repetitiveness(c.queries, vectors(c))
     middle = index.agg(F.median("repetitiveness_index")).scalar()
     strata = index.select("query_id", F.when(F.col("repetitiveness_index") >= middle, "high").otherwise("low").alias("stratum"))
     return _tests(paired(c).join(strata, "query_id"), ["stratum", "pair", "metric"])
@@ -298,7 +298,7 @@ share("v_k_b", """with near as (select query_id, there from (select distinct s.q
     from v_k_grid g cross join (values ('A'), ('B')) c(condition) left join hits h on h.condition = c.condition and h.query_id = g.key group by 1, 2""")
 def conflict_curve(c):
     chosen = c.queries.orderBy("query_id").limit(20)
-    return M.conflict_curve(chosen, c.vectors, c.assertions, graph_edges(c), c.conflicts)
+    return M.conflict_curve(chosen, vectors(c), c.assertions, graph_edges(c), c.conflicts)
 
 
 _ks = ", ".join(f"({k})" for k in M.CURVE_KS)

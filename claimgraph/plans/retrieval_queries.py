@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from claimgraph.operators import evidence as E
 from claimgraph.operators import retrieval as R
 from claimgraph.plans.registry import query, share
-from claimgraph.plans.stored import citations, graph_edges
+from claimgraph.plans.stored import citations, graph_edges, vectors
 from claimgraph.sources.derived import DOMAINS
 
 share("v_scores", """
@@ -19,7 +19,7 @@ share("v_found", """
     select query_id, epistemic_type, want, assertion_id, score,
            row_number() over (partition by query_id, want order by score desc, assertion_id) as rank
     from (select s.query_id, s.epistemic_type, w.want, a.assertion_id, s.score
-          from v_scores s join v_assertions a using (chunk_id), (values (0, 'any'), (1, 'normative'), (2, 'constative')) w(want, kind)
+          from v_scores s join v_assertions a using (chunk_id), (values (0::bigint, 'any'), (1::bigint, 'normative'), (2::bigint, 'constative')) w(want, kind)
           where (w.want = 0 or a.validity_claim_type = w.kind)
             and (w.want = 0 or s.epistemic_type = w.kind or s.epistemic_type = 'mixed'))
     qualify rank <= 200""")
@@ -29,7 +29,7 @@ share("v_fields", """select assertion_id, coalesce(nullif(confidence, 0), 0.8) a
 
 @query("r01_top_chunks", "select query_id, rank, chunk_id, score from v_top_chunks where rank <= 50")
 def top_chunks(c):
-    return R.top_chunks(c.queries, c.vectors, 50)
+    return R.top_chunks(c.queries, vectors(c), 50)
 
 
 _domain = "(['" + "','".join(DOMAINS) + "'])[query_id % 4 + 1]"
@@ -43,7 +43,7 @@ _domain = "(['" + "','".join(DOMAINS) + "'])[query_id % 4 + 1]"
 def domain_search(c):
     domain = F.get(F.array(*[F.lit(d) for d in DOMAINS]), (F.col("query_id") % 4).cast("int"))
     queries = c.queries.withColumn("domain", domain)
-    vectors = c.vectors.join(c.docs.select("document_id", "domain"), "document_id")
+    vectors = vectors(c).join(c.docs.select("document_id", "domain"), "document_id")
     hits = R.top_chunks_of_domain(queries, vectors, DOMAINS, 10).withColumn("domain", domain)
     claims = c.assertions.where("confidence >= 0.5").select("chunk_id", "domain", "assertion_id")
     found = hits.join(claims, ["chunk_id", "domain"])
@@ -55,14 +55,14 @@ def domain_search(c):
     where rank <= 10 and coalesce(epistemic_status, '') not in ('deprecated', 'orphaned')
       and (epistemic_type = 'mixed' or validity_claim_type = epistemic_type)""")
 def chunk_assertions(c):
-    rows = R.assertions_of_chunks(R.top_chunks(c.queries, c.vectors, 10).select("query_id", "chunk_id"), c.assertions)
+    rows = R.assertions_of_chunks(R.top_chunks(c.queries, vectors(c), 10).select("query_id", "chunk_id"), c.assertions)
     kinds = c.queries.select("query_id", "epistemic_type")
     return (rows.join(kinds, "query_id").where("epistemic_type = 'mixed' or validity_claim_type = epistemic_type")
             .select("query_id", "assertion_id", "confidence"))
 
 
 def found(c, k=50):
-    return R.search(c.queries, c.assertions, c.vectors, k)
+    return R.search(c.queries, c.assertions, vectors(c), k)
 
 
 @query("r04_fetch_by_rank", """select query_id, rank, assertion_id, confidence from v_found join v_fields using (assertion_id)
@@ -77,19 +77,19 @@ def fetch_by_rank(c):
     from v_assertions join v_vectors using (chunk_id)""")
 def assertion_vectors(c):
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return (R.assertion_vectors(c.assertions, c.vectors)
+    return (R.assertion_vectors(c.assertions, vectors(c))
             .select("assertion_id", "chunk_id", "validity_claim_type", F.round(total, 5).alias("vector_sum")))
 
 
 @query("r05_assertions_without_vector", """select count(*) as skipped from v_assertions
     where chunk_id not in (select chunk_id from v_vectors where document_id % 7 <> 0)""")
 def assertions_without_vector(c):
-    return R.assertions_without_vector(c.assertions, c.vectors.where("document_id % 7 <> 0"))
+    return R.assertions_without_vector(c.assertions, vectors(c).where("document_id % 7 <> 0"))
 
 
 @query("r06_top_assertions", "select query_id, want, rank, assertion_id, score from v_found where rank <= 50")
 def top_assertions(c):
-    return R.top_assertions(R.requests_for(c.queries), c.assertions, c.vectors, 50)
+    return R.top_assertions(R.requests_for(c.queries), c.assertions, vectors(c), 50)
 
 
 share("v_cond_a1", """select query_id, assertion_id, f.confidence, f.validity_claim_type,
@@ -99,7 +99,7 @@ share("v_cond_a1", """select query_id, assertion_id, f.confidence, f.validity_cl
 
 @query("r07_condition_a_v1", "select query_id, rank, assertion_id, confidence from v_cond_a1")
 def condition_a_v1(c):
-    return (R.condition_a_v1(R.top_chunks(c.queries, c.vectors, 50), c.assertions)
+    return (R.condition_a_v1(R.top_chunks(c.queries, vectors(c), 50), c.assertions)
             .select("query_id", "rank", "assertion_id", "confidence"))
 
 
@@ -137,7 +137,7 @@ def condition_b(c):
 
 @query("r09_condition_b_v1", "select query_id, rank, assertion_id, confidence from v_cond_b1")
 def condition_b_v1(c):
-    return (R.condition_b_v1(R.top_chunks(c.queries, c.vectors, 50), c.assertions, graph_edges(c))
+    return (R.condition_b_v1(R.top_chunks(c.queries, vectors(c), 50), c.assertions, graph_edges(c))
             .select("query_id", "rank", "assertion_id", "confidence"))
 
 
@@ -158,7 +158,7 @@ def condition_c(c):
 
 @query("r10_condition_c_v1", "select query_id, rank, assertion_id, confidence from v_c1")
 def condition_c_v1(c):
-    return (R.condition_c_v1(R.top_chunks(c.queries, c.vectors, 50), c.queries, c.assertions)
+    return (R.condition_c_v1(R.top_chunks(c.queries, vectors(c), 50), c.queries, c.assertions)
             .select("query_id", "rank", "assertion_id", "confidence"))
 
 
@@ -221,7 +221,7 @@ share("v_cond_df", _condition_d("v_c", _TOULMIN, None, "qualify rank <= 50"))
 
 @query("r11_condition_d_v1", "select query_id, rank, assertion_id, confidence from v_cond_d1")
 def condition_d_v1(c):
-    return (R.condition_d_v1(R.top_chunks(c.queries, c.vectors, 50), c.queries, c.assertions, graph_edges(c), citations(c))
+    return (R.condition_d_v1(R.top_chunks(c.queries, vectors(c), 50), c.queries, c.assertions, graph_edges(c), citations(c))
             .select("query_id", "rank", "assertion_id", "confidence"))
 
 
@@ -318,12 +318,12 @@ def neutral_seeds(c):
 
 @query("r18_confident_seeds", "select query_id, assertion_id from v_cond_a1 where rank = 1")
 def confident_seeds(c):
-    return R.confident_seeds(R.condition_a_v1(R.top_chunks(c.queries, c.vectors, 50), c.assertions))
+    return R.confident_seeds(R.condition_a_v1(R.top_chunks(c.queries, vectors(c), 50), c.assertions))
 
 
 @query("r19_repetitiveness", "select query_id, round(avg(score), 9) as repetitiveness_index from v_top_chunks where rank <= 20 group by 1")
 def repetitiveness(c):
-    return R.repetitiveness(c.queries, c.vectors)
+    return R.repetitiveness(c.queries, vectors(c))
 
 
 @query("r20_padded_top_k", """with g as (select query_id, assertion_id, rank from v_found where want = 1 and rank <= 100),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from claimgraph.operators import graph as G
 from claimgraph.operators import retrieval as R
+from claimgraph.session import spread_narrow
 from claimgraph.sources import files
 from claimgraph.sources.derived import Corpus
 
@@ -35,6 +36,11 @@ def citations(c: Corpus) -> DataFrame:
     return G.name_edges(c.assertions, "regulations")
 
 
+def vectors(c: Corpus) -> DataFrame:
+    """Chunk vectors as a stored table."""
+    return stored(c, "vectors", lambda: spread_narrow(c.vectors, "chunk_id"))
+
+
 def found(c: Corpus, k: int = 50) -> DataFrame:
     """Search results of the evaluation queries."""
-    return stored(c, f"found_{k}", lambda: R.search(c.queries, c.assertions, c.vectors, k))
+    return stored(c, f"found_{k}", lambda: R.search(c.queries, c.assertions, vectors(c), k))

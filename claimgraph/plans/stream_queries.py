@@ -51,14 +51,14 @@ def cost_stream(c):
 
 
 @query("st2_spend_per_stage", """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, stage, count(*) as calls,
-        round(cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double), 8) as cost
+        cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double) as cost
     from v_priced where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minute from v_priced) group by 1, 2""")
 def spend_per_stage(c):
     target, checkpoint = files.scratch_folder(c.spark), files.scratch_folder(c.spark)
     spend = K.spend_per_stage(cost_stream(c), L.prices(c.spark))
     _run(lambda: K.write_spend(spend, target, checkpoint))
     return (c.spark.read.schema(spend.schema).parquet(target)
-            .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.round("cost", 8).alias("cost")))
+            .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.col("cost").cast("double").alias("cost")))
 
 
 @query("st2_ceiling_alert", """select record_id, round(running_total, 8) as running_total from v_totals

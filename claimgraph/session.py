@@ -35,3 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimgraph-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan with fewer splits than cores over all cores; leave a wide scan alone.
+
+    A small table in one file would keep text work on one core.  On a cluster the
+    scan has many splits and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

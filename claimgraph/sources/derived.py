@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from claimgraph import schemas as S
+from claimgraph.session import spread_narrow
 
 
 class Dialect:
@@ -317,7 +318,8 @@ class Corpus:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_narrow(rows, "doc_id") if name == "documents" else rows
 
     def view(self, name: str) -> DataFrame:
         needed = _needed(f" {name} ", SPARK_VIEWS)

@@ -20,7 +20,7 @@ def spend_per_stage(calls: DataFrame, price_table: DataFrame, window: str = "1 h
     exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
     return (with_cost(calls.withWatermark("ts", lateness), price_table)
             .groupBy(F.window("ts", window), "stage")
-            .agg(F.count("*").alias("calls"), F.sum(exact).cast("double").alias("cost"))
+            .agg(F.count("*").alias("calls"), F.sum(exact).alias("cost"))
             .select(F.col("window.start").alias("window_start"), "stage", "calls", "cost"))
 
 

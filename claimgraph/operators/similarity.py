@@ -21,10 +21,17 @@ from claimgraph.session import cut_lineage
 SCORE_DIGITS = 9
 # A set of query vectors up to this size is sent to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of a block, fewer where vectors are long; and score cells held at a time.
 BLOCK_ROWS = 20_000
+BLOCK_BYTES = 64 * 1024 * 1024
+SCORE_CELLS = 4_000_000
 HIT_SCHEMA = "query_id bigint, want int, item_id bigint, tie bigint, score double"
 
 
+def rows_per_block(dims: int, most: int) -> int:
+    return max(1, min(most, BLOCK_BYTES // (8 * max(dims, 1))))
+
+
 def unit_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of an Arrow list column as unit rows in double precision."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,16 +84,17 @@ def _scan(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, wants: np.nd
           k: int) -> pa.RecordBatch:
     best = _Best(len(query_ids), k)
     groups = [(w, np.nonzero(wants == w)[0]) for w in np.unique(wants)]
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        vectors = unit_matrix(batch.column("vector"))
-        items = batch.column("item_id").to_numpy(zero_copy_only=False)
-        ties = pc.fill_null(batch.column("ties").flatten(), -1).to_numpy(zero_copy_only=False)
-        ties = ties.reshape(batch.num_rows, -1)
-        scores = np.round(matrix @ vectors.T, SCORE_DIGITS)
-        for want, rows in groups:
-            best.add(rows, scores[rows], ties[:, want], items)
+    step = max(1, SCORE_CELLS // max(len(query_ids), 1))
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            batch = whole.slice(start, step)
+            vectors = unit_matrix(batch.column("vector"))
+            items = batch.column("item_id").to_numpy(zero_copy_only=False)
+            ties = pc.fill_null(batch.column("ties").flatten(), -1).to_numpy(zero_copy_only=False)
+            ties = ties.reshape(batch.num_rows, -1)
+            scores = np.round(matrix @ vectors.T, SCORE_DIGITS)
+            for want, rows in groups:
+                best.add(rows, scores[rows], ties[:, want], items)
     return best.batch(query_ids, wants)
 
 
@@ -104,26 +112,27 @@ def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", F.col("want").cast("int").alias("want"), "vector")
     items = items.select("item_id", "vector", "ties")
     count, size = q.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    if count * max(size, 1) * 8 <= BROADCAST_BYTES:
+    if count == 0:
+        hits = spark.createDataFrame([], HIT_SCHEMA)
+    elif count * size * 8 <= BROADCAST_BYTES:
         table = pa.Table.from_pandas(q.toPandas(), preserve_index=False)
         block = (table.column("query_id").to_numpy(), table.column("want").to_numpy(), unit_matrix(table.column("vector")))
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, wants, matrix = shared.value
-            if len(ids):
-                yield _scan(batches, ids, wants, matrix, k)
+            yield _scan(batches, ids, wants, matrix, k)
 
         hits = items.mapInArrow(scan, HIT_SCHEMA)
     else:
-        hits = _block_hits(q, items, count, k)
+        hits = _block_hits(q, items, count, k, size)
     return top_per_key(hits, ["query_id", "want"], [F.desc("score"), F.col("tie")], k, rank="rank")
 
 
-def _block_hits(queries: DataFrame, items: DataFrame, n_queries: int, k: int) -> DataFrame:
+def _block_hits(queries: DataFrame, items: DataFrame, n_queries: int, k: int, dims: int) -> DataFrame:
     """Every block of queries meets every block of items once; blocks are bounded."""
-    n_q = math.ceil(n_queries / BLOCK_ROWS)
-    n_i = max(1, math.ceil(items.count() / BLOCK_ROWS))
+    rows = rows_per_block(dims, BLOCK_ROWS)
+    n_q, n_i = math.ceil(n_queries / rows), max(1, math.ceil(items.count() / rows))
 
     own_q = F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")
     own_i = F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int")
@@ -181,6 +190,7 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sam
     if chosen.empty:
         return spark.createDataFrame([], PAIR_SCHEMA)
     points = spread_points(unit_matrix(pa.Table.from_pandas(chosen, preserve_index=False).column("vector")), pivots)
+    block_rows = rows_per_block(points.shape[1], block_rows)
     gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * points @ points.T))
     np.fill_diagonal(gaps, 1.0)
     # A margin keeps rounding from dropping a pair that lies on the limit.

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +73,16 @@ def wilcoxon(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """p value per key; the rank sums are one row per key, so Python sees only those."""
     cols = ["n_nonzero", "n_zero", "w_plus", "w_minus", "tie_term"]
 
-    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            p = [wilcoxon_p(int(r.n_nonzero), int(r.n_zero), float(r.w_plus), float(r.w_minus), float(r.tie_term))
-                 for r in frame.itertuples(index=False)]
-            yield frame[list(keys)].assign(wilcoxon_p=p)
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [wilcoxon_p(int(r["n_nonzero"]), int(r["n_zero"]), float(r["w_plus"]), float(r["w_minus"]), float(r["tie_term"]))
+                 for r in batch.select(cols).to_pylist()]
+            # Arrow keeps NaN apart from null.
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(p, pa.float64(), from_pandas=False)],
+                                             names=[*keys, "wilcoxon_p"])
 
     schema = ", ".join(f"{k} {dict(ranks.dtypes)[k]}" for k in keys) + ", wilcoxon_p double"
-    return ranks.select(*keys, *cols).mapInPandas(values, schema)
+    return ranks.select(*keys, *cols).mapInArrow(values, schema)
 
 
 def bootstrap_ci(pairs: DataFrame, keys: Sequence[str], draws: int = 1000, seed: int = 7) -> DataFrame:

@@ -401,25 +401,25 @@ def unpriced_models(c):
     return L.unpriced_models(priced(c))
 
 
-@query("l02_running_total", "select record_id, round(running_total, 8) as running_total from v_totals")
+@query("l02_running_total", "select record_id, running_total from v_totals")
 def running_total(c):
-    return L.running_total(priced(c)).select("record_id", F.round("running_total", 8).alias("running_total"))
+    return L.running_total(priced(c)).select("record_id", "running_total")
 
 
-@query("l02_ceiling_crossing", """select record_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(running_total, 8) as running_total from v_totals
+@query("l02_ceiling_crossing", """select record_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, running_total from v_totals
     where running_total >= 1.0 order by ts, record_id limit 1""")
 def ceiling_crossing(c):
     return L.ceiling_crossing(L.running_total(priced(c)), 1.0).select(
-        "record_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("running_total", 8).alias("running_total"))
+        "record_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "running_total")
 
 
 @query("l03_cost_by_stage", """select coalesce(stage, 'all') as stage, coalesce(model, 'all') as model, count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens,
-        cast(sum(output_tokens) as bigint) as output_tokens, round(cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double), 8) as cost
+        cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double) as cost
     from v_priced group by rollup (stage, model)""")
 def cost_by_stage(c):
-    return L.cost_by_stage(priced(c)).withColumn("cost", F.round("cost", 8))
+    return L.cost_by_stage(priced(c))
 
 
-@query("l03_resume_total", "select round(max(running_total), 8) as resume_total from v_totals")
+@query("l03_resume_total", "select max(running_total) as resume_total from v_totals")
 def resume_total(c):
-    return L.resume_total(L.running_total(priced(c))).select(F.round("resume_total", 8).alias("resume_total"))
+    return L.resume_total(L.running_total(priced(c)))

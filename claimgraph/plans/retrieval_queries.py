@@ -43,8 +43,8 @@ _domain = "(['" + "','".join(DOMAINS) + "'])[query_id % 4 + 1]"
 def domain_search(c):
     domain = F.get(F.array(*[F.lit(d) for d in DOMAINS]), (F.col("query_id") % 4).cast("int"))
     queries = c.queries.withColumn("domain", domain)
-    vectors = vectors(c).join(c.docs.select("document_id", "domain"), "document_id")
-    hits = R.top_chunks_of_domain(queries, vectors, DOMAINS, 10).withColumn("domain", domain)
+    placed = vectors(c).join(c.docs.select("document_id", "domain"), "document_id")
+    hits = R.top_chunks_of_domain(queries, placed, DOMAINS, 10).withColumn("domain", domain)
     claims = c.assertions.where("confidence >= 0.5").select("chunk_id", "domain", "assertion_id")
     found = hits.join(claims, ["chunk_id", "domain"])
     return R.fetch(found, c.assertions).select("query_id", "assertion_id", F.col("score").alias("similarity_score"))

@@ -25,13 +25,13 @@ def articles(c):
 
 
 @query("s01_read_articles", """select title, url, content, len(string_split(content, ' ')) as word_count,
-    strftime(to_timestamp(1704067200 + document_id), '%Y-%m-%d %H:%M:%S') as fetched_at from v_text""")
+    1704067200 + document_id as fetched_at from v_text""")
 def read_articles(c):
     path = files.scratch_folder(c.spark)
     files.write_json(articles(c), path)
     return (files.read_articles(c.spark, path, one_per_line=True).where(F.col(files.BAD_RECORD).isNull())
             .select("title", "url", "content", "word_count",
-                    F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at")))
+                    F.unix_timestamp("fetched_at").alias("fetched_at")))
 
 
 @query("s02_read_chunks", """select document_id, sequence, section_title, content, token_estimate from

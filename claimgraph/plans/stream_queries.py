@@ -61,9 +61,9 @@ def spend_per_stage(c):
             .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.col("cost").cast("double").alias("cost")))
 
 
-@query("st2_ceiling_alert", """select record_id, round(running_total, 8) as running_total from v_totals
+@query("st2_ceiling_alert", """select record_id, running_total from v_totals
     where running_total >= 1.0 order by ts, record_id limit 1""")
 def ceiling_alert(c):
     target, checkpoint = files.scratch_folder(c.spark), files.scratch_folder(c.spark)
     _run(lambda: K.watch_ceiling(cost_stream(c), L.prices(c.spark), 1.0, target, checkpoint))
-    return tables.read(c.spark, f"{target}/alerts", K.ALERTS).select("record_id", F.round("running_total", 8).alias("running_total"))
+    return tables.read(c.spark, f"{target}/alerts", K.ALERTS).select("record_id", "running_total")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from claimgraph.functions.ranking import top_per_key
 from claimgraph.functions.text import confidence_bucket, conflict_domain, map_category
 
+# Confidences are added in hundred-millionths.
+UNIT = 10 ** 8
 # Edge types that make a seed eligible.
 SEED_EDGE_TYPES = ["ENTAILS", "CAUSES", "SPECIALIZES", "TRIGGERS", "INHIBITS", "REBUTS"]
 
@@ -79,11 +81,19 @@ def document_pair_edges(assertions: DataFrame, relations: DataFrame, conflicts:
     return (both.join(src, "source_assertion_id").join(tgt, "target_assertion_id")
             .where("source_doc <> target_doc or rel_type = 'CONTRADICTS'")
             .groupBy("source_doc", "target_doc", "rel_type")
-            .agg(F.count("*").alias("edge_count"),
-                 # Decimal sums do not depend on the order in which tasks deliver rows.
-                 F.round(F.coalesce(F.sum(F.col("confidence").cast("decimal(20,8)")).cast("double")
-                                    / F.nullif(F.count("confidence"), F.lit(0)), F.lit(0.0)), digits)
-                 .alias("mean_confidence")))
+            .agg(F.count("*").alias("edge_count"), F.count("confidence").alias("n"),
+                 F.coalesce(F.sum(F.round(F.col("confidence") * UNIT).cast("bigint")), F.lit(0)).alias("u"))
+            .select("source_doc", "target_doc", "rel_type", "edge_count", _mean_of_units("u", "n", digits).alias("mean_confidence")))
+
+
+def _mean_of_units(total: str, n: str, digits: int) -> Column:
+    """Mean of whole units, halves rounded up.
+
+    Whole numbers do not depend on the order in which tasks deliver rows, nor on
+    how a half is held in binary.
+    """
+    step = UNIT // 10 ** digits
+    return F.coalesce(F.expr(f"try_divide((2 * {total} + {n} * {step}L) div nullif(2 * {n} * {step}L, 0), {10 ** digits}D)"), F.lit(0.0))
 
 
 def top_concepts(concept_edges: DataFrame, n: int = 20) -> DataFrame:

@@ -50,7 +50,7 @@ def document_readiness(c):
 
 share("v_pair_edges", """
     select a.document_id as source_doc, b.document_id as target_doc, rel_type, count(*) as edge_count,
-           round(coalesce(cast(sum(cast(r.confidence as decimal(20, 8))) as double) / nullif(count(r.confidence), 0), 0), 3) as mean_confidence
+           coalesce(((2 * cast(sum(round(r.confidence * 1000000)) as bigint) + count(r.confidence) * 1000) // nullif(2 * count(r.confidence) * 1000, 0)) / 1000, 0) as mean_confidence
     from (select source_assertion_id as s, target_assertion_id as t, relation_type as rel_type, confidence from v_relations
           union all select source_assertion_id, target_assertion_id, relationship_type, confidence from v_conflicts) r
     join v_assertions a on a.assertion_id = s join v_assertions b on b.assertion_id = t

@@ -7,11 +7,13 @@ tie in every engine and ties go to the smaller id.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,3 +275,7 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sam
 
     pairs = left.cogroup(right).applyInArrow(meet, PAIR_SCHEMA)
     return pairs if keep is None else top_per_key(pairs, ["left_id"], [F.desc("score"), F.col("right_id")], keep)
+
+
+# Functions of this module travel to the workers whole, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +143,7 @@ def verdict(tests: DataFrame) -> DataFrame:
 def supported_propositions(verdicts: DataFrame) -> DataFrame:
     """How many verdicts start with SUPPORTED."""
     return verdicts.agg(F.count_if(F.startswith(F.col("verdict"), F.lit("SUPPORTED"))).alias("supported"), F.count("*").alias("propositions"))
+
+
+# Functions of this module travel to the workers whole, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

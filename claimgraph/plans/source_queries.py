@@ -29,7 +29,7 @@ def articles(c):
 def read_articles(c):
     path = files.scratch_folder(c.spark)
     files.write_json(articles(c), path)
-    return (files.read_articles(c.spark, path, one_per_line=True).where(F.col(files.BAD_RECORD).isNull())
+    return (files.read_articles(c.spark, path, one_per_line=True).where("title is not null")
             .select("title", "url", "content", "word_count",
                     F.unix_timestamp("fetched_at").alias("fetched_at")))
 

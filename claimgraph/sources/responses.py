@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph import schemas as S
-from claimgraph.functions.text import strip
+from claimgraph.functions.text import let, strip
 
 
 def unfenced(raw: Column) -> Column:
@@ -120,7 +120,8 @@ def parse_assertions(responses: DataFrame) -> DataFrame:
         _text(e, "object_text").alias("object_text"),
         _value(e, "object_value", "double").alias("object_value"),
         _value(e, "object_unit", "string").alias("object_unit"),
-        scope_of(e).alias("scope"), _text(e, "claim_text").alias("source_text"),
+        # Thirty fields would outgrow one generated method; inside an array lambda they are evaluated one by one.
+        let(e, scope_of).alias("scope"), _text(e, "claim_text").alias("source_text"),
         F.col("doc_title").alias("source_document"), F.lit("").alias("source_url"),
         _text(e, "authority_level", "reference").alias("authority_level"),
         F.lit("authoritative").alias("epistemic_status"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import byte_bpe, decontaminate, language, lattice, quality, simhash, token_files
+from claimgraph.llm import (byte_bpe, chat, decontaminate, language, lattice, licenses, quality, simhash, token_files,
+                            warc)
 from claimgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +19,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.ByteBpe.from_file(path, public_tokenizers.PATTERN))
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.round_trip(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -40,12 +49,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_byte_bpe, op3_decontaminate, op5_token_files, op6_distribution_quality, op7_lattice_likelihood,
-    op8_language_id, op10_simhash_groups)}
+    op1_byte_bpe, op2_chat_perspectives, op3_decontaminate, op4_license_sentences, op5_token_files, op6_distribution_quality,
+    op7_lattice_likelihood, op8_language_id, op9_warc_salvage, op10_simhash_groups)}
 # The other operators have no SQL form; tests hold them against brute force or exact round trips.
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.REPORT_SQL}
+ORACLES: dict[str, str] = {
+    "op2_chat_perspectives": chat.PERSPECTIVES_SQL, "op3_decontaminate": decontaminate.REPORT_SQL,
+    "op4_license_sentences": licenses.report_sql(), "op9_warc_salvage": warc.ROUND_TRIP_SQL,
+}

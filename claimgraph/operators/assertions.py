@@ -25,9 +25,13 @@ def live(status: str | Column = "epistemic_status") -> Column:
     return ~F.coalesce(col, F.lit("")).isin(S.DEAD_STATUSES)
 
 
-def dedup_assertions(assertions: DataFrame) -> DataFrame:
-    """One assertion per chunk and normalised claim: a specific predicate beats ``relates_to``."""
-    key = F.substring(F.lower(strip(F.col("claim_text"))), 1, 120)
+def dedup_assertions(assertions: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """One assertion per chunk and normalised claim: a specific predicate beats ``relates_to``.
+
+    Claims are compared whole, or by their first ``key_chars`` characters.
+    """
+    claim = F.lower(strip(F.col("claim_text")))
+    key = claim if key_chars is None else F.substring(claim, 1, key_chars)
     rank = F.when(F.col("predicate_type") == "relates_to", 99).otherwise(1)
     return top_per_key(assertions.withColumn("_key", key), ["chunk_id", "_key"],
                        [rank, F.col("assertion_id")], 1).drop("_key")
@@ -144,6 +148,12 @@ def clustered_links(assertions: DataFrame, low: int = MIN_CLUSTER, high: int = M
     return links.join(sizes, "concept")
 
 
+def dropped_clusters(assertions: DataFrame, low: int = MIN_CLUSTER, high: int = MAX_CLUSTER) -> DataFrame:
+    """Concepts outside the size limits with their sizes: what the limits leave out."""
+    links = concept_links(assertions).where(live())
+    return links.groupBy("concept").agg(F.count("*").alias("size")).where(~F.col("size").between(low, high))
+
+
 def concept_clusters(assertions: DataFrame) -> DataFrame:
     """Clusters with their members; the size limit bounds every array."""
     return (clustered_links(assertions).groupBy("concept", "size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions import text as tx
@@ -110,20 +110,18 @@ def expand_templates(templates: DataFrame, values: DataFrame, per_type: dict[str
     """Fill templates by cycling through templates and values of a type.
 
     ``templates`` (epistemic_type, template) uses ``{topic}``; ``values`` has
-    (value).  Both are collected to arrays once: they are word lists, and their
-    size is checked before.
+    (value).  Either may have any number of rows: no more than the largest count in
+    ``per_type`` are ever reached, so the first of each are numbered and joined.
     """
     spark = templates.sparkSession
-    limit = 10_000
-    if templates.count() > limit or values.count() > limit:
-        raise ValueError(f"templates and values must each have at most {limit} rows")
-    wanted = spark.createDataFrame(list(per_type.items()), "epistemic_type string, n int")
-    lists = templates.groupBy("epistemic_type").agg(F.array_sort(F.collect_list("template")).alias("ts"))
-    vals = [r.value for r in values.orderBy("value").collect()]
-    pool = F.array(*[F.lit(v) for v in vals])
-    n_vals = len(vals)
-    return (wanted.join(lists, "epistemic_type")
-            .select("epistemic_type", "ts", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-            .select("epistemic_type", F.col("i").alias("number"), F.replace(
-                F.get("ts", F.col("i") % F.size("ts")), F.lit("{topic}"),
-                F.get(pool, F.col("i") % n_vals)).alias("query_text")))
+    most = max(per_type.values(), default=0)
+    wanted = spark.createDataFrame(list(per_type.items()), "epistemic_type string, n int").where("n > 0")
+    counts = templates.groupBy("epistemic_type").agg(F.count("*").alias("n_templates"))
+    first = top_per_key(templates, ["epistemic_type"], [F.col("template")], most, rank="t")
+    topics = values.orderBy("value").limit(most).select("value", F.row_number().over(Window.orderBy("value")).alias("v"))
+    numbers = (wanted.join(counts, "epistemic_type").crossJoin(values.agg(F.count("*").alias("n_values")))
+               .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("number"))
+               .select("epistemic_type", "number", (F.col("number") % F.col("n_templates") + 1).alias("t"),
+                       (F.expr("number % nullif(n_values, 0)") + 1).alias("v")))
+    return (numbers.join(first, ["epistemic_type", "t"]).join(topics, "v")
+            .select("epistemic_type", "number", F.replace("template", F.lit("{topic}"), "value").alias("query_text")))

@@ -156,8 +156,22 @@ def causal_context(seeds: DataFrame, edges: DataFrame, assertions: DataFrame, pe
 
 def reachable(seeds: DataFrame, edges: DataFrame, assertions: DataFrame, types: Sequence[str],
               direction: str, max_hops: int = 2, truth_preserving: bool = False) -> DataFrame:
-    """Distinct live ends within ``max_hops``; nodes on the way may be dead."""
-    paths = walk(seeds, ["query_id"], steps(of_types(edges, types, truth_preserving), direction), max_hops)
+    """Distinct live ends within ``max_hops``; nodes on the way may be dead.
+
+    A path uses an edge once.  For two hops it does not matter which path led to the
+    middle but for its edge, and of two different first edges one differs from any second
+    edge: two of them per query and middle are kept, so a hub is left along each of its
+    edges twice at most, however many edges lead to it.
+    """
+    ways = steps(of_types(edges, types, truth_preserving), direction)
+    if max_hops == 2:
+        start = seeds.select("query_id", "node").distinct()
+        first = start.join(ways, start.node == ways.here).select("query_id", F.col("there").alias("middle"), "edge_id").distinct()
+        two = top_per_key(first, ["query_id", "middle"], [F.col("edge_id")], 2).withColumnRenamed("edge_id", "first_edge")
+        second = two.join(ways, two.middle == ways.here).where("edge_id <> first_edge").select("query_id", F.col("there").alias("node"))
+        paths = first.select("query_id", F.col("middle").alias("node")).unionByName(second)
+    else:
+        paths = walk(seeds, ["query_id"], ways, max_hops)
     ends = paths.select("query_id", F.col("node").alias("assertion_id")).distinct()
     return ends.join(live_ids(assertions), "assertion_id", "left_semi")
 

@@ -25,7 +25,7 @@ def _repeated(c):
         select assertion_id + 50000, chunk_id, '  ' || claim_text, case when line_no % 2 = 0 then 'requires' else 'relates_to' end
         from v_assertions where assertion_id % 5 = 0)
     select assertion_id, chunk_id, predicate_type from r
-    qualify row_number() over (partition by chunk_id, left(lower(trim(claim_text)), 120)
+    qualify row_number() over (partition by chunk_id, lower(trim(claim_text))
         order by case when predicate_type = 'relates_to' then 99 else 1 end, assertion_id) = 1""")
 def dedup_assertions(c):
     return A.dedup_assertions(_repeated(c)).select("assertion_id", "chunk_id", "predicate_type")
@@ -129,6 +129,11 @@ def concept_clusters(c):
             .select("concept", "size", F.array_join(F.col("assertion_ids").cast("array<string>"), "|").alias("members")))
 
 
+@query("a10_dropped_clusters", """select concept, count(*) as size from v_concept_links group by 1 having count(*) not between 2 and 50""")
+def dropped_clusters(c):
+    return A.dropped_clusters(c.assertions)
+
+
 share("v_linked", """select distinct least(source_assertion_id, target_assertion_id) as low_id,
     greatest(source_assertion_id, target_assertion_id) as high_id from v_relations""")
 

@@ -103,10 +103,10 @@ def answer_evidence_nested(c):
 
 @query("t23_source_texts", """select query_id, string_agg('[' || upper(epistemic_status) || '] [toulmin_expansion] ' || claim_text || ' (source: ' || source_document
         || ', conf: ' || printf('%.2f', confidence) || ')', chr(10) || chr(10) order by rank) as context_text
-    from v_question where rank <= 50 group by 1""")
+    from v_question group by 1""")
 def source_texts(c):
     chunks = R.top_chunks(c.queries, vectors(c), 10)
-    rows = W.question_sources(chunks, c.assertions, include_derived=False).where("rank <= 50")
+    rows = W.question_sources(chunks, c.assertions, include_derived=False)
     return summaries.join_lines(rows, ["query_id"], "rank", summaries.evidence_line(), "context_text", "\n\n")
 
 

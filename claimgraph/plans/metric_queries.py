@@ -232,7 +232,7 @@ def supported_propositions(c):
     return T.supported_propositions(verdict_rows(c).where(chosen))
 
 
-share("v_curve_queries", "select query_id from v_queries where epistemic_type = 'normative' order by query_id limit 30")
+share("v_curve_queries", "select query_id from v_queries where epistemic_type = 'normative'")
 share("v_a100", """select query_id, row_number() over (partition by query_id order by f.rank) as rank, g.validity_claim_type
     from v_found f join v_fields g using (assertion_id) where want = 0 and f.rank <= 100 and query_id in (select query_id from v_curve_queries)""")
 share("v_c100", """select query_id, assertion_id, row_number() over (partition by query_id order by f.rank) as rank
@@ -259,7 +259,7 @@ share("v_curve", """with r as (select 'A' as condition, * from v_a100 union all
 
 def curve(c):
     def build():
-        chosen = c.queries.where("epistemic_type = 'normative'").orderBy("query_id").limit(30).select("query_id")
+        chosen = c.queries.where("epistemic_type = 'normative'").select("query_id")
         rows = found(c, 200).where("rank <= 100").join(chosen, "query_id", "left_semi")
         a = R.condition_a(rows, c.assertions, 100).withColumn("condition", F.lit("A"))
         d = R.condition_d(rows, c.assertions, graph_edges(c), citations(c), "v2", 100).withColumn("condition", F.lit("D"))
@@ -281,7 +281,7 @@ def step_plateau(c):
     return M.step_plateau(curve(c)).select("condition", F.coalesce("plateau_k", F.lit(-1)).alias("plateau_k"))
 
 
-share("v_k_grid", "select q.query_id, k, q.query_id * 1000 + k as key from (select query_id from v_queries order by query_id limit 20) q, (values (5), (10), (20), (50), (100)) g(k)")
+share("v_k_grid", "select q.query_id, k, q.query_id * 1000 + k as key from v_queries q, (values (5), (10), (20), (50), (100)) g(k)")
 share("v_k_a", """select key as query_id, k, f.assertion_id, f.confidence, row_number() over (partition by key order by f.confidence desc, f.assertion_id) as rank
     from v_k_grid g join v_top_chunks t on t.query_id = g.query_id and t.rank <= k join v_assertions a using (chunk_id) join v_fields f on f.assertion_id = a.assertion_id""")
 share("v_k_b", """with near as (select query_id, there from (select distinct s.query_id, there from v_k_a s join v_both on here = s.assertion_id
@@ -297,8 +297,7 @@ share("v_k_b", """with near as (select query_id, there from (select distinct s.q
     select c.condition, g.k::bigint as k, round(avg(case when h.query_id is not null then 1.0::double else 0.0::double end), 6) as csr
     from v_k_grid g cross join (values ('A'), ('B')) c(condition) left join hits h on h.condition = c.condition and h.query_id = g.key group by 1, 2""")
 def conflict_curve(c):
-    chosen = c.queries.orderBy("query_id").limit(20)
-    return M.conflict_curve(chosen, vectors(c), c.assertions, graph_edges(c), c.conflicts)
+    return M.conflict_curve(c.queries, vectors(c), c.assertions, graph_edges(c), c.conflicts)
 
 
 _ks = ", ".join(f"({k})" for k in M.CURVE_KS)

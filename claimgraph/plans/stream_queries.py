@@ -44,7 +44,15 @@ def response_ingest(c):
 def cost_stream(c):
     """The cost log read as a stream of files."""
     schema = c.table("events").schema
-    events = c.spark.readStream.schema(schema).parquet(f"{c.sf_dir}/events*.parquet")
+    return _calls(c.spark.readStream.schema(schema).parquet(f"{c.sf_dir}/events*.parquet"))
+
+
+def cost_log(c):
+    """The same log as a table."""
+    return _calls(c.table("events"))
+
+
+def _calls(events):
     model = F.get(F.array(*[F.lit(m) for m in MODELS]), (F.col("user_id") % len(MODELS)).cast("int"))
     return events.select(F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("ts"), model.alias("model"), F.col("event_type").alias("stage"),
                          F.floor(F.col("value") * 100).alias("input_tokens"), F.floor(F.col("value") * 20).alias("output_tokens"))
@@ -52,12 +60,13 @@ def cost_stream(c):
 
 @query("st2_spend_per_stage", """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, stage, count(*) as calls,
         cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double) as cost
-    from v_priced where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minute from v_priced) group by 1, 2""")
+    from v_priced group by 1, 2""")
 def spend_per_stage(c):
     target, checkpoint = files.scratch_folder(c.spark), files.scratch_folder(c.spark)
     spend = K.spend_per_stage(cost_stream(c), L.prices(c.spark))
     _run(lambda: K.write_spend(spend, target, checkpoint))
-    return (c.spark.read.schema(spend.schema).parquet(target)
+    written = c.spark.read.schema(spend.schema).parquet(target)
+    return (K.flush_spend(cost_log(c), L.prices(c.spark), written)
             .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.col("cost").cast("double").alias("cost")))
 
 

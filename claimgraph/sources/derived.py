@@ -176,33 +176,32 @@ def view_sql(d: Dialect) -> dict[str, str]:
                {div('line_no', 6)} as sequence
         from v_lines"""
 
-    noise = f"(document_id * 7 + 11 * {div('document_id', 100)} + 3 + 13 * sequence) % 500"
+    # Every vector of the table is drawn from, however many there are.
+    n_vectors = "greatest((select count(*) from embeddings), 1)"
+    v["v_vector_parts"] = f"""
+        select chunk_id, document_id, document_id % {n_vectors} as base_id,
+               (document_id * 7 + 11 * {div('document_id', 100)} + 3 + 13 * sequence) % {n_vectors} as noise_id
+        from v_chunks"""
+    v["v_queries"] = f"""
+        select query_id, query_text, epistemic_type, embedding as vector
+        from (select item_id as query_id, text as query_text, {pick(EVAL_TYPES, 'item_id')} as epistemic_type,
+                     item_id % {n_vectors} as base_id from benchmark) q
+        join embeddings on vec_id = base_id"""
     if d.spark:
         mixed = "zip_with(b.embedding, n.embedding, (x, y) -> cast(x as double) + 0.47D * cast(y as double))"
         v["v_vectors"] = f"""
             select chunk_id, document_id,
                    transform(raw, x -> cast(x / sqrt(aggregate(raw, 0D, (s, y) -> s + y * y)) as float)) as vector
-            from (select /*+ broadcast(b), broadcast(n) */ c.chunk_id, c.document_id, {mixed} as raw
-                  from v_chunks c
-                  join (select * from embeddings where vec_id < 500) b on b.vec_id = c.document_id % 100
-                  join (select * from embeddings where vec_id < 500) n on n.vec_id = {noise.replace('document_id', 'c.document_id')})"""
-        v["v_queries"] = f"""
-            select item_id as query_id, text as query_text, {pick(EVAL_TYPES, 'item_id')} as epistemic_type,
-                   embedding as vector
-            from benchmark join (select * from embeddings where vec_id < 500) e on e.vec_id = item_id % 100"""
+            from (select c.chunk_id, c.document_id, {mixed} as raw
+                  from v_vector_parts c join embeddings b on b.vec_id = c.base_id join embeddings n on n.vec_id = c.noise_id)"""
     else:
-        v["v_vectors"] = f"""
+        v["v_vectors"] = """
             select chunk_id, document_id,
                    list_transform(raw, lambda x: cast(x / sqrt(list_dot_product(raw, raw)) as float)) as vector
             from (select c.chunk_id, c.document_id,
                          list_transform(range(1, 65), lambda k:
                              cast(b.embedding[k] as double) + cast(0.47 as double) * cast(n.embedding[k] as double)) as raw
-                  from v_chunks c join embeddings b on b.vec_id = c.document_id % 100
-                  join embeddings n on n.vec_id = {noise.replace('document_id', 'c.document_id')})"""
-        v["v_queries"] = f"""
-            select item_id as query_id, text as query_text, {pick(EVAL_TYPES, 'item_id')} as epistemic_type,
-                   embedding as vector
-            from benchmark join embeddings e on e.vec_id = item_id % 100"""
+                  from v_vector_parts c join embeddings b on b.vec_id = c.base_id join embeddings n on n.vec_id = c.noise_id)"""
 
     block = div("doc_id", 50) + " * 50"
     near = f"case when (doc_id + line_no) % 3 = 0 then doc_id + 100 else {block} + (doc_id * 37 + line_no * 101 + 11) % 50 end"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgraph import schemas as S
+from claimgraph.session import shared_folder
 
 BAD_RECORD = "_bad_record"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints: the shared folder on a cluster, /tmp in tests."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='claimgraph-')}/run-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def _json(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool) -> DataFrame:

@@ -28,6 +28,10 @@ def failed_responses(responses: DataFrame) -> DataFrame:
     return parsed(responses).where("doc is null").drop("doc")
 
 
+def usable_responses(responses: DataFrame) -> DataFrame:
+    return parsed(responses).where("doc is not null").drop("doc")
+
+
 def _value(element: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(element, f"$.{path}", kind)
 

@@ -16,7 +16,7 @@ ALERTS = S.struct(record_id=T.LongType(), ts=T.TimestampType(), running_total=T.
 
 
 def spend_per_stage(calls: DataFrame, price_table: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Windowed spend per stage; calls later than ``lateness`` are left out."""
+    """Windowed spend per stage; calls later than ``lateness`` are left out here and kept by ``late_calls``."""
     exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
     return (with_cost(calls.withWatermark("ts", lateness), price_table)
             .groupBy(F.window("ts", window), "stage")
@@ -29,6 +29,30 @@ def write_spend(spend: DataFrame, target: str, checkpoint: str) -> StreamingQuer
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def flush_spend(calls: DataFrame, price_table: DataFrame, spend: DataFrame, window: str = "1 hour") -> DataFrame:
+    """All windows once the input has ended: the streamed ones, and from ``calls`` those the watermark never closed.
+
+    A window that a late call belongs to was closed before; the call is in ``late_calls``.
+    """
+    exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
+    every = (with_cost(calls, price_table).groupBy(F.window("ts", window), "stage")
+             .agg(F.count("*").alias("calls"), F.sum(exact).alias("cost"))
+             .select(F.col("window.start").alias("window_start"), "stage", "calls", "cost"))
+    keys = ["window_start", "stage"]
+    return spend.unionByName(every.join(spend.select(*keys), keys, "left_anti"))
+
+
+def late_calls(calls: DataFrame, price_table: DataFrame, spend: DataFrame, window: str = "1 hour") -> DataFrame:
+    """(window_start, stage, calls, cost) of calls that arrived after their window was closed."""
+    keys = ["window_start", "stage"]
+    exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
+    every = (with_cost(calls, price_table).groupBy(F.window("ts", window), "stage")
+             .agg(F.count("*").alias("n"), F.sum(exact).alias("whole"))
+             .select(F.col("window.start").alias("window_start"), "stage", "n", "whole"))
+    return (spend.join(every, keys).where("n > calls")
+            .select(*keys, (F.col("n") - F.col("calls")).alias("calls"), (F.col("whole") - F.col("cost")).alias("cost")))
+
+
 def watch_ceiling(calls: DataFrame, price_table: DataFrame, ceiling: float, target: str, checkpoint: str) -> StreamingQuery:
     """One total over all batches; the record that first reaches the ceiling is written to ``alerts``.
 
@@ -45,9 +69,12 @@ def watch_ceiling(calls: DataFrame, price_table: DataFrame, ceiling: float, targ
         tables.write_batch(priced.agg(F.coalesce(F.sum(exact), F.lit(0)).cast("decimal(38,10)").alias("cost")),
                            f"{target}/totals", batch_id)
         before = tables.read_before(spark, f"{target}/totals", TOTALS, batch_id).agg(
-            F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)).alias("b")).first().b
-        totals = running_total(priced).withColumn("running_total", F.col("running_total") + F.lit(before))
-        crossed = totals.where(F.lit(before) < F.lit(ceiling)).where(F.col("running_total") >= ceiling)
+            F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,10)").alias("b")).first().b
+        # Totals stay decimal until they have been compared.
+        total = F.round("running_total", 10).cast("decimal(30,10)") + F.lit(before).cast("decimal(30,10)")
+        limit = F.lit(str(ceiling)).cast("decimal(30,10)")
+        totals = running_total(priced).withColumn("_total", total).withColumn("running_total", total.cast("double"))
+        crossed = totals.where(F.lit(before).cast("decimal(30,10)") < limit).where(F.col("_total") >= limit)
         first = crossed.orderBy("ts", "record_id").limit(1)
         tables.write_batch(first.select(*ALERTS.fieldNames()), f"{target}/alerts", batch_id)
 

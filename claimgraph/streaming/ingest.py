@@ -15,7 +15,7 @@ from claimgraph import schemas as S
 from claimgraph.functions.ranking import top_per_key
 from claimgraph.operators.chunking import chunk_articles
 from claimgraph.sources.files import BAD_RECORD
-from claimgraph.sources.responses import failed_responses, parse_assertions
+from claimgraph.sources.responses import failed_responses, parse_assertions, usable_responses
 from claimgraph.streaming import tables
 
 DOCUMENTS = S.struct(document_id=T.StringType(), title=T.StringType(), url=T.StringType(), content=T.StringType(),
@@ -59,7 +59,11 @@ def response_stream(spark: SparkSession, source: str, files_per_batch: int = 100
 
 
 def ingest_responses(responses: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Typed assertions from responses; text that does not parse waits in ``failed``."""
+    """Typed assertions from responses; text that does not parse waits in ``failed``.
+
+    Only answers that parse compete for their chunk, so a broken answer never hides a
+    good one.  ``open_failures`` has the failures that no later answer has resolved.
+    """
     spark = responses.sparkSession
     shape = parse_assertions(spark.createDataFrame([], RESPONSES)).schema
     tables.prepare(spark, f"{target}/assertions", shape)
@@ -67,10 +71,17 @@ def ingest_responses(responses: DataFrame, target: str, checkpoint: str) -> Stre
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.write_batch(failed_responses(batch), f"{target}/failed", batch_id)
-        # A chunk answered twice keeps its first answer.
+        # A chunk answered twice keeps its first answer that parses.
         known = tables.read_before(spark, f"{target}/assertions", shape, batch_id).select("chunk_id").distinct()
-        first = top_per_key(batch, ["chunk_id"], [F.col("raw")], 1).join(known, "chunk_id", "left_anti")
+        good = usable_responses(batch).join(known, "chunk_id", "left_anti")
+        first = top_per_key(good, ["chunk_id"], [F.col("raw")], 1)
         tables.write_batch(parse_assertions(first), f"{target}/assertions", batch_id)
 
     return (responses.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def open_failures(spark: SparkSession, target: str) -> DataFrame:
+    """Failed responses of chunks that have no assertions yet."""
+    failed = tables.read(spark, f"{target}/failed", RESPONSES).drop("batch")
+    return failed.join(spark.read.parquet(f"{target}/assertions").select("chunk_id").distinct(), "chunk_id", "left_anti")

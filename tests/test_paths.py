@@ -126,6 +126,25 @@ def test_one_hop_neighbourhood_is_symmetric(spark, rows):
     assert pairs == {(b, a) for a, b in pairs}
 
 
+@settings(max_examples=8, deadline=None)
+@given(rows=edge_lists)
+def test_two_hops_reach_what_all_paths_reach(spark, rows):
+    start = spark.createDataFrame([(1, 0), (1, 3), (2, 3)], "query_id bigint, node bigint")
+    for direction in ("out", "both"):
+        found = P.reachable(start, edges(spark, rows), claims(spark, 6), ["ENTAILS"], direction, 2)
+        want = {(q, nodes[-1]) for q, n in ((1, 0), (1, 3), (2, 3)) for _, _, nodes in trails(rows, n, 2, direction == "both")}
+        assert {(r.query_id, r.assertion_id) for r in found.collect()} == want
+
+
+def test_a_hub_is_left_along_each_edge_twice_at_most(spark):
+    n = 100_000
+    star = spark.range(1, n + 1).selectExpr("0L as src", "id as dst", "'SUPPORTS' as type", "id as edge_id", "0.5D as confidence",
+                                            "false as is_truth_preserving")
+    alive = spark.range(n + 1).selectExpr("id as assertion_id", "'authoritative' as epistemic_status")
+    leaves = spark.range(1, 2000).selectExpr("1L as query_id", "id as node")
+    assert P.reachable(leaves, star, alive, ["SUPPORTS"], "both", 2).count() == n + 1
+
+
 @settings(max_examples=8, deadline=None)
 @given(rows=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.just("CAUSES"), st.just(0.9)), min_size=1, max_size=8))
 def test_causal_chains_equal_all_paths(spark, rows):

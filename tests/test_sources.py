@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.functions import scope as sc
@@ -99,3 +100,33 @@ def test_insert_and_update(spark):
 def test_repeated_insert_changes_nothing(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert tables.new_rows(rows, rows, ["k"], [F.col("v")]).count() == 0
+
+
+def test_every_vector_of_the_table_is_drawn(spark, tmp_path):
+    from claimgraph.sources.derived import Corpus
+    n = 2000
+    spark.range(n).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(n).selectExpr("id as doc_id", "'one line' as text", "'en' as lang", "'s' as source", "8L as n_chars").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id as item_id", "'q' as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus = Corpus(spark, str(tmp_path))
+    assert corpus.queries.select("vector").distinct().count() == n
+    parts = corpus.view("v_vector_parts")
+    assert parts.select("base_id").distinct().count() == n and parts.select("noise_id").distinct().count() > n / 2
+    assert corpus.vectors.count() == n
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from claimgraph import session as X
+
+    class Elsewhere:
+        master, applicationId = "spark://somewhere:7077", "a"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext, conf = Elsewhere(), spark.conf  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        X.shared_folder(Session())

@@ -51,6 +51,22 @@ def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
     assert tables.read_before(spark, path, schema, 0).count() == 0
 
 
+def test_a_broken_answer_does_not_hide_a_good_one(spark, tmp_path):
+    good = json.dumps([{"claim_text": "A firm must report.", "subject": "firm", "predicate_type": "requires"}])
+    rows = [("c1", "d1", "t", "!broken"), ("c1", "d1", "t", good), ("c2", "d1", "t", "!broken")]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, I.RESPONSES).coalesce(1).write.json(source)
+    go = lambda: run(I.ingest_responses(I.response_stream(spark, source), str(tmp_path / "out"), str(tmp_path / "check")))
+    go()
+    stored = spark.read.parquet(str(tmp_path / "out" / "assertions"))
+    assert [r.chunk_id for r in stored.collect()] == ["c1"]
+    assert [r.chunk_id for r in I.open_failures(spark, str(tmp_path / "out")).collect()] == ["c2"]
+    # A later good answer resolves the failure.
+    spark.createDataFrame([("c2", "d1", "t", good)], I.RESPONSES).coalesce(1).write.mode("append").json(source)
+    go()
+    assert I.open_failures(spark, str(tmp_path / "out")).count() == 0
+
+
 COSTS = "record_id bigint, ts timestamp, model string, stage string, input_tokens bigint, output_tokens bigint"
 
 

@@ -184,7 +184,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
             for page_id, url, payload, refers_to in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if out is None:
                     file, n, size = f"{path}/pages-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(file)
+                    out = fs.open_output_stream(file, compression=None)
                 body = payload.as_py()
                 data = member(record(page_id.as_py(), url.as_py(), body, base32_sha1(body), refers_to.as_py()))
                 out.write(data)
@@ -225,7 +225,7 @@ def read(manifest: DataFrame, with_block: bool = True) -> DataFrame:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 fs, path = open_folder(file)
-                with fs.open_input_stream(path) as source:
+                with fs.open_input_stream(path, compression=None) as source:
                     data = source.read()
                 rows, held = [], 0
                 for found in salvage(data):

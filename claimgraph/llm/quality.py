@@ -28,7 +28,7 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
 }
 OTHER = "other"
 #: Documents with fewer characters in words, or fewer words, are too short for the histogram and pass that rule.
-MIN_CHARS, MIN_COMMON_WORDS = 200, 60
+MIN_CHARS, MIN_COMMON_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.3
 
 

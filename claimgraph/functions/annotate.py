@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import let
@@ -70,6 +70,24 @@ def validity_type(text: Column) -> Column:
     return out.otherwise("constative")
 
 
+def table_mentions(texts: DataFrame, gazetteer: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, name): names of a gazetteer table (name) that occur in a text as whole words, any case, once each.
+
+    Texts meet the names on the first word of a name and only then look for the whole
+    of it, so the work follows the words, not texts times names.  A name without a letter
+    or digit has no word and is never found.
+    """
+    first = F.regexp_extract("key", r"([\p{L}\p{N}_]+)", 1)
+    names = (gazetteer.select("name", F.lower("name").alias("key")).where("name is not null").distinct()
+             .withColumn("first", first).where("first <> ''")
+             .withColumn("pattern", F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("key", r"([^\p{L}\p{N}_ ])", r"\\$1"),
+                                             F.lit(r"(?![\p{L}\p{N}_])"))))
+    low = texts.select(F.col(id_column).alias("id"), F.lower(text_column).alias("low"))
+    words = low.select("id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("first"))
+    return (words.join(names, "first").where(F.contains("low", "key") & F.rlike("low", F.col("pattern")))
+            .select(F.col("id").alias(id_column), "name").distinct())
+
+
 def regulation_mentions(text: Column, names: list[str] | None = None) -> Column:
     """Names that occur in ``text`` as whole words, any case.
 

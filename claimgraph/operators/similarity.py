@@ -21,8 +21,9 @@ from claimgraph.functions.ranking import top_per_key
 from claimgraph.session import cut_lineage
 
 SCORE_DIGITS = 9
-# A set of query vectors up to this size is sent to every task.
+# Bounds of a block of queries: its vectors, and what a task keeps for it.
 BROADCAST_BYTES = 64 * 1024 * 1024
+STATE_BYTES = 256 * 1024 * 1024
 # Rows of a block, fewer where vectors are long; and score cells held at a time.
 BLOCK_ROWS = 20_000
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -107,8 +108,9 @@ def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     item's ``ties`` applies.  ``items`` is (item_id, vector, ties): a null entry
     excludes the item for that want, and equal scores go to the smaller entry.
     Each task keeps only its best ``k`` per query; the vectors are scanned in
-    place and never shuffled.  A query set too large to send to every task is
-    cut into blocks that meet blocks of items.
+    place and never shuffled.  Queries are sent to the tasks in blocks, bounded by
+    their vectors and by the best items that a task holds for them, and the vectors
+    are scanned once per block.
     """
     spark = queries.sparkSession
     q = queries.select("query_id", F.col("want").cast("int").alias("want"), "vector")
@@ -116,39 +118,30 @@ def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     count, size = q.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     if count == 0:
         hits = spark.createDataFrame([], HIT_SCHEMA)
-    elif count * size * 8 <= BROADCAST_BYTES:
-        table = pa.Table.from_pandas(q.toPandas(), preserve_index=False)
-        block = (table.column("query_id").to_numpy(), table.column("want").to_numpy(), unit_matrix(table.column("vector")))
-        shared = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, wants, matrix = shared.value
-            yield _scan(batches, ids, wants, matrix, k)
-
-        hits = items.mapInArrow(scan, HIT_SCHEMA)
     else:
-        hits = _block_hits(q, items, count, k, size)
+        bound = min(BROADCAST_BYTES // (8 * max(size, 1)), STATE_BYTES // (24 * k))
+        n_blocks = math.ceil(count / max(1, bound))
+        block = F.pmod(F.xxhash64("query_id", "want"), F.lit(n_blocks))
+        hits = None
+        for number in range(n_blocks):
+            part = _block_hits(q.where(block == number), items, k)
+            hits = part if hits is None else hits.unionByName(part)
     return top_per_key(hits, ["query_id", "want"], [F.desc("score"), F.col("tie")], k, rank="rank")
 
 
-def _block_hits(queries: DataFrame, items: DataFrame, n_queries: int, k: int, dims: int) -> DataFrame:
-    """Every block of queries meets every block of items once; blocks are bounded."""
-    rows = rows_per_block(dims, BLOCK_ROWS)
-    n_q, n_i = math.ceil(n_queries / rows), max(1, math.ceil(items.count() / rows))
-
-    own_q = F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")
-    own_i = F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int")
-    left = (queries.select(own_q.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("ib"),
-                           "query_id", "want", F.col("vector").alias("query_vector")).groupBy("qb", "ib"))
-    right = (items.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_block"), own_i.alias("i_block"),
-                          "item_id", "vector", "ties").groupBy("q_block", "i_block"))
+def _block_hits(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Every task's best items for a block of queries small enough to be sent to it."""
+    table = pa.Table.from_pandas(queries.toPandas(), preserve_index=False)
+    if table.num_rows == 0:
+        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (table.column("query_id").to_numpy(), table.column("want").to_numpy(), unit_matrix(table.column("vector"))))
 
-    def meet(q: pa.Table, i: pa.Table) -> pa.Table:
-        ids, wants = q.column("query_id").to_numpy(), q.column("want").to_numpy()
-        matrix = unit_matrix(q.column("query_vector")) if len(ids) else np.zeros((0, 1))
-        return pa.Table.from_batches([_scan(i.combine_chunks().to_batches(), ids, wants, matrix, k)])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wants, matrix = shared.value
+        yield _scan(batches, ids, wants, matrix, k)
 
-    return left.cogroup(right).applyInArrow(meet, HIT_SCHEMA)
+    return items.mapInArrow(scan, HIT_SCHEMA)
 
 
 # ---- similarity join ---------------------------------------------------------------------------
@@ -158,6 +151,8 @@ PAIR_SCHEMA = "left_id bigint, right_id bigint, score double"
 
 SHELL_DEGREES = 10.0
 SHELLS = 19
+# Neighbouring cells share a group of about so many vectors, and a vector visits a group once.
+GROUP_ROWS = 2048
 
 
 def spread_points(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -174,7 +169,7 @@ def spread_points(vectors: np.ndarray, count: int) -> np.ndarray:
 
 
 def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sample: int = 4096,
-                    block_rows: int = BLOCK_ROWS, keep: int | None = None) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, keep: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Ordered pairs (left_id, right_id, score) of distinct vectors at or above ``threshold``.
 
     ``vectors`` is (vec_id, vector).  Exact partitioning by pivots: a vector's home
@@ -182,9 +177,10 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sam
     visits a cell unless the triangle inequality proves that no vector there is
     within the threshold angle: its angle to the pivot is too far from the angles in
     the cell, or it lies too far behind the plane half-way to its own pivot.  Every
-    pair is found in the home cell of its left vector, once.  Cells are cut into
-    blocks of bounded size, so a crowded cell becomes many tasks.  With ``keep``,
-    each block reports only a vector's best ``keep`` partners (ties by the smaller id).
+    pair is found in the home cell of its left vector, once.  Small cells are put
+    together in groups, so that a vector is sent to a group once and not to each of its
+    cells; groups are cut into blocks of bounded size, so a crowded cell becomes many
+    tasks.  With ``keep``, each block reports only a vector's best ``keep`` partners (ties by the smaller id).
     """
     spark = vectors.sparkSession
     vectors = cut_lineage(vectors.select("vec_id", "vector"))
@@ -215,11 +211,14 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sam
     # At most pivots x shells rows.
     cells = (homes.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
              .orderBy("cell").toPandas())
-    known = spark.sparkContext.broadcast((cells["cell"].to_numpy(np.int32), cells["low"].to_numpy(), cells["high"].to_numpy()))
+    n_before = (cells["n"].cumsum() - cells["n"]).to_numpy()
+    group = np.unique(n_before // group_rows, return_inverse=True)[1]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    known = spark.sparkContext.broadcast((cells["cell"].to_numpy(np.int32), cells["low"].to_numpy(), cells["high"].to_numpy(), starts))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, between = shared.value
-        ids, low, high = known.value
+        ids, low, high, firsts = known.value
         pivot = ids // SHELLS
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
@@ -231,17 +230,19 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 256, sam
                 behind = (own[:, None] - dots) / between[home]
                 reaches = (angle >= low - theta - 1e-9) & (angle <= high + theta + 1e-9)
                 reaches &= (behind <= math.sin(theta) + 1e-9)[:, pivot] | (home[:, None] == pivot[None, :])
-                row, at = np.nonzero(reaches)
+                row, at = np.nonzero(np.logical_or.reduceat(reaches, firsts, axis=1))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(ids[at])],
+                    [batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(at.astype(np.int32))],
                     names=["vec_id", "vector", "cell"])
 
-    visits = homes.select("vec_id", "vector", "cell").mapInArrow(visit, "vec_id bigint, vector array<float>, cell int")
-    sizes = spark.createDataFrame(
-        [(int(c), max(1, math.ceil(n / block_rows))) for c, n in zip(cells["cell"], cells["n"])], "cell int, home_blocks int")
+    visits = cut_lineage(homes.select("vec_id", "vector", "cell").mapInArrow(visit, "vec_id bigint, vector array<float>, cell int"))
+    n_rows = np.add.reduceat(cells["n"].to_numpy(), starts)
+    sizes = spark.createDataFrame([(g, max(1, math.ceil(n / block_rows))) for g, n in enumerate(n_rows.tolist())], "cell int, home_blocks int")
+    groups = spark.createDataFrame(list(zip(cells["cell"].tolist(), group.tolist())), "home_cell int, cell int")
+    homes = homes.withColumnRenamed("cell", "home_cell").join(F.broadcast(groups), "home_cell")
     most = (visits.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("visit_blocks")))
-    # Both tables have one row per cell.
+    # Both tables have one row per group of cells, and there are at most pivots x shells cells.
     blocks = F.broadcast(cut_lineage(sizes.join(most, "cell")))
     home_of = F.pmod(F.xxhash64("vec_id"), F.col("home_blocks")).cast("int")
     visit_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("visit_blocks")).cast("int")

@@ -87,11 +87,16 @@ def wilcoxon(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranks.select(*keys, *cols).mapInArrow(values, schema)
 
 
+def _draw(*parts: Column | str) -> Column:
+    """A number below 2**60 from the digest of the parts joined by bars."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def bootstrap_ci(pairs: DataFrame, keys: Sequence[str], draws: int = 1000, seed: int = 7) -> DataFrame:
     """95 % interval of the mean difference from seeded resamples.
 
-    A hash of (seed, draw, position) picks each resampled row, so a retried task
-    repeats its draws.  A resample is a count of draws per row; the means are
+    A digest of (seed, keys, draw, position) picks each resampled row, so a retried task
+    and any other engine repeat its draws.  A resample is a count of draws per row; the means are
     plain aggregates.
     """
     diff = F.col("treatment") - F.col("baseline")
@@ -99,7 +104,7 @@ def bootstrap_ci(pairs: DataFrame, keys: Sequence[str], draws: int = 1000, seed:
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("size"))
     slots = (rows.select(*keys, F.col("i").alias("slot")).join(sizes, list(keys))
              .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
-    picks = slots.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw", "slot"), F.col("size")) + 1)
+    picks = slots.withColumn("i", F.pmod(_draw(F.lit(seed), *keys, "draw", "slot"), F.col("size")) + 1)
     means = (picks.groupBy(*keys, "draw", "i").agg(F.count("*").alias("times"))
              .join(rows.select(*keys, "i", "d"), [*keys, "i"])
              .groupBy(*keys, "draw").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean")))

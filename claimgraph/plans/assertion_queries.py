@@ -147,7 +147,7 @@ def cross_document_pairs(c):
 
 
 @query("a12_accept_relations", """with f as (select relationship_id, source_assertion_id as s, target_assertion_id as t from v_conflicts
-        union all select relationship_id + 7000000000, target_assertion_id, source_assertion_id from v_conflicts where relationship_id % 3 = 0)
+        union all select relationship_id + 7000000000000000, target_assertion_id, source_assertion_id from v_conflicts where relationship_id % 3 = 0)
     select relationship_id, s as source_assertion_id, t as target_assertion_id from f
     left join v_assertions a on a.assertion_id = s left join v_assertions b on b.assertion_id = t
     where a.document_id is distinct from b.document_id
@@ -155,7 +155,7 @@ def cross_document_pairs(c):
     qualify row_number() over (partition by least(s, t), greatest(s, t) order by relationship_id) = 1""")
 def accept_relations(c):
     back = c.conflicts.where("relationship_id % 3 = 0").select(
-        (F.col("relationship_id") + 7000000000).alias("relationship_id"),
+        (F.col("relationship_id") + 7000000000000000).alias("relationship_id"),
         F.col("target_assertion_id").alias("source_assertion_id"), F.col("source_assertion_id").alias("target_assertion_id"))
     found = c.conflicts.select("relationship_id", "source_assertion_id", "target_assertion_id").unionByName(back)
     return A.accept_relations(found, c.assertions, c.relations, [F.col("relationship_id")])

@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from claimgraph.operators import evidence as E
+from claimgraph.operators import graph as G
 from claimgraph.operators import retrieval as R
 from claimgraph.plans.registry import query, share
 from claimgraph.plans.stored import citations, graph_edges, vectors
+from claimgraph.session import cut_lineage
 from claimgraph.sources.derived import DOMAINS
+from claimgraph.sources.ids import decode, encode, number_ids
 
 share("v_scores", """
     select q.query_id, q.epistemic_type, c.chunk_id, c.document_id,
@@ -135,6 +138,28 @@ def condition_b(c):
             .select("query_id", "rank", "assertion_id", "confidence"))
 
 
+@query("r09_condition_b_text_ids", """select 'q-' || printf('%016x', query_id) as query_id, rank,
+        'a-' || printf('%016x', assertion_id) as assertion_id, confidence from v_cond_b""")
+def condition_b_text_ids(c):
+    """The same search and graph where every id is text, the way readers and parsers give it."""
+    def text(df, **kinds):
+        for column, kind in kinds.items():
+            df = df.withColumn(column, F.concat(F.lit(kind + "-"), F.lower(F.lpad(F.hex(column), 16, "0"))))
+        return df
+
+    assertions = text(c.assertions, assertion_id="a", chunk_id="c")
+    vectors_of = text(c.vectors, chunk_id="c")
+    asked = text(c.queries, query_id="q")
+    ends = {"source_assertion_id": "a", "target_assertion_id": "a"}
+    relations, conflicts = text(c.relations, **ends), text(c.conflicts, **ends)
+    ids = number_ids(assertions.select("assertion_id"), vectors_of.select("chunk_id"), asked.select("query_id"))
+    assertions = cut_lineage(encode(assertions, ids, "assertion_id", "chunk_id"))
+    edges = G.assertion_edges(encode(relations, ids, *ends), encode(conflicts, ids, *ends), assertions)
+    hits = cut_lineage(R.search(encode(asked, ids, "query_id"), assertions, encode(vectors_of, ids, "chunk_id"), 50))
+    found_b = R.condition_b(hits, assertions, edges).select("query_id", "rank", "assertion_id", "confidence")
+    return decode(found_b, ids, "query_id", "assertion_id")
+
+
 @query("r09_condition_b_v1", "select query_id, rank, assertion_id, confidence from v_cond_b1")
 def condition_b_v1(c):
     return (R.condition_b_v1(R.top_chunks(c.queries, vectors(c), 50), c.assertions, graph_edges(c))
@@ -310,9 +335,9 @@ def context_sources(c):
 share("v_neutral", "select query_id, assertion_id from v_found where want = 0 and rank = 1")
 
 
-@query("r17_neutral_seeds", """select query_id, case when query_id % 5 = 0 then query_id * 100000 else assertion_id end as assertion_id from v_neutral""")
+@query("r17_neutral_seeds", """select query_id, case when query_id % 5 = 0 then query_id * 10000000 else assertion_id end as assertion_id from v_neutral""")
 def neutral_seeds(c):
-    stored = c.queries.where("query_id % 5 = 0").select("query_id", (F.col("query_id") * 100000).alias("assertion_id"))
+    stored = c.queries.where("query_id % 5 = 0").select("query_id", (F.col("query_id") * 10000000).alias("assertion_id"))
     return R.neutral_seeds(found(c), stored)
 
 

@@ -266,7 +266,7 @@ def parse_grammar(c):
     again = F.to_json(F.struct(text_id.alias("assertion_id"), F.lit("rebuttal").alias("discourse_role"), "validity_claim_type"))
     element = F.when(i % 6 == 0, F.concat(item, F.lit(","), again)).otherwise(item)
     raw = (grammar(c).withColumn("element", element)
-           .withColumn("chunk_id", F.col("document_id") * 100000 + F.floor((i % 100000) / 6))
+           .withColumn("chunk_id", F.col("document_id") * 10000000 + F.floor((i % 10000000) / 6))
            .groupBy("chunk_id", "document_id").agg(F.array_sort(F.collect_list(F.struct(i.alias("i"), "element"))).alias("es"))
            .select("document_id", _fenced(F.concat(
                F.lit('{"classifications": ['), F.array_join(F.transform("es", lambda e: e["element"]), ","), F.lit("]}")),
@@ -322,6 +322,22 @@ def gazetteer_mentions(c):
     return named.groupBy("name").agg(F.count("*").alias("documents"))
 
 
+_gazetteer_sql = "select name, count(*) as documents from (" + """
+        select document_id, name from (select document_id, lower(content) as t from v_text) d,
+            (select unnest(['Basel III', 'MiFID II', 'Overview', 'Capital rules', 'See also', 'der', 'of the', 'en un', 'le', 'rules =='])
+             as name) g
+        where case when contains(t, lower(name)) then regexp_matches(t, '(^|[^\\pL\\pN_])' || lower(name) || '($|[^\\pL\\pN_])') else false end) group by 1"""
+
+
+@query("s09_gazetteer_file", _gazetteer_sql)
+def gazetteer_file(c):
+    names = ["Basel III", "MiFID II", "Overview", "Capital rules", "See also", "der", "of the", "en un", "le", "rules =="]
+    path = files.scratch_folder(c.spark)
+    files.write_gazetteer(c.spark.createDataFrame([(n,) for n in names], "name string"), path)
+    found = annotate.table_mentions(c.text, files.read_gazetteer(c.spark, path), "document_id", "content")
+    return found.groupBy("name").agg(F.count("*").alias("documents"))
+
+
 @query("s12_queries_with_seeds", """select cast(query_id as string) as query_id, epistemic_type,
         case when query_id % 5 = 0 then 'kept' else cast(assertion_id as string) end as query_seed_assertion_id
     from v_queries join (select query_id, assertion_id from v_found where want = 0 and rank = 1) using (query_id)""")

@@ -135,8 +135,8 @@ def view_sql(d: Dialect) -> dict[str, str]:
         from documents"""
 
     v["v_assertions"] = f"""
-        select doc_id * 100000 + line_no as assertion_id,
-               doc_id * 100000 + {div('line_no', 6)} as chunk_id,
+        select doc_id * 10000000 + line_no as assertion_id,
+               doc_id * 10000000 + {div('line_no', 6)} as chunk_id,
                doc_id as document_id, line_no, trim(line) as claim_text,
                {pick(SUBJECTS, 'doc_id * 3 + line_no * 5')} as subject,
                {pick(S.PREDICATES, 'doc_id * 7 + line_no * 3')} as predicate_type,
@@ -172,7 +172,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
         from v_lines"""
 
     v["v_chunks"] = f"""
-        select distinct doc_id * 100000 + {div('line_no', 6)} as chunk_id, doc_id as document_id,
+        select distinct doc_id * 10000000 + {div('line_no', 6)} as chunk_id, doc_id as document_id,
                {div('line_no', 6)} as sequence
         from v_lines"""
 
@@ -205,18 +205,31 @@ def view_sql(d: Dialect) -> dict[str, str]:
 
     block = div("doc_id", 50) + " * 50"
     near = f"case when (doc_id + line_no) % 3 = 0 then doc_id + 100 else {block} + (doc_id * 37 + line_no * 101 + 11) % 50 end"
-    families = f"""
-        select doc_id, line_no, 0 as fam, doc_id * 100000 + line_no as src, {near} as tdoc, line_no * 7 + 3 as tkey
-        from v_lines
-        union all
-        select l.doc_id, l.line_no, 1, l.doc_id * 100000 + l.line_no, l.doc_id, l.line_no + 1
-        from v_lines l join v_docs n on n.document_id = l.doc_id where l.line_no + 1 < n.n_lines
-        union all
-        select doc_id, line_no, 2, doc_id * 100000 + line_no, {near}, line_no * 7 + 3
-        from v_lines where (doc_id + line_no) % 5 = 0
-        union all
-        select doc_id, line_no, 3, doc_id * 100000 + line_no, {near}, line_no * 7 + 3
-        from v_lines where (doc_id + line_no) % 15 = 0"""
+    if d.spark:
+        # One pass: a line gives its edges of all families, and its document's line count is at hand.
+        families = f"""
+            select doc_id, line_no, doc_id * 10000000 + line_no as src, e.fam as fam, e.tdoc as tdoc, e.tkey as tkey
+            from (select doc_id, line_no, explode(array_compact(array(
+                      named_struct('fam', 0, 'tdoc', {near}, 'tkey', line_no * 7 + 3),
+                      case when line_no + 1 < own_lines then named_struct('fam', 1, 'tdoc', doc_id, 'tkey', line_no + 1) end,
+                      case when (doc_id + line_no) % 5 = 0 then named_struct('fam', 2, 'tdoc', {near}, 'tkey', line_no * 7 + 3) end,
+                      case when (doc_id + line_no) % 15 = 0 then named_struct('fam', 3, 'tdoc', {near}, 'tkey', line_no * 7 + 3) end))) as e
+                  from (select doc_id, own_lines, cast(p as bigint) as line_no
+                        from (select doc_id, size(ls) as own_lines, posexplode(ls) as (p, line)
+                              from (select doc_id, {lines} as ls from documents))))"""
+    else:
+        families = f"""
+            select doc_id, line_no, 0 as fam, doc_id * 10000000 + line_no as src, {near} as tdoc, line_no * 7 + 3 as tkey
+            from v_lines
+            union all
+            select l.doc_id, l.line_no, 1, l.doc_id * 10000000 + l.line_no, l.doc_id, l.line_no + 1
+            from v_lines l join v_docs n on n.document_id = l.doc_id where l.line_no + 1 < n.n_lines
+            union all
+            select doc_id, line_no, 2, doc_id * 10000000 + line_no, {near}, line_no * 7 + 3
+            from v_lines where (doc_id + line_no) % 5 = 0
+            union all
+            select doc_id, line_no, 3, doc_id * 10000000 + line_no, {near}, line_no * 7 + 3
+            from v_lines where (doc_id + line_no) % 15 = 0"""
     v["v_relations"] = f"""
         select relationship_id, source_assertion_id, target_assertion_id, relation_type, confidence,
                relation_type in ({_quoted(S.TRUTH_PRESERVING)}) as is_truth_preserving,
@@ -226,7 +239,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
         from (
             select src * 4 + fam as relationship_id, src as source_assertion_id,
                    case when (doc_id + line_no) % 41 = 0 and fam = 0 then -src - 1
-                        else tdoc * 100000 + tkey % n_lines end as target_assertion_id,
+                        else tdoc * 10000000 + tkey % n_lines end as target_assertion_id,
                    {pick(S.RELATION_TYPES, 'doc_id * 3 + line_no * 5 + case when fam = 3 then 0 else fam end * 7')} as relation_type,
                    case when src % 23 = 0 then cast(null as double) when src % 29 = 0 then cast(0 as double)
                         else cast(50 + (doc_id * 7 + line_no * 11 + fam * 3) % 51 as double) / 100 end as confidence,
@@ -243,14 +256,14 @@ def view_sql(d: Dialect) -> dict[str, str]:
                confidence, review_status, explanation, created_day
         from (
             select src as relationship_id, src as source_assertion_id,
-                   tdoc * 100000 + (line_no * 5 + 1) % n_lines as target_assertion_id,
+                   tdoc * 10000000 + (line_no * 5 + 1) % n_lines as target_assertion_id,
                    {pick(S.CONFLICT_TYPES + ['CONTRADICTS', 'CONTRADICTS'], 'doc_id * 3 + line_no')} as relationship_type,
                    case when src % 31 = 0 then cast(null as double)
                         else cast(60 + (doc_id * 3 + line_no * 7) % 41 as double) / 100 end as confidence,
                    {pick(['pending', 'validated', 'false_positive', 'deferred'], 'doc_id + line_no * 3')} as review_status,
                    'pair ' || cast(src as string) as explanation,
                    (doc_id * 17 + line_no) % 365 as created_day
-            from (select doc_id, line_no, doc_id * 100000 + line_no as src, {partner} as tdoc from v_lines
+            from (select doc_id, line_no, doc_id * 10000000 + line_no as src, {partner} as tdoc from v_lines
                   where (doc_id * 7 + line_no * 3) % 13 = 0) c
             join v_docs t on t.document_id = c.tdoc where n_lines > 0)
         where source_assertion_id <> target_assertion_id"""

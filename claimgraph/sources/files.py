@@ -70,6 +70,17 @@ def write_filing_index(index: DataFrame, path: str) -> None:
     index.select(*S.FILING_INDEX.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of a flat YAML list; quotes and comments go."""
+    item = F.regexp_extract("value", r"^\s*-\s+(.*?)\s*(?:\s#.*)?$", 1)
+    return (spark.read.text(path).select(F.regexp_replace(item, "^([\"'])(.*)\\1$", "$2").alias("name"))
+            .where("name <> ''"))
+
+
+def write_gazetteer(names: DataFrame, path: str) -> None:
+    names.select(F.concat(F.lit('- "'), "name", F.lit('"'))).write.text(path)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("chunk_id bigint, document_id bigint, vector array<float>").parquet(path)
 

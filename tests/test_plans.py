@@ -30,3 +30,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(quality,1\)", plan(rows))
     assert "n_chars" not in re.findall(r"ReadSchema: (\S+)", plan(Corpus(spark, SF_DIR).assertions.select("assertion_id")))[0]
     assert U.FIRST_YEAR < U.LAST_YEAR
+
+
+def test_text_is_scanned_few_times(spark):
+    for name, most in (("m29_document_readiness", 5), ("m30_document_pair_edges", 6), ("m34_top_document_assertions", 5),
+                       ("a11_cross_document_pairs", 6), ("x03_structural_filter", 8), ("g07_merged_edges", 12)):
+        text = plan(QUERIES[name](spark, SF_DIR)).split("== Initial Plan ==")[-1]
+        assert len(re.findall(r"FileScan parquet \[[^\]]*text", text)) <= most, name
+
+
+def test_no_cross_products_or_row_by_row_python(spark):
+    for name in ("m29_document_readiness", "m30_document_pair_edges", "a11_cross_document_pairs", "g07_merged_edges", "p05_directed_neighborhood",
+                 "t06_chunk_articles"):
+        text = plan(QUERIES[name](spark, SF_DIR))
+        assert "CartesianProduct" not in text and "BatchEvalPython" not in text, name

@@ -52,9 +52,10 @@ def test_top_k_matches_brute_force(spark, points):
 
 
 def test_top_k_in_blocks_matches_brute_force(spark, points, monkeypatch):
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 5 * 8 * points.shape[1])
+    search(spark, points)
     monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(V, "BLOCK_ROWS", 90)
-    monkeypatch.setattr(V, "_block_hits", lambda q, i, n, k, d, f=V._block_hits: f(q, i, n * 10, k, d))
+    monkeypatch.setattr(V, "STATE_BYTES", 1)
     search(spark, points)
 
 

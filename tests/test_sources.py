@@ -130,3 +130,16 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         X.shared_folder(Session())
+
+
+def test_text_ids_get_ascending_numbers(spark):
+    from claimgraph.sources import ids
+    names = [f"{(k * 7919) % 997:04x}" for k in range(997)]
+    rows = spark.createDataFrame([(n, names[k // 2]) for k, n in enumerate(names)], "a string, b string").repartition(5)
+    table = ids.number_ids(rows.select("a"), rows.select("b"))
+    pairs = sorted((r.id, r.number) for r in table.collect())
+    assert [i for i, _ in pairs] == sorted(names) and [n for _, n in pairs] == sorted({n for _, n in pairs})
+    coded = ids.encode(rows, table, "a", "b")
+    assert dict(coded.dtypes) == {"a": "bigint", "b": "bigint"}
+    assert sorted(map(tuple, ids.decode(coded, table, "a", "b").collect())) == sorted(map(tuple, rows.collect()))
+    assert ids.encode(spark.createDataFrame([("zz",)], "a string"), table, "a").first().a is None

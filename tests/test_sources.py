@@ -112,11 +112,11 @@ def test_every_vector_of_the_table_is_drawn(spark, tmp_path):
     corpus = Corpus(spark, str(tmp_path))
     assert corpus.queries.select("vector").distinct().count() == n
     parts = corpus.view("v_vector_parts")
-    assert parts.select("base_id").distinct().count() == n and parts.select("noise_id").distinct().count() > n / 2
+    assert parts.select("base_id").distinct().count() == n and parts.select("noise_id").distinct().count() > n / 4
     assert corpus.vectors.count() == n
 
 
-def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+def test_a_cluster_must_name_its_shared_folder():
     from claimgraph import session as X
 
     class Elsewhere:
@@ -125,8 +125,12 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
         def getCheckpointDir(self):  # noqa: N802
             return None
 
+    class Unset:
+        def get(self, name, default):
+            return default
+
     class Session:
-        sparkContext, conf = Elsewhere(), spark.conf  # noqa: N815
+        sparkContext, conf = Elsewhere(), Unset()  # noqa: N815
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         X.shared_folder(Session())

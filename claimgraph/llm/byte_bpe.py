@@ -28,7 +28,7 @@ from claimgraph.llm.common import add_columns, map_batches
 
 # Spaces as the pattern's \s has them (White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 400_000
 MEMORY_WORD_CHARS = 80
 
 
@@ -106,6 +106,29 @@ class ChunkMemory(dict):
         return out
 
 
+class PretokenEncoder:
+    """Encodes a piece that starts and ends between pre-tokens, each distinct pre-token once while it is remembered."""
+
+    def __init__(self, pattern: str, encode: Callable[[str], bytes]):
+        self.encode = encode
+        self.memory: dict[str, bytes] = {}
+        self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
+                                   .replace(r"\s", f"[{WHITE}]")).findall
+
+    def __call__(self, piece: str) -> bytes:
+        memory, out = self.memory, []
+        for token in self.split(piece):
+            ids = memory.get(token)
+            if ids is None:
+                ids = self.encode(token)
+                if len(token) <= MEMORY_WORD_CHARS:
+                    if len(memory) >= MEMORY_WORDS:
+                        memory.clear()
+                    memory[token] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
 class SplitEncoder:
     """Encodes whole texts piece by piece.
 
@@ -157,10 +180,7 @@ class ByteBpe:
             self.tokens = {v: k for k, v in self.ranks.items()}
             self.no_rank = -1
             self.pair_ranks = [self.ranks.get(bytes(divmod(pair, 256)), -1) for pair in range(65536)]
-            self.split = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
-                                       .replace(r"\s", f"[{WHITE}]"))
-            self.memory: dict[str, bytes] = {}
-            self.splitter = SplitEncoder(self.encode_piece)
+            self.splitter = SplitEncoder(PretokenEncoder(self.pattern, self.pretoken))
         return self
 
     def merge(self, word: bytes) -> list[int]:
@@ -209,20 +229,6 @@ class ByteBpe:
     def pack(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
-    def encode_piece(self, piece: str) -> bytes:
-        """Ids of a piece that starts and ends between pre-tokens."""
-        memory, out = self.memory, []
-        for token in self.split.findall(piece):
-            ids = memory.get(token)
-            if ids is None:
-                ids = self.pretoken(token)
-                if len(token) <= MEMORY_WORD_CHARS:
-                    if len(memory) >= MEMORY_WORDS:
-                        memory.clear()
-                    memory[token] = ids
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, text: str | None) -> bytes:
         return self.prepare().splitter.text(text)
 

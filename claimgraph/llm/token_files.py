@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.llm.byte_bpe import SplitEncoder
+from claimgraph.llm.byte_bpe import PretokenEncoder, SplitEncoder
 from claimgraph.llm.common import map_batches, open_folder
 from claimgraph.sources.files import scratch_folder
 
@@ -175,38 +175,45 @@ def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if flags & 1 else doc_id, np.concatenate(parts)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable in Latin-1, else from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], pattern: str) -> DataFrame:
     """(bucket, doc_id, ids): ids of every whole text by the tokenizers library and the end id, u16 or u32 packed.
 
-    The library encodes the pieces between single spaces, each distinct piece once per
-    worker; it cuts there itself, so the ids are those of the whole text.
+    ``pattern`` cuts pre-tokens where the library's byte-level step cuts them; the library's
+    model encodes each distinct one while a worker remembers it.
     """
     edges = np.array(bounds, np.int64)
 
     def run(batches):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        tokenizer, letters = Tokenizer.from_file(tokenizer_path), byte_letters()
+        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        end, tokenize = np.array([end_id], kind).tobytes(), tokenizer.model.tokenize
 
-        def piece(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        def pretoken(token: str) -> bytes:
+            found = tokenize(token.encode().decode("latin-1").translate(letters))
+            return np.array([t.id for t in found], kind).tobytes()
 
-        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
-        splitter = SplitEncoder(piece)
+        splitter = SplitEncoder(PretokenEncoder(pattern, pretoken))
+        lowest = int(edges[0]) if len(edges) else 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = [lowest if i is None else i for i in batch.column(0).to_pylist()]
             out = pa.array([splitter.text(t.as_py()) + end for t in batch.column(1)], pa.binary())
-            buckets = np.searchsorted(edges, np.array([edges[0] - 1 if i is None else i for i in ids], np.int64)
-                                      if len(edges) else np.zeros(len(ids), np.int64))
+            buckets = np.searchsorted(edges, np.array(ids, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), batch.column(0), out], ["bucket", "doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "bucket int, doc_id bigint, ids binary")
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the encoded documents in ascending id order to files under ``folder``; the manifest of the files.
 
     Files hold ranges of ids (quantiles, so that a file holds about ``file_bytes`` of text),
@@ -239,13 +246,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, file_b
                         yield finish()
                     bucket = b.as_py()
                     name = f"{path}/tokens-{bucket:06d}-{uuid.uuid4().hex}.pfb"
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                     writer = Writer(out)
                 writer.add(doc_id.as_py(), np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32))
         if writer:
             yield finish()
 
-    encoded = encode(docs, tokenizer_path, end_id, bounds)
+    encoded = encode(docs, tokenizer_path, end_id, bounds, pattern)
     manifest = (encoded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id")
                 .mapInArrow(run, "bucket bigint, file string, n_docs bigint, n_ids bigint, n_bytes bigint"))
     manifest.write.parquet(f"{folder}/manifest")
@@ -283,12 +290,12 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     return map_batches(files.repartition(n, "file"), run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents written to token files and read back from them.
 
     A null or empty text is the end id alone; a null id sorts first; an empty table gives
     no file and no row; other columns are not read.
     """
     folder = scratch_folder(docs.sparkSession)
-    manifest = write(docs, tokenizer_path, end_id, folder, file_bytes)
+    manifest = write(docs, tokenizer_path, end_id, pattern, folder, file_bytes)
     return read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -152,4 +152,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass all rules."""
-    return judged(docs).where("_kept").select(*docs.columns)
+    # A filter is moved below the projections it reads from with all their expressions written
+    # out, lambdas too, unless a projection is not deterministic; the row number keeps it above.
+    rows = judged(docs).withColumn("_number", F.monotonically_increasing_id())
+    return rows.where(F.col("_kept") & (F.col("_number") >= 0)).select(*docs.columns)

@@ -119,7 +119,7 @@ def expand_templates(templates: DataFrame, values: DataFrame, per_type: dict[str
     counts = templates.groupBy("epistemic_type").agg(F.count("*").alias("n_templates"))
     first = top_per_key(templates, ["epistemic_type"], [F.col("template")], most, rank="t")
     topics = values.orderBy("value").limit(most).select("value", F.row_number().over(Window.orderBy("value")).alias("v"))
-    numbers = (wanted.join(counts, "epistemic_type").crossJoin(values.agg(F.count("*").alias("n_values")))
+    numbers = (wanted.join(counts, "epistemic_type").withColumn("n_values", values.agg(F.count("*")).scalar())
                .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("number"))
                .select("epistemic_type", "number", (F.col("number") % F.col("n_templates") + 1).alias("t"),
                        (F.expr("number % nullif(n_values, 0)") + 1).alias("v")))

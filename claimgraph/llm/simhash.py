@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest doc_id stays.
 
-    Rows that tie (repeated ids, null ids last) are ordered by their text and one stays.
+    Rows that tie (repeated ids, null ids last) are ordered by their text and one stays;
+    near-copies that all lack an id are told apart by their fingerprint only.
     """
     at = docs.columns
 

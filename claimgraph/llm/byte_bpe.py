@@ -28,6 +28,7 @@ from claimgraph.llm.common import add_columns, map_batches
 
 # Spaces as the pattern's \s has them (White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
+WHITES = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 MEMORY_WORDS = 400_000
 MEMORY_WORD_CHARS = 80
 
@@ -85,48 +86,38 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else -1
 
 
-class ChunkMemory(dict):
-    """From a space-separated piece of text to its encoded ids; empties itself when full.
+class Generations(dict):
+    """A bounded memory: when it is full it becomes the older half, and what is used again comes back from there."""
 
-    The value is None where the piece must not be encoded by itself: it is empty, or it
-    starts or ends with white space, which then belongs to a longer run.
-    """
-
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes | None]):
         super().__init__()
-        self.encode = encode
-        self.edge = regex.compile(f"^[{WHITE}]|[{WHITE}]$|^$")
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes | None:
-        out = None if self.edge.search(piece) else self.encode(" " + piece)
-        if len(piece) <= MEMORY_WORD_CHARS:
-            if len(self) >= MEMORY_WORDS:
+    def __missing__(self, key: str) -> bytes | None:
+        out = self.older[key] if key in self.older else self.make(key)
+        if len(key) <= MEMORY_WORD_CHARS:
+            if len(self) >= MEMORY_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = out
+            self[key] = out
         return out
 
 
+def touches_white(piece: str) -> bool:
+    """Whether a piece is empty, or starts or ends with white space, which then belongs to a longer run."""
+    return not piece or piece[0] in WHITES or piece[-1] in WHITES
+
+
 class PretokenEncoder:
     """Encodes a piece that starts and ends between pre-tokens, each distinct pre-token once while it is remembered."""
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
-        self.encode = encode
-        self.memory: dict[str, bytes] = {}
+        self.memory = Generations(encode)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
                                    .replace(r"\s", f"[{WHITE}]")).findall
 
     def __call__(self, piece: str) -> bytes:
-        memory, out = self.memory, []
-        for token in self.split(piece):
-            ids = memory.get(token)
-            if ids is None:
-                ids = self.encode(token)
-                if len(token) <= MEMORY_WORD_CHARS:
-                    if len(memory) >= MEMORY_WORDS:
-                        memory.clear()
-                    memory[token] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.memory.__getitem__, self.split(piece)))
 
 
 class SplitEncoder:
@@ -139,7 +130,8 @@ class SplitEncoder:
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
-        self.memory = ChunkMemory(encode)
+        # None marks a piece that must not be encoded by itself.
+        self.memory = Generations(lambda piece: None if touches_white(piece) else encode(" " + piece))
         self.coarse = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
     def text(self, text: str | None) -> bytes:
@@ -147,12 +139,12 @@ class SplitEncoder:
             return b""
         first, *pieces = text.split(" ")
         memory = self.memory
-        if memory.edge.search(first) is None:
+        if not touches_white(first):
             try:
                 return self.encode(first) + b"".join(map(memory.__getitem__, pieces))
             except TypeError:  # a piece that is not to be encoded by itself
                 pass
-        return b"".join([memory[c[1:]] if c[0] == " " and len(c) > 1 and memory.edge.search(c[1:]) is None
+        return b"".join([memory[c[1:]] if c[0] == " " and not touches_white(c[1:])
                          else self.encode(c) for c in self.coarse.findall(text)])
 
 

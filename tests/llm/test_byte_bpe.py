@@ -47,7 +47,7 @@ def test_random_texts_encode_as_the_library_does(bpe, truth):
 
 
 def test_full_memories_change_nothing(bpe, truth, monkeypatch):
-    monkeypatch.setattr(B, "MEMORY_WORDS", 3)
+    monkeypatch.setattr(B, "MEMORY_WORDS", 6)
     fresh = B.ByteBpe(bpe.prepare().ranks, bpe.pattern)
     for text in ("a b c d e f g a b c", TEXTS[5], TEXTS[7]):
         assert np.frombuffer(fresh.encode(text), "<u4").tolist() == truth.encode_ordinary(text)

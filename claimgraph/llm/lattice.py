@@ -33,6 +33,8 @@ HEAD, HEAD_WORD_BYTES = 100_000, 64
 ROUNDS = 2
 FLUSH_WORDS = 300_000
 START = "▁"
+# Below this probability plain products may have lost terms, and a word is summed in log space.
+LEAST_PLAIN = 1e-250
 
 
 class Vocabulary:
@@ -58,69 +60,88 @@ class Vocabulary:
         if not hasattr(self, "index"):
             self.index = {p: k for k, p in enumerate(self.pieces)}
             self.longest = max(map(len, self.pieces), default=1)
-            self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+            # Every beginning of a piece: its number, or -1 where it only goes on.
+            self.begins = {p[:n]: -1 for p in self.pieces for n in range(1, len(p) + 1)} | self.index
             self.bytes = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
-            floor = math.log(1e-12)
-            self.logs = [math.log(w) if w > 0 else floor for w in self.weights.tolist()]
+            floor = 1e-12
+            self.plain = [max(w, floor) for w in self.weights.tolist()]
+            self.logs = [math.log(w) for w in self.plain]
         return self
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """Per end place: (start, pieces, log weight) of every piece of the marked word that ends there."""
+    def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int | tuple[int, ...]]]]:
+        """Number of places, and (start, end, piece) of every piece of the marked word by start; byte pieces as a tuple."""
         s = START + word
-        n, index, begins, longest, logs = len(s), self.index, self.begins, self.longest, self.logs
-        ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
+        n, begins, longest = len(s), self.begins, self.longest
+        out = []
         for i in range(n):
             for j in range(i + 1, min(n, i + longest) + 1):
-                part = s[i:j]
-                if part not in begins:
+                k = begins.get(s[i:j])
+                if k is None:
                     break
-                k = index.get(part)
-                if k is not None:
-                    ends[j].append((i, (k,), logs[k]))
-            if s[i] not in index:
+                if k >= 0:
+                    out.append((i, j, k))
+            if s[i] not in self.index:
                 ids = tuple(self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass"))
                 if None in ids:
                     raise ValueError("the vocabulary needs a piece for every byte")
-                ends[i + 1].append((i, ids, sum(logs[k] for k in ids)))
-        return ends
+                out.append((i, i + 1, ids))
+        return n, out
 
-    @staticmethod
-    def forward(ends) -> list[float]:
+    def log_weight(self, piece: int | tuple[int, ...]) -> float:
+        return self.logs[piece] if type(piece) is int else sum(self.logs[k] for k in piece)
+
+    def forward(self, n: int, arcs) -> list[float]:
         """Log sums over all segmentations of each prefix."""
-        alpha = [0.0]
-        for arriving in ends[1:]:
-            if len(arriving) == 1:
-                i, _, w = arriving[0]
-                alpha.append(alpha[i] + w)
+        logs, exp, log = self.logs, math.exp, math.log
+        alpha = [-math.inf] * (n + 1)
+        alpha[0] = 0.0
+        for i, j, k in arcs:  # by start, so alpha[i] is whole
+            t = alpha[i] + (logs[k] if type(k) is int else self.log_weight(k))
+            have = alpha[j]
+            if have == -math.inf:
+                alpha[j] = t
+            elif have > t:
+                alpha[j] = have + log(1.0 + exp(t - have))
             else:
-                terms = [alpha[i] + w for i, _, w in arriving]
-                top = max(terms)
-                alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+                alpha[j] = t + log(1.0 + exp(have - t))
         return alpha
 
     def log_probability(self, word: str) -> float:
-        return self.prepare().forward(self.edges(word))[-1]
+        return self.prepare().forward(*self.arcs(word))[-1]
 
     def expected(self, word: str, into, count: float) -> None:
         """Add the expected pieces of ``count`` occurrences of ``word`` to ``into``."""
-        ends = self.edges(word)
-        alpha = self.forward(ends)
-        beta = [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        whole = alpha[-1]
-        for j in range(len(alpha) - 1, 0, -1):
-            b = beta[j]
-            for i, ids, w in ends[j]:
-                t = w + b
-                share = count * math.exp(alpha[i] + t - whole)
-                for k in ids:
-                    into[k] += share
-                have = beta[i]
-                if have == -math.inf:
-                    beta[i] = t
-                else:
-                    top = have if have > t else t
-                    beta[i] = top + math.log(math.exp(have - top) + math.exp(t - top))
+        n, arcs = self.arcs(word)
+        weights = self.plain
+        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+        alpha[0] = 1.0
+        for i, j, k in arcs:
+            alpha[j] += alpha[i] * (weights[k] if type(k) is int else math.prod([weights[b] for b in k]))
+        if alpha[n] < LEAST_PLAIN:
+            self._expected_log(n, arcs, into, count)
+            return
+        beta[n] = count / alpha[n]
+        for i, j, k in reversed(arcs):
+            if type(k) is int:
+                t = weights[k] * beta[j]
+                into[k] += alpha[i] * t
+            else:
+                t = math.prod([weights[b] for b in k]) * beta[j]
+                for b in k:
+                    into[b] += alpha[i] * t
+            beta[i] += t
+
+    def _expected_log(self, n: int, arcs, into, count: float) -> None:
+        """The same in log space, for words whose plain products could underflow."""
+        alpha, beta = self.forward(n, arcs), [-math.inf] * (n + 1)
+        beta[n] = 0.0
+        for i, j, k in reversed(arcs):
+            t = self.log_weight(k) + beta[j]
+            share = count * math.exp(alpha[i] + t - alpha[n])
+            for b in (k,) if type(k) is int else k:
+                into[b] += share
+            top, low = max(beta[i], t), min(beta[i], t)
+            beta[i] = top + math.log1p(math.exp(low - top))
 
 
 def words(text: str | None) -> list[bytes]:

@@ -38,7 +38,9 @@ def test_forward_sums_all_segmentations(vocabulary):
         assert v.log_probability(word) == pytest.approx(math.log(want), rel=1e-12)
 
 
-def test_expected_pieces_are_those_of_all_segmentations(vocabulary):
+@pytest.mark.parametrize("least", [1e-250, 2.0])
+def test_expected_pieces_are_those_of_all_segmentations(vocabulary, monkeypatch, least):
+    monkeypatch.setattr(L, "LEAST_PLAIN", least)
     v = vocabulary.prepare()
     for word in ("thentien", "日a"):
         ways = list(segmentations(v, L.START + word))

@@ -33,7 +33,7 @@ def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.round_trip(table(spark, sf_dir, "documents"), path, 2, public_tokenizers.PATTERN)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), path, 2, public_tokenizers.PATTERN, added_tokens=True)
 
 
 def op6_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,11 +184,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], pattern: str, added_tokens: bool = False) -> DataFrame:
     """(bucket, doc_id, ids): ids of every whole text by the tokenizers library and the end id, u16 or u32 packed.
 
     ``pattern`` cuts pre-tokens where the library's byte-level step cuts them; the library's
-    model encodes each distinct one while a worker remembers it.
+    model encodes each distinct one while a worker remembers it.  With ``added_tokens`` a text
+    that quotes one of the tokenizer's added tokens goes to the library whole, which gives
+    that token its own id; without, the quotation is text like any other.
     """
     edges = np.array(bounds, np.int64)
 
@@ -206,10 +208,17 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int],
             return pack_ids([t.id for t in found])
 
         splitter = SplitEncoder(PretokenEncoder(pattern, pretoken))
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+
+        def whole(text: str | None) -> bytes:
+            if text and any(a in text for a in added):
+                return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
+            return splitter.text(text)
+
         lowest = int(edges[0]) if len(edges) else 0
         for batch in batches:
             ids = [lowest if i is None else i for i in batch.column(0).to_pylist()]
-            out = pa.array([splitter.text(t.as_py()) + end for t in batch.column(1)], pa.binary())
+            out = pa.array([whole(t.as_py()) + end for t in batch.column(1)], pa.binary())
             buckets = np.searchsorted(edges, np.array(ids, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), batch.column(0), out], ["bucket", "doc_id", "ids"])
 
@@ -217,7 +226,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int],
     return rows.mapInArrow(run, "bucket int, doc_id bigint, ids binary")
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, folder: str, file_bytes: int = FILE_BYTES,
+          added_tokens: bool = False) -> DataFrame:
     """Write the encoded documents in ascending id order to files under ``folder``; the manifest of the files.
 
     Files hold ranges of ids (quantiles, so that a file holds about ``file_bytes`` of text),
@@ -256,7 +266,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, folde
         if writer:
             yield finish()
 
-    encoded = encode(docs, tokenizer_path, end_id, bounds, pattern)
+    encoded = encode(docs, tokenizer_path, end_id, bounds, pattern, added_tokens)
     manifest = (encoded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id")
                 .mapInArrow(run, "bucket bigint, file string, n_docs bigint, n_ids bigint, n_bytes bigint"))
     manifest.write.parquet(f"{folder}/manifest")
@@ -294,12 +304,13 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     return map_batches(files.repartition(n, "file"), run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str, file_bytes: int = FILE_BYTES,
+               added_tokens: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents written to token files and read back from them.
 
     A null or empty text is the end id alone; a null id sorts first; an empty table gives
     no file and no row; other columns are not read.
     """
     folder = scratch_folder(docs.sparkSession)
-    manifest = write(docs, tokenizer_path, end_id, pattern, folder, file_bytes)
+    manifest = write(docs, tokenizer_path, end_id, pattern, folder, file_bytes, added_tokens)
     return read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -67,3 +67,22 @@ def test_special_token_strings_are_text(spark):
     tokenizer.encode_special_tokens = True
     n = len(tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids) + 1
     assert F.round_trip(docs, PATH, 2, P.PATTERN).first()["n_tokens"] == n
+
+
+def test_added_tokens_have_their_ids_as_by_the_library(spark):
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n<|endoftext|>", "<|endoftext| >", "plain", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tokenizer, want, start = Tokenizer.from_file(PATH), [], 0
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+    for k, text in enumerate(texts):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows_of(F.round_trip(docs, PATH, 2, P.PATTERN, added_tokens=True)) == want
+
+
+def test_the_query_knows_added_tokens(spark, tmp_path):
+    from claimgraph.llm import queries
+
+    spark.createDataFrame([(1, "one <|endoftext|> two")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op5_token_files(spark, str(tmp_path)).first()["n_tokens"] == 5

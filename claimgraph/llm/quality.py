@@ -3,7 +3,10 @@
 The divergence rule compares two histograms of a document with those of its language:
 the classes of its characters and its common words.  The distance is Jensen-Shannon's
 (root of the divergence to base two, 0 to 1).  The references are sums over all
-documents of a language, so every document counts and nothing is sampled.
+documents of a language, so every document counts and nothing is sampled.  As the distance
+of a text without any common word depends on how many the corpus has, a text also fails
+when its share of common words is below LEAST_COMMON of the mean share of the language's
+documents that pass the base rules, each with the same weight.
 
 Built-in functions only.  Every rule is computed inside the document's own row; the
 only shuffle carries one small row per language and task.
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.llm.common import SPACES, let, words_of
+from claimgraph.session import cut_lineage
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
@@ -30,6 +34,10 @@ OTHER = "other"
 #: Documents with fewer characters in words, or fewer words, are too short for the histogram and pass that rule.
 MIN_CHARS, MIN_COMMON_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.3
+#: Least share of common words over the mean share of its language.
+LEAST_COMMON = 0.1
+#: Shares are summed as whole multiples of 1 / SHARE_UNITS, so that no order of rows changes a sum.
+SHARE_UNITS = 1_000_000
 
 
 def _removed(text: Column, characters: str) -> Column:
@@ -90,13 +98,32 @@ def _base(docs: DataFrame) -> DataFrame:
                           "_wh": word_histogram(F.col("_w"), F.col("_l"))}))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(lang, chars, words): summed histograms of all documents per language; one row per listed language and ``other``."""
+def _figures(docs: DataFrame) -> DataFrame:
+    """``_base`` with the other figures of the base rules and ``_failed``."""
+    size, n_repeat = F.size("_w"), "_repeat"
+    hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(size - WINDOW + 1, F.lit(1))),
+                                                lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(
+        F.array().cast("array<bigint>"))
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return (_base(docs).withColumn("_h", hashes)
+            .withColumns({n_repeat: repeated_words(F.col("_w"), F.col("_h")), "_n": size,
+                          "_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
+            .withColumn("_failed", (F.col("_n") < MIN_WORDS) | (100 * F.col(n_repeat) > MAX_REPEATED_PERCENT * F.col("_n"))))
+
+
+def references(figures: DataFrame) -> DataFrame:
+    """(lang, chars, words, common): summed histograms of all documents per language and the mean share of common words.
+
+    One row per listed language and ``other``.  The mean is that of the documents that
+    pass the base rules, null where none does.
+    """
     bins = {"_ch": 6, "_wh": 1 + max(map(len, COMMON_WORDS.values()))}
-    sums = _base(docs).groupBy(F.col("_l").alias("lang")).agg(
-        *[F.sum(F.get(F.col(c), F.lit(k))).alias(f"{c}{k}") for c, n in bins.items() for k in range(n)])
+    units = F.when(~F.col("_failed"), F.round(common_share(F.col("_wh")) * SHARE_UNITS).cast("bigint"))
+    sums = figures.groupBy(F.col("_l").alias("lang")).agg(
+        *[F.sum(F.get(F.col(c), F.lit(k))).alias(f"{c}{k}") for c, n in bins.items() for k in range(n)],
+        (F.sum(units) / F.nullif(F.count(units), F.lit(0)) / SHARE_UNITS).alias("common"))
     return sums.select("lang", *[F.array_compact(F.array(*[f"{c}{k}" for k in range(n)])).alias(name)
-                                 for (c, n), name in zip(bins.items(), ("chars", "words"), strict=True)])
+                                 for (c, n), name in zip(bins.items(), ("chars", "words"), strict=True)], "common")
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -115,36 +142,38 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``_``-prefixed figures, ``_failed`` and ``_kept``.
+def common_share(counts: Column) -> Column:
+    """The share of all bins but the last; zero for an empty histogram."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+    return F.when(total > 0, 1 - F.try_element_at(counts, F.lit(-1)) / total).otherwise(0.0)
+
+
+def judged(figures: DataFrame) -> DataFrame:
+    """The rows of ``figures`` with distances and ``_kept``.
 
     A null text has no words and fails; a null or unlisted language is held against the
     reference of all such documents; other columns pass through, whatever their names;
     repeated rows are judged each; an empty table gives an empty one.
     """
-    n_repeat = "_repeat"
-    size = F.size("_w")
-    hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(size - WINDOW + 1, F.lit(1))),
-                                                lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(
-        F.array().cast("array<bigint>"))
-    refs = references(docs).select(F.col("lang").alias("_l"), F.col("chars").alias("_rc"), F.col("words").alias("_rw"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    figures = (_base(docs).withColumn("_h", hashes)
-               .withColumns({n_repeat: repeated_words(F.col("_w"), F.col("_h")),
-                             "_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))}))
+    refs = references(figures).select(F.col("lang").alias("_l"), F.col("chars").alias("_rc"), F.col("words").alias("_rw"),
+                                      F.col("common").alias("_rs"))
     # The references have one row per listed language and one more, a bound that does not depend on the data.
     return (figures.join(F.broadcast(refs), "_l", "left")
-            .withColumns({"_n": size, "_char_distance": distance(F.col("_ch"), F.col("_rc")),
-                          "_word_distance": distance(F.col("_wh"), F.col("_rw"))})
-            .withColumn("_failed", (F.col("_n") < MIN_WORDS) | (100 * F.col(n_repeat) > MAX_REPEATED_PERCENT * F.col("_n")))
+            .withColumns({"_char_distance": distance(F.col("_ch"), F.col("_rc")),
+                          "_word_distance": distance(F.col("_wh"), F.col("_rw")),
+                          "_few_common": common_share(F.col("_wh")) < LEAST_COMMON * F.coalesce("_rs", F.lit(0.0))})
             .withColumn("_kept", ~F.col("_failed")
                         & ((F.col("_chars") < MIN_CHARS) | (F.col("_char_distance") <= MAX_CHAR_DISTANCE))
-                        & ((F.col("_n") < MIN_COMMON_WORDS) | (F.col("_word_distance") <= MAX_WORD_DISTANCE))))
+                        & ((F.col("_n") < MIN_COMMON_WORDS)
+                           | ((F.col("_word_distance") <= MAX_WORD_DISTANCE) & ~F.col("_few_common")))))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) per document."""
-    return judged(docs.select("doc_id", "text", "lang")).select(
+    # The figures without the texts are small; written once, they serve the references and the verdicts.
+    figures = cut_lineage(_figures(docs.select("doc_id", "text", "lang")).select(
+        "doc_id", "_n", "_chars", "_symbols", "_dup_lines", "_repeat", "_failed", "_l", "_ch", "_wh"))
+    return judged(figures).select(
         "doc_id", *[F.col(c).cast("bigint").alias(name) for c, name in (
             ("_n", "n_words"), ("_chars", "word_chars"), ("_symbols", "n_symbols"), ("_dup_lines", "n_dup_lines"),
             ("_repeat", "n_repeat_words"))], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
@@ -154,5 +183,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass all rules."""
     # A filter is moved below the projections it reads from with all their expressions written
     # out, lambdas too, unless a projection is not deterministic; the row number keeps it above.
-    rows = judged(docs).withColumn("_number", F.monotonically_increasing_id())
+    rows = judged(_figures(docs)).withColumn("_number", F.monotonically_increasing_id())
     return rows.where(F.col("_kept") & (F.col("_number") >= 0)).select(*docs.columns)

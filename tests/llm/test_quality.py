@@ -100,3 +100,16 @@ def test_the_filter_stays_above_its_projections(odd_docs):
     """Moved below, it would split the text anew for every window of a lambda."""
     plan = Q.keep_good(odd_docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 2
+
+
+def test_a_third_of_junk_does_not_hide_itself(spark):
+    """Long texts without common words pull the reference towards them; they fail all the same."""
+    draw = random.Random(5)
+
+    def text(n, common):
+        return " ".join(draw.choice(Q.COMMON_WORDS["en"]) if draw.random() < common else
+                        "".join(draw.choice("abcdeorst") for _ in range(draw.randrange(2, 9))) + "q" for _ in range(n))
+
+    rows = [(k, text(150, 0.18), "en") for k in range(60)] + [(100 + k, text(300, 0.0), "en") for k in range(30)]
+    kept = {r["doc_id"] for r in Q.report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("kept").collect()}
+    assert kept == set(range(60))

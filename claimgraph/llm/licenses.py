@@ -6,8 +6,8 @@ ordered identifier sequences; a rule holds where its sequence stands in that of
 text without another known sentence between.
 
 Sentences end at a mark and white space, and at line ends.  Licences are often wrapped,
-so the text is also read with only blank lines as line ends, and the reading that knows
-more sentences counts.
+so the text is also read with only blank lines as line ends.  The reading that knows more
+sentences is reported; the rules that hold in either count.
 
 Built-in functions only, all inside the document's own row: no shuffle, no join.
 """
@@ -36,10 +36,22 @@ SENTENCES: dict[str, str] = {
     "apache_header": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "apache_use": "you may not use this file except in compliance with the License",
     "apache_copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache_copy_tls": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "apache_copy_at": "You may obtain a copy of the License at",
+    "apache_url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache_url_tls": "https://www.apache.org/licenses/LICENSE-2.0",
+    "apache_copy_on": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+                      "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+                      "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache_copy_on_tls": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+                          "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+                          "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl3_notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl_free": "This program is free software",
     "gpl2_later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
                   "Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl3_later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+                  "Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl2_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
                   "Software Foundation",
     "gpl2_version": "either version 2 of the License, or (at your option) any later version",
@@ -61,7 +73,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit_notice",)), ("MIT", ("mit_notice_2",)), ("MIT", ("mit_grant", "mit_condition", "as_is")),
     ("MIT-incomplete", ("mit_grant", "as_is")),
     ("Apache-2.0", ("apache_notice",)), ("Apache-2.0", ("apache_header", "apache_use", "apache_copy")),
-    ("GPL-3.0", ("gpl3_notice",)), ("GPL-3.0-or-later", ("gpl_free", "gpl2_terms", "gpl3_version")),
+    *[("Apache-2.0", ("apache_header", "apache_use", *copy)) for copy in (
+        ("apache_copy_tls",), ("apache_copy_at", "apache_url"), ("apache_copy_at", "apache_url_tls"), ("apache_copy_on",), ("apache_copy_on_tls",))],
+    ("GPL-3.0", ("gpl3_notice",)), ("GPL-3.0-or-later", ("gpl_free", "gpl2_terms", "gpl3_version")), ("GPL-3.0-or-later", ("gpl_free", "gpl3_later")),
     ("GPL-2.0-or-later", ("gpl_free", "gpl2_later")), ("GPL-2.0-or-later", ("gpl_free", "gpl2_terms", "gpl2_version")),
     ("BSD-2-Clause", ("bsd_head", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd_head", "bsd_source", "bsd_binary", "bsd_names")),
@@ -94,8 +108,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
     read = rows.select("doc_id", known(F.col("t"), r"\n+").alias("by_line"), known(F.col("t"), r"\n[ \t\r]*\n\s*").alias("by_block"))
-    found = read.select("doc_id", F.when(F.size("by_block") > F.size("by_line"), F.col("by_block")).otherwise(F.col("by_line")).alias("sentences"))
-    sequence = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
+    found = read.select("doc_id", "by_line", "by_block", F.when(F.size("by_block") > F.size("by_line"), F.col("by_block")).otherwise(F.col("by_line")).alias("sentences"))
+    # No rule can begin in one reading and end in the other: an empty name stands between them.
+    sequence = F.concat(F.lit(","), F.array_join("by_line", ","), F.lit(",,"), F.array_join("by_block", ","), F.lit(","))
     holds = F.array_compact(F.array(*[F.when(F.contains(F.col("sequence"), F.lit("," + ",".join(rule) + ",")), F.lit(name))
                                       for name, rule in RULES]))
     less = [F.when(F.array_contains("holds", more), F.lit(gone)) for more, gone in REPLACES.items()]

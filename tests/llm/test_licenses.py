@@ -51,3 +51,37 @@ def test_odd_rows(odd_docs, no_docs):
     docs = [*TEXTS.items(), (9, "one"), (None, "no id here at all")]
     assert rows_of(N.report(odd_docs)) == sorted(((k, *brute(t)) for k, t in docs), key=repr)
     assert rows_of(N.report(no_docs)) == []
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def marked(text, mark):
+    return "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+
+
+def test_published_notices(spark):
+    mit = "\n".join(re.sub(r"(.{40,60}) ", r"\1\n", s) + ".\n" for s in sentence("mit_grant", "mit_condition", "as_is"))
+    lines = "\n".join(s for s in sentence("bsd_head", "bsd_source", "bsd_binary", "bsd_names"))
+    docs = [(APACHE, "Apache-2.0"), (marked(APACHE, "#"), "Apache-2.0"), (marked(APACHE, "//"), "Apache-2.0"),
+            (APACHE.replace("http:", "https:"), "Apache-2.0"), (marked(APACHE.replace("http:", "https:"), " *"), "Apache-2.0"),
+            (GPL3, "GPL-3.0-or-later"), (GPL3.replace("version 3", "version 2").replace("Foundation,", "Foundation;"), "GPL-2.0-or-later"),
+            (lines + "\n\n" + mit, "BSD-3-Clause,MIT")]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(docs)], "doc_id bigint, text string")
+    assert [r["licenses"] for r in N.report(df).orderBy("doc_id").collect()] == [want for _, want in docs]

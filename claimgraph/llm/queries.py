@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import (byte_bpe, chat, decontaminate, language, lattice, licenses, quality, simhash, token_files,
-                            warc)
+from claimgraph.llm import (byte_bpe, chat, collocations, decontaminate, language, lattice, licenses, quality, sharding, simhash,
+                            token_files, warc, whitening)
 from claimgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,28 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+SHARDS = 8
+
+
+def op13_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_chat_perspectives, op3_decontaminate, op4_license_sentences, op5_token_files, op6_distribution_quality,
-    op7_lattice_likelihood, op8_language_id, op9_warc_salvage, op10_simhash_groups)}
+    op7_lattice_likelihood, op8_language_id, op9_warc_salvage, op10_simhash_groups, op11_collocations,
+    op12_whitening, op13_rendezvous_shards)}
 # The other operators have no SQL form; tests hold them against brute force or exact round trips.
 ORACLES: dict[str, str] = {
     "op2_chat_perspectives": chat.PERSPECTIVES_SQL, "op3_decontaminate": decontaminate.REPORT_SQL,
     "op4_license_sentences": licenses.report_sql(), "op9_warc_salvage": warc.ROUND_TRIP_SQL,
+    "op11_collocations": collocations.collocations_sql(), "op13_rendezvous_shards": sharding.layout_sql(SHARDS),
 }

@@ -32,9 +32,9 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 END = b"."
 _TO_END = bytes.maketrans(BREAKS, END * len(BREAKS))
 #: Pairs or words that a task holds before it sends their counts on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bits and probes of the filter for each frequent pair, and its largest size (8 MB); beyond it, windows stay longer.
 BITS_PER_PAIR, PROBES, MOST_BITS = 16, 4, 1 << 26
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

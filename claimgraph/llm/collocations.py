@@ -5,11 +5,11 @@ words that follow inside the piece, padded at its end.  ROLLUP over those column
 every shorter prefix, so one aggregation counts phrases of all lengths, the words and all words
 of a language, where n-gram explosions would emit each text five times.
 
-Most windows of five are unique and cannot be in a phrase that occurs a hundred times.  So pairs
-of neighbours are counted first, by a hash, and a window is padded after the last word that a
-frequent pair leads to.  Every phrase of at least the wanted count consists of frequent pairs
-and stands in its windows whole; a collision of hashes, or a false hit of the filter that carries
-the frequent pairs, only leaves a window longer.  No count depends on either.
+Most windows of five are unique and cannot be in a phrase that occurs a hundred times.  So pairs,
+then triples of frequent pairs, are counted first, by a hash, and a window is padded after the last
+word that frequent ones lead to.  Every phrase of at least the wanted count consists of frequent
+pairs and triples and stands in its windows whole; a collision of hashes, or a false hit of a filter
+that carries the frequent ones, only leaves a window longer.  No count depends on either.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A piece ends at this token, which no word can be.
 END = b"."
 _TO_END = bytes.maketrans(BREAKS, END * len(BREAKS))
-#: Pairs or words that a task holds before it sends their counts on.
-HELD = 1 << 19
+#: Runs of words up to this length are counted ahead of the windows.
+AHEAD = 3
+#: Words that a task holds before it sends counts on.
+HELD = 1 << 18
 #: Distinct words that a worker remembers.
-REMEMBERED = 200_000
-#: Bits and probes of the filter for each frequent pair, and its largest size (8 MB); beyond it, windows stay longer.
-BITS_PER_PAIR, PROBES, MOST_BITS = 16, 4, 1 << 26
+REMEMBERED = 100_000
+#: Bits and probes of a filter for each frequent run, and its largest size (8 MB); beyond it, windows stay longer.
+BITS_PER_RUN, PROBES, MOST_BITS = 16, 4, 1 << 26
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,10 +49,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def pair_hash(language: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * _GOLDEN + mixed(second + np.uint64(language)))
-
-
 class Words(dict):
     """Numbers of distinct words in the order they are met; number 0 is the end of a piece."""
 
@@ -89,10 +87,17 @@ def numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Wor
         yield name, words, np.array(ids, np.int64)
 
 
-def _pairs(language: str, words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all neighbours in ``ids`` and whether both are words."""
+def runs_of(language: str, words: Words, ids: np.ndarray, filters: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 2 to ``size``: hashes of the runs of words that start at each place, and whether they may be
+    frequent, which needs all shorter ones inside them to be in ``filters``; without a filter of the length, all others may."""
     hashes = np.array(words.hashes, np.uint64)[ids]
-    return (pair_hash(xxhash.xxh64_intdigest(language.encode()), hashes[:-1], hashes[1:]), (ids[:-1] > 0) & (ids[1:] > 0))
+    run, inside = mixed(hashes + np.uint64(xxhash.xxh64_intdigest(language.encode()))), ids > 0
+    for length in range(2, size + 1):
+        run = mixed(run[:-1] * _GOLDEN + hashes[length - 1:])
+        inside = inside[:-1] & inside[1:]
+        if length - 2 < len(filters):
+            inside[inside] = in_filter(run[inside], filters[length - 2])
+        yield run, inside
 
 
 def read(docs: DataFrame) -> DataFrame:
@@ -101,28 +106,32 @@ def read(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """(pair): hashes of neighbours that occur at least ``least`` times in a language, and of any that collide with such."""
+def frequent_runs(texts: DataFrame, filters: list[np.ndarray], least: int) -> DataFrame:
+    """(run): hashes of runs one word longer than those of the last filter that occur at least ``least`` times in a language, and of
+    any that collide with such."""
+    size = len(filters) + 2
+
     def run(batches):
         for language, words, ids in numbered_texts(batches):
-            pairs, inside = _pairs(language, words, ids)
-            found, n = np.unique(pairs[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
+            for hashes, inside in runs_of(language, words, ids, filters, size):
+                pass
+            found, n = np.unique(hashes[inside], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["run", "n"])
 
-    counts = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least).select("pair")
+    counts = texts.mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).select("run")
 
 
-def probes(pairs: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Places of a pair in a filter of ``bits`` bits, a power of two."""
-    step = mixed(pairs) | np.uint64(1)
+def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of a hash in a filter of ``bits`` bits, a power of two."""
+    step = mixed(hashes) | np.uint64(1)
     for k in range(PROBES):
-        yield (pairs + np.uint64(k) * step) & np.uint64(bits - 1)
+        yield (hashes + np.uint64(k) * step) & np.uint64(bits - 1)
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``pairs``, 64 bits a number: at most ``MOST_BITS`` bits come to the driver, however many pairs there are."""
-    wanted = max(64, pairs.count() * BITS_PER_PAIR)
+def run_filter(runs: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``runs``, 64 bits a number: at most ``MOST_BITS`` bits come to the driver, however many runs there are."""
+    wanted = max(64, runs.count() * BITS_PER_RUN)
     bits = min(1 << int(wanted - 1).bit_length(), MOST_BITS)
 
     def run(batches):
@@ -132,34 +141,35 @@ def pair_filter(pairs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)),
                                               pa.array((place & np.uint64(63)).astype(np.int32))], ["at", "bit"])
 
-    cells = (pairs.mapInArrow(run, "at int, bit int").groupBy("at")
+    cells = (runs.mapInArrow(run, "at int, bit int").groupBy("at")
              .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("cell")).toArrow())
     out = np.zeros(bits // 64, np.uint64)
     out[cells.column("at").to_numpy()] = cells.column("cell").to_numpy().view(np.uint64)
     return out
 
 
-def in_filter(pairs: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(pairs), bool)
-    for place in probes(pairs, len(cells) * 64):
+def in_filter(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(hashes), bool)
+    for place in probes(hashes, len(cells) * 64):
         hit &= (cells[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit
 
 
-def windows(texts: DataFrame, cells: np.ndarray, longest: int) -> DataFrame:
-    """(lang, w1 .. w<longest>, n): windows that start at every word, padded with empty words where no frequent pair leads on."""
+def windows(texts: DataFrame, filters: list[np.ndarray], longest: int) -> DataFrame:
+    """(lang, w1 .. w<longest>, n): windows that start at every word, padded with empty words where no frequent run leads on."""
     names = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches):
         for language, words, ids in numbered_texts(batches):
-            pairs, inside = _pairs(language, words, ids)
-            joined = np.append(inside & in_filter(pairs, cells), False)
             leads = [ids]
             reached = np.ones(len(ids), bool)
+            frequent = [inside for _, inside in runs_of(language, words, ids, filters, len(filters) + 1)]
             for k in range(1, longest):
-                # Place i of a lead column is place i + k of the text, while frequent pairs lead there.
-                reached = reached & joined
-                joined = np.append(joined[1:], False)
+                # Place i of a lead column is place i + k of the text, while the run that ends there is frequent.
+                size = min(k + 1, len(filters) + 1)
+                ends = frequent[size - 2][k + 1 - size:] if filters else ids[k:] > 0
+                reached[:len(ends)] &= ends
+                reached[len(ends):] = False
                 lead = np.zeros_like(ids)
                 lead[:-k] = ids[k:]
                 leads.append(np.where(reached, lead, 0))
@@ -183,10 +193,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     Complete and exact for every phrase of at least ``least`` occurrences, overlaps included.
     """
     texts = read(docs)
-    cells = pair_filter(cut_lineage(frequent_pairs(texts, least)))
+    filters: list[np.ndarray] = []
+    for _ in range(2, min(AHEAD, longest) + 1):
+        filters.append(run_filter(cut_lineage(frequent_runs(texts, filters, least))))
     names = [f"w{k + 1}" for k in range(longest)]
     # Equal windows of different tasks fall together before ROLLUP writes each of them once a prefix.
-    whole = windows(texts, cells, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    whole = windows(texts, filters, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     lang = F.col("lang").alias("of")
     level = F.grouping_id().alias("level")
     sums = whole.rollup(lang, *names).agg(F.sum("n").alias("f"), level)

@@ -104,7 +104,7 @@ def test_products_beyond_64_bits(spark):
 def test_a_filter_has_all_its_pairs_and_a_full_one_changes_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     pairs = rng.integers(-2 ** 63, 2 ** 63, 5000)
-    cells = co.pair_filter(spark.createDataFrame([(int(p),) for p in pairs], "pair bigint"))
+    cells = co.run_filter(spark.createDataFrame([(int(p),) for p in pairs], "run bigint"))
     assert co.in_filter(pairs.view(np.uint64), cells).all()
     assert co.in_filter(rng.integers(0, 2 ** 63, 5000).astype(np.uint64), cells).mean() < 0.02
     docs = queries.table(spark, SF, "documents")
@@ -113,6 +113,14 @@ def test_a_filter_has_all_its_pairs_and_a_full_one_changes_nothing(spark, monkey
     assert got(docs, least=5) == want
 
 
+@pytest.mark.parametrize("ahead", [1, 2, 4])
+def test_runs_counted_ahead_change_nothing(spark, monkeypatch, ahead):
+    docs = queries.table(spark, SF, "documents")
+    want = got(docs, least=5)
+    monkeypatch.setattr(co, "AHEAD", ahead)
+    assert got(docs, least=5) == want
+
+
 def test_runs_of_any_size_and_forgotten_words_change_nothing(spark, monkeypatch):
     docs = queries.table(spark, SF, "documents")
     want = got(docs, least=5)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import top_per_key
+from claimgraph.functions.selection import middle
 from claimgraph.functions.text import confidence_bucket, conflict_domain, map_category
 
 # Confidences are added in hundred-millionths.
@@ -223,12 +224,13 @@ def warrant_monopoly(per_document: DataFrame, min_documents: int = 3) -> DataFra
 
 def monopoly_summary(clusters: DataFrame) -> DataFrame:
     """Upper-middle median, mean and tail shares of the Gini values."""
-    return clusters.agg(
+    upper = middle(clusters, [], "gini").select(F.round("high", 4).alias("median_gini"))
+    means = clusters.agg(
         F.count("*").alias("clusters"),
-        F.round(F.expr("percentile_disc(0.5) within group (order by gini desc)"), 4).alias("median_gini"),
         F.round(F.avg("gini"), 4).alias("mean_gini"),
         F.round(F.avg(F.when(F.col("gini") > 0.80, 1.0).otherwise(0.0)), 4).alias("share_monopoly"),
         F.round(F.avg(F.when(F.col("gini") < 0.40, 1.0).otherwise(0.0)), 4).alias("share_distributed"))
+    return means.withColumn("median_gini", upper.scalar())
 
 
 def contradiction_rows(edges: DataFrame, assertions: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import running
+from claimgraph.functions.selection import median, middle
 from claimgraph.operators import retrieval as R
 
 CONDITIONS = ["A", "B", "C", "D", "E"]
@@ -89,8 +90,8 @@ def passive_conflicts(results: DataFrame, conflicts: DataFrame, keys: Sequence[s
 
 
 def summarize(metrics: DataFrame, keys: Sequence[str] = ("condition", "metric")) -> DataFrame:
-    return (metrics.where("value is not null").groupBy(*keys)
-            .agg(F.round(F.avg("value"), 9).alias("mean"), F.round(F.median("value"), 9).alias("median"), F.count("*").alias("n")))
+    return middle(metrics, keys, "value").select(
+        *keys, F.round("mean", 9).alias("mean"), F.round(median(), 9).alias("median"), "n")
 
 
 def paired(metrics: DataFrame, pairs: Sequence[tuple[str, str]] = tuple(PAIRS), extra: Sequence[str] = ()) -> DataFrame:

@@ -9,8 +9,9 @@ paths that can still be in the answer.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import top_per_key
@@ -233,13 +234,33 @@ def assertion_view(assertions: DataFrame, edges: DataFrame) -> DataFrame:
             .join(shown, "assertion_id", "left"))
 
 
+def representatives(paths: DataFrame, keys: Sequence[str], hops: int, left: int, best: int) -> DataFrame:
+    """Trails of ``hops`` edges that stand for all trails with the same ``keys``.
+
+    Whatever ``left`` edges a trail may still take, those of its group that do not hold them already keep
+    their ``best`` smallest edge lists.  Let trails of a group agree on all but f positions.  If no edge at
+    one of those holds more than N(f - 1) of them, the edges to come rule out at most left * f * N(f - 1), so
+    N(f) = best + left * f * N(f - 1) of them are enough; with no free position a trail is alone, N(0) = 1.
+    The caps go from the most agreed positions to none, so a group is a bounded number of rows.
+    """
+    cap = 1
+    for free in range(1, hops + 1):
+        cap = best + left * free * cap
+        for agreed in combinations(range(1, hops + 1), hops - free):
+            own = [F.element_at("edge_ids", at) for at in agreed]
+            place = F.row_number().over(Window.partitionBy(*keys, *own).orderBy("edge_ids"))
+            paths = paths.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+    return paths
+
+
 def causal_chains(pairs: DataFrame, concept_edges: DataFrame, edges: DataFrame, max_hops: int = 3,
                   per_pair: int = 5) -> DataFrame:
-    """Causal paths between assertions of two concepts.
+    """Causal paths between assertions of two concepts, the first ``per_pair`` of a pair by (hops, edge_ids).
 
-    ``pairs`` is (pair_id, source_concept, target_concept).  A first pass from the
-    targets finds which nodes can still arrive in the hops left, so the forward
-    walk drops every path that cannot; no path that arrives is dropped.
+    ``pairs`` is (pair_id, source_concept, target_concept).  A first pass from the targets finds which
+    nodes can still arrive in the hops left.  The forward pass keeps, for each pair and node, the
+    ``representatives`` of the trails that reach it, so an edge is taken a bounded number of times per
+    pair and hop, however many paths a hub has.  A pair that has its chains goes no further.
     """
     max_hops = min(max_hops, 4)
     kept = cut_lineage(of_types(edges, CAUSAL_CHAIN_TYPES).select("src", "dst", "edge_id", "type", "confidence"))
@@ -247,10 +268,10 @@ def causal_chains(pairs: DataFrame, concept_edges: DataFrame, edges: DataFrame,
     forward = steps(kept)
     anchors = lambda column: (pairs.join(concept_edges, F.col(column) == F.col("name"))
                               .select("pair_id", F.col("assertion_id").alias("node")).distinct())
-    sources, targets = anchors("source_concept"), anchors("target_concept")
+    sources, targets = anchors("source_concept"), cut_lineage(anchors("target_concept"))
     backward = steps(kept, "in").select("here", "there")
     # (pair, node, left): node arrives in exactly ``left`` further steps.
-    level = cut_lineage(targets)
+    level = targets
     arrive = level.withColumn("left", F.lit(0))
     for left in range(1, max_hops + 1):
         level = cut_lineage(level.join(backward, F.col("node") == F.col("here"))
@@ -258,13 +279,29 @@ def causal_chains(pairs: DataFrame, concept_edges: DataFrame, edges: DataFrame,
         arrive = arrive.unionByName(level.withColumn("left", F.lit(left)))
     nearest = cut_lineage(arrive.groupBy("pair_id", "node").agg(F.min("left").alias("least_left")))
 
-    def can_arrive(paths: DataFrame) -> DataFrame:
-        return (paths.join(nearest, ["pair_id", "node"])
-                .where(F.col("hops") + F.col("least_left") <= max_hops).drop("least_left"))
-
-    found = walk(sources, ["pair_id"], forward, max_hops, can_arrive)
-    arrived = found.join(targets, ["pair_id", "node"], "left_semi")
-    return top_per_key(arrived, ["pair_id"], [F.col("hops"), F.col("edge_ids")], per_pair)
+    order = [F.col("hops"), F.col("edge_ids")]
+    trails = sources.select("pair_id", F.col("node").alias("start"), "node", F.array("node").alias("nodes"), *[
+        F.array().cast(kind).alias(name) for name, kind in (("edge_ids", f"array<{dict(kept.dtypes)['edge_id']}>"),
+                                                            ("types", "array<string>"), ("confidences", "array<double>"))],
+        F.lit(1.0).alias("chain_confidence"))
+    found = None
+    for hop in range(1, max_hops + 1):
+        longer = (trails.join(forward, trails.node == forward.here).where(~F.array_contains("edge_ids", F.col("edge_id")))
+                  .select("pair_id", "start", F.col("there").alias("node"), F.array_append("nodes", F.col("there")).alias("nodes"),
+                          F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("types", F.col("type")).alias("types"),
+                          F.array_append("confidences", F.col("confidence")).alias("confidences"),
+                          (F.col("chain_confidence") * positive_or(F.col("confidence")) * DECAY).alias("chain_confidence")))
+        able = longer.join(nearest, ["pair_id", "node"]).where(F.col("least_left") <= max_hops - hop).drop("least_left")
+        if hop < max_hops:
+            able = cut_lineage(representatives(able, ["pair_id", "node"], hop, max_hops - hop, per_pair))
+        ended = able.join(targets, ["pair_id", "node"], "left_semi").withColumn("hops", F.lit(hop))
+        ended = top_per_key(ended, ["pair_id"], order, per_pair)
+        found = ended if found is None else found.unionByName(ended)
+        if hop < max_hops:
+            found = cut_lineage(found)
+            full = found.groupBy("pair_id").count().where(F.col("count") >= per_pair)
+            trails = able.join(full, "pair_id", "left_anti")
+    return top_per_key(found, ["pair_id"], order, per_pair)
 
 
 def rebuttals(claims: DataFrame, edges: DataFrame, assertions: DataFrame, season: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import running
+from claimgraph.functions.selection import with_medians
 from claimgraph.functions.text import effect_label
 
 MIN_PAIRS = 3
@@ -96,19 +97,30 @@ def bootstrap_ci(pairs: DataFrame, keys: Sequence[str], draws: int = 1000, seed:
     """95 % interval of the mean difference from seeded resamples.
 
     A digest of (seed, keys, draw, position) picks each resampled row, so a retried task
-    and any other engine repeat its draws.  A resample is a count of draws per row; the means are
-    plain aggregates.
+    and any other engine repeat its draws.  A resample is a count of draws per row; the sums are
+    plain aggregates.  Differences count in billionths and sums, interpolation and rounding to
+    millionths are whole numbers, so the interval does not depend on the order of additions.
     """
-    diff = F.col("treatment") - F.col("baseline")
-    rows = running(pairs.withColumn("d", diff), list(keys), [F.col("query_id")], F.floor(F.col("query_id") / 65_536), {"i": F.lit(1)})
+    billionths = F.round((F.col("treatment") - F.col("baseline")) * 1e9).cast("bigint")
+    rows = running(pairs.withColumn("d", billionths), list(keys), [F.col("query_id")], F.floor(F.col("query_id") / 65_536), {"i": F.lit(1)})
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("size"))
     slots = (rows.select(*keys, F.col("i").alias("slot")).join(sizes, list(keys))
              .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
     picks = slots.withColumn("i", F.pmod(_draw(F.lit(seed), *keys, "draw", "slot"), F.col("size")) + 1)
-    means = (picks.groupBy(*keys, "draw", "i").agg(F.count("*").alias("times"))
-             .join(rows.select(*keys, "i", "d"), [*keys, "i"])
-             .groupBy(*keys, "draw").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean")))
-    return means.groupBy(*keys).agg(F.percentile("mean", 0.025).alias("ci_low"), F.percentile("mean", 0.975).alias("ci_high"))
+    sums = (picks.groupBy(*keys, "draw", "i").agg(F.count("*").alias("times"))
+            .join(rows.select(*keys, "i", "d"), [*keys, "i"])
+            .groupBy(*keys, "draw").agg(F.sum(F.col("d") * F.col("times")).alias("total"), F.sum("times").alias("size")))
+    # One number per draw and key, so the list is as long as there are draws.
+    ordered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("total")).alias("totals"), F.first("size").alias("size"))
+
+    def quantile(permille: int) -> Column:
+        at, part = divmod((draws - 1) * permille, 1000)
+        low, high = (F.get("totals", F.lit(min(k, draws - 1))).cast("decimal(20,0)") for k in (at, at + 1))
+        over, under = low * (1000 - part) + high * part, F.col("size").cast("decimal(18,0)") * 1_000_000
+        whole = F.call_function("div", F.abs(over) * 2 + under, under * 2)
+        return F.when(over < 0, -whole).otherwise(whole) / 1e6
+
+    return ordered.select(*keys, quantile(25).alias("ci_low"), quantile(975).alias("ci_high"))
 
 
 def paired_tests(pairs: DataFrame, keys: Sequence[str], with_p: bool = True, with_ci: bool = False) -> DataFrame:
@@ -117,8 +129,8 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], with_p: bool = True, wit
     diff = F.col("treatment") - F.col("baseline")
     basics = pairs.groupBy(*keys).agg(
         F.count("*").alias("n_pairs"), F.avg("baseline").alias("mean_baseline"), F.avg("treatment").alias("mean_treatment"),
-        F.median("baseline").alias("median_baseline"), F.median("treatment").alias("median_treatment"),
         cohens_d(diff).alias("cohens_d"))
+    basics = with_medians(basics, pairs, keys, {"median_baseline": "baseline", "median_treatment": "treatment"})
     ranks = signed_ranks(pairs, keys)
     out = basics.join(ranks.withColumn("rank_biserial", rank_biserial()).select(*keys, "rank_biserial"), keys)
     if with_p:

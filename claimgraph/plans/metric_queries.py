@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from claimgraph.functions import selection
 from claimgraph.operators import analytics as N
 from claimgraph.operators import evidence as E
 from claimgraph.operators import ledger as L
@@ -193,15 +194,21 @@ def wilcoxon(c):
     return rows.withColumn("wilcoxon_p", F.round("wilcoxon_p", 8))
 
 
-@query("m11_bootstrap_ci", """with r as (select pair, metric, treatment - baseline as d, row_number() over (partition by pair, metric order by query_id) as i,
-        count(*) over (partition by pair, metric) as n from v_paired),
-    picks as (select pair, metric, draw, ('0x' || substr(md5(concat_ws('|', 7, pair, metric, draw, i)), 1, 15))::bigint % n + 1 as i
+def _permille(p):
+    at, part = divmod(999 * p, 1000)
+    over = f"(l[{at + 1}] * {1000 - part} + l[{at + 2}] * {part})"
+    return f"sign({over}) * ((abs({over}) * 2 + n * 1000000) // (n * 2000000)) / 1e6"
+
+
+@query("m11_bootstrap_ci", f"""with r as (select pair, metric, round((treatment - baseline) * 1e9)::hugeint as d,
+        row_number() over (partition by pair, metric order by query_id) as i, count(*) over (partition by pair, metric) as n from v_paired),
+    picks as (select pair, metric, draw, n, ('0x' || substr(md5(concat_ws('|', 7, pair, metric, draw, i)), 1, 15))::bigint % n + 1 as i
               from r, (select unnest(range(1000)) as draw)),
-    means as (select pair, metric, draw, avg(d) as mean from picks join r using (pair, metric, i) group by 1, 2, 3)
-    select pair, metric, round(quantile_cont(mean, 0.025), 6) as ci_low, round(quantile_cont(mean, 0.975), 6) as ci_high from means group by 1, 2""")
+    sums as (select pair, metric, draw, any_value(picks.n)::hugeint as n, sum(d)::hugeint as total from picks join r using (pair, metric, i) group by 1, 2, 3),
+    lists as (select pair, metric, any_value(n) as n, list_sort(list(total)) as l from sums group by 1, 2)
+    select pair, metric, {_permille(25)} as ci_low, {_permille(975)} as ci_high from lists""")
 def bootstrap_ci(c):
-    rows = T.bootstrap_ci(paired(c), ["pair", "metric"])
-    return rows.withColumns({"ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6)})
+    return T.bootstrap_ci(paired(c), ["pair", "metric"])
 
 
 def _tests_sql(source, keys):
@@ -237,7 +244,7 @@ share("v_repetition", "select query_id, round(avg(score), 9) as r from v_top_chu
     from v_paired p join v_repetition using (query_id))""", "stratum, pair, metric"))
 def tests_by_repetitiveness(c):
     index = R.repetitiveness(c.queries, vectors(c))
-    middle = index.agg(F.median("repetitiveness_index")).scalar()
+    middle = selection.middle(index, [], "repetitiveness_index").select(selection.median()).scalar()
     strata = index.select("query_id", F.when(F.col("repetitiveness_index") >= middle, "high").otherwise("low").alias("stratum"))
     return _tests(paired(c).join(strata, "query_id"), ["stratum", "pair", "metric"])
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -155,6 +156,51 @@ def test_causal_chains_equal_all_paths(spark, rows):
     assert sorted((r.hops, tuple(r.edge_ids)) for r in got) == want
 
 
+@settings(max_examples=12, deadline=None)
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.just("CAUSES"), st.just(0.9)), min_size=4, max_size=13),
+       hops=st.integers(2, 4), best=st.integers(1, 3))
+def test_causal_chains_of_crowded_graphs_equal_all_paths(spark, rows, hops, best):
+    names = spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "y")], "assertion_id bigint, name string")
+    pairs = spark.createDataFrame([("p", "x", "y"), ("q", "y", "x")], "pair_id string, source_concept string, target_concept string")
+    got = P.causal_chains(pairs, names, edges(spark, rows), hops, per_pair=best).collect()
+    for pair, starts, ends in (("p", (0, 1), (1, 2)), ("q", (1, 2), (0, 1))):
+        want = sorted((h, i) for start in starts for h, i, n in trails(rows, start, hops) if n[-1] in ends)[:best]
+        assert sorted((r.hops, tuple(r.edge_ids)) for r in got if r.pair_id == pair) == want
+
+
+def test_a_chain_that_crowded_prefixes_would_hide(spark):
+    # Thirty ways back from 1 to 0 rank before the way from 3 over 4, and all of them use the only edge from 0 to 1.
+    rows = [(0, 1, "CAUSES", 0.9)] + [(1, 0, "CAUSES", 0.9)] * 30 + [(3, 4, "CAUSES", 0.9), (4, 0, "CAUSES", 0.9)]
+    names = spark.createDataFrame([(0, "x"), (3, "x"), (1, "y")], "assertion_id bigint, name string")
+    pairs = spark.createDataFrame([("p", "x", "y")], "pair_id string, source_concept string, target_concept string")
+    got = P.causal_chains(pairs, names, edges(spark, rows), 3, per_pair=2).collect()
+    assert sorted(tuple(r.edge_ids) for r in got) == [(0,), (31, 32, 0)]
+
+
+def test_representatives_keep_the_best_for_every_suffix(spark):
+    rng = random.Random(4)
+    family = sorted({tuple(rng.sample(range(7), 3)) for _ in range(160)})
+    frame = spark.createDataFrame([(1, list(f)) for f in family], "k int, edge_ids array<bigint>")
+    kept = sorted(tuple(r.edge_ids) for r in P.representatives(frame, ["k"], 3, 1, 2).collect())
+    assert len(kept) < len(family)
+    for taken in range(7):
+        avoid = [[f for f in some if taken not in f][:2] for some in (family, kept)]
+        assert avoid[0] == avoid[1]
+
+
+def test_causal_chains_through_a_hub_of_many_edges(spark):
+    n = 100_000
+    # Sources x lead into a hub along n edges, the hub leads back out along n more, and a few of those arrive.
+    into = spark.range(n).selectExpr("id + 10 as src", "0L as dst", "id as edge_id")
+    out = spark.range(n).selectExpr("0L as src", f"id + 10 + {n} as dst", f"id + {n} as edge_id")
+    hub = into.unionByName(out).selectExpr("src", "dst", "'CAUSES' as type", "edge_id", "0.5D as confidence")
+    names = spark.range(n).selectExpr("id + 10 as assertion_id", "'x' as name").unionByName(
+        spark.range(n).selectExpr(f"id + 10 + {n} as assertion_id", "'y' as name"))
+    pairs = spark.createDataFrame([("p", "x", "y")], "pair_id string, source_concept string, target_concept string")
+    got = P.causal_chains(pairs, names, hub, 3).collect()
+    assert sorted(tuple(r.edge_ids) for r in got) == [(0, n + i) for i in range(5)]
+
+
 def chain_frame(spark, rows):
     cols = "query_id bigint, target bigint, chain array<bigint>, rels array<string>, hops int, edge_ids array<bigint>, chain_confidence double, seed_rank int, conclusion string"
     df = spark.createDataFrame(rows, cols).withColumn("place", F.struct("seed_rank", (F.col("hops") == 0).alias("own"), "hops", "edge_ids"))

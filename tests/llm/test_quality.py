@@ -43,19 +43,28 @@ def distance(a, b):
                                   for x, y in zip(p, q, strict=True)) / 2))
 
 
+def share(words):
+    return 1 - words[-1] / sum(words) if sum(words) else 0.0
+
+
 def brute(docs):
     """docs: (doc_id, text, lang)."""
-    groups = {}
+    groups, shares = {}, {}
     for _, text, lang in docs:
-        groups.setdefault(lang if lang in Q.COMMON_WORDS else "other", []).append(histograms(text, lang))
+        group = lang if lang in Q.COMMON_WORDS else "other"
+        groups.setdefault(group, []).append(histograms(text, lang))
+        if not base(text)[5]:
+            shares.setdefault(group, []).append(math.floor(share(groups[group][-1][1]) * Q.SHARE_UNITS + 0.5))
+    floors = {g: Q.LEAST_COMMON * sum(s) / len(s) / Q.SHARE_UNITS for g, s in shares.items()}
     refs = {g: [[sum(x) for x in zip(*(h[k] for h in hs), strict=True)] for k in (0, 1)] for g, hs in groups.items()}
     out = []
     for doc_id, text, lang in docs:
         b = base(text)
         chars, words = histograms(text, lang)
-        ref = refs[lang if lang in Q.COMMON_WORDS else "other"]
+        group = lang if lang in Q.COMMON_WORDS else "other"
+        ref = refs[group]
         kept = (not b[5] and (b[1] < Q.MIN_CHARS or distance(chars, ref[0]) <= Q.MAX_CHAR_DISTANCE)
-                and (b[0] < Q.MIN_COMMON_WORDS or distance(words, ref[1]) <= Q.MAX_WORD_DISTANCE))
+                and (b[0] < Q.MIN_COMMON_WORDS or distance(words, ref[1]) <= Q.MAX_WORD_DISTANCE and share(words) >= floors.get(group, 0.0)))
         out.append((doc_id, *b, kept))
     return sorted(out, key=repr)
 

@@ -15,6 +15,8 @@ BATCH_ROWS = 50
 CROSS_ROWS = 10
 MIN_ASSERTIONS_WITH_RELATIONS = 30
 MIN_CLUSTER, MAX_CLUSTER = 2, 50
+# Members of a concept that meet in one cell of the pair join: at most this many of each of two blocks.
+BLOCK_MEMBERS = 1024
 # Rows of one document that a single task may sort when batches are numbered.
 ORDER_BUCKET = 65_536
 
@@ -137,15 +139,15 @@ def concept_links(assertions: DataFrame) -> DataFrame:
             .where("concept <> ''"))
 
 
-def clustered_links(assertions: DataFrame, low: int = MIN_CLUSTER, high: int = MAX_CLUSTER) -> DataFrame:
-    """Live concept links of clusters with ``low`` to ``high`` members.
+def clustered_links(assertions: DataFrame, low: int = MIN_CLUSTER, high: int | None = None) -> DataFrame:
+    """(concept, assertion_id, document_id, size): live concept links of clusters with ``low`` to ``high`` members, a row each.
 
-    Sizes are counted with a partial aggregate first; a hub concept is dropped
-    by its count and its members never meet in one task.
+    Sizes are counted with a partial aggregate first; a concept beyond the limit is dropped by its
+    count.  Without a limit every concept stays, and its members stay in rows.
     """
     links = concept_links(assertions).where(live()).drop("epistemic_status")
-    sizes = links.groupBy("concept").agg(F.count("*").alias("size")).where(F.col("size").between(low, high))
-    return links.join(sizes, "concept")
+    sizes = links.groupBy("concept").agg(F.count("*").alias("size")).where(F.col("size") >= low)
+    return links.join(sizes if high is None else sizes.where(F.col("size") <= high), "concept")
 
 
 def dropped_clusters(assertions: DataFrame, low: int = MIN_CLUSTER, high: int = MAX_CLUSTER) -> DataFrame:
@@ -154,9 +156,9 @@ def dropped_clusters(assertions: DataFrame, low: int = MIN_CLUSTER, high: int =
     return links.groupBy("concept").agg(F.count("*").alias("size")).where(~F.col("size").between(low, high))
 
 
-def concept_clusters(assertions: DataFrame) -> DataFrame:
-    """Clusters with their members; the size limit bounds every array."""
-    return (clustered_links(assertions).groupBy("concept", "size")
+def concept_clusters(assertions: DataFrame, high: int = MAX_CLUSTER) -> DataFrame:
+    """Clusters with their members; the size limit bounds every array.  ``clustered_links`` has clusters of any size in rows."""
+    return (clustered_links(assertions, high=high).groupBy("concept", "size")
             .agg(F.array_sort(F.collect_list("assertion_id")).alias("assertion_ids")))
 
 
@@ -168,17 +170,33 @@ def linked_pairs(relations: DataFrame) -> DataFrame:
     return relations.select(*pair_key(F.col("source_assertion_id"), F.col("target_assertion_id"))).distinct()
 
 
-def cross_document_pairs(assertions: DataFrame, relations: DataFrame) -> DataFrame:
+def cluster_pairs(links: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """(concept, low_id, high_id): pairs of members from different documents of ``clustered_links``.
+
+    A large concept is dealt into blocks of about ``block`` members, and every two blocks (and every
+    block with itself) meet in a cell of their own, so no task holds a hub.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("bigint")
+    own = F.pmod(F.xxhash64("assertion_id"), blocks).alias("block")
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda other: F.struct(
+        F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
+    dealt = (links.select("concept", "assertion_id", "document_id", blocks.alias("blocks"), own)
+             .select("concept", cell.alias("cell"), "block", "assertion_id", "document_id"))
+    left = dealt.select("concept", "cell", F.col("block").alias("b1"), F.col("assertion_id").alias("low_id"), F.col("document_id").alias("d1"))
+    right = dealt.select("concept", "cell", F.col("block").alias("b2"), F.col("assertion_id").alias("high_id"), F.col("document_id").alias("d2"))
+    once = (F.col("b1") != F.col("b2")) | (F.col("cell.i") == F.col("cell.j"))
+    return (left.join(right, ["concept", "cell"])
+            .where((F.col("low_id") < F.col("high_id")) & ~F.col("d1").eqNullSafe(F.col("d2")) & once)
+            .select("concept", "low_id", "high_id"))
+
+
+def cross_document_pairs(assertions: DataFrame, relations: DataFrame, high: int | None = None) -> DataFrame:
     """Pairs from different documents within a concept cluster that no relation links yet.
 
-    A cluster has at most 50 members, so it yields at most 1,225 pairs.
+    ``high`` leaves out concepts with more members; without it, a concept with n members yields up
+    to n (n - 1) / 2 pairs, made in cells of bounded size.
     """
-    links = clustered_links(assertions).select("concept", "assertion_id", "document_id")
-    left = links.select("concept", F.col("assertion_id").alias("low_id"), F.col("document_id").alias("_d1"))
-    right = links.select("concept", F.col("assertion_id").alias("high_id"), F.col("document_id").alias("_d2"))
-    pairs = (left.join(right, "concept").where((F.col("low_id") < F.col("high_id"))
-                                               & ~F.col("_d1").eqNullSafe(F.col("_d2"))))
-    return (pairs.select("concept", "low_id", "high_id")
+    return (cluster_pairs(clustered_links(assertions, high=high))
             .join(linked_pairs(relations), ["low_id", "high_id"], "left_anti"))
 
 

@@ -129,6 +129,12 @@ def concept_clusters(c):
             .select("concept", "size", F.array_join(F.col("assertion_ids").cast("array<string>"), "|").alias("members")))
 
 
+@query("a10_concept_members", """select concept, size, assertion_id, document_id from v_concept_links
+    join (select concept, count(*) as size from v_concept_links group by 1 having count(*) >= 2) using (concept)""")
+def concept_members(c):
+    return A.clustered_links(c.assertions).select("concept", "size", "assertion_id", "document_id")
+
+
 @query("a10_dropped_clusters", """select concept, count(*) as size from v_concept_links group by 1 having count(*) not between 2 and 50""")
 def dropped_clusters(c):
     return A.dropped_clusters(c.assertions)
@@ -143,7 +149,7 @@ share("v_linked", """select distinct least(source_assertion_id, target_assertion
     where x.assertion_id < y.assertion_id and x.document_id is distinct from y.document_id
       and not exists (select 1 from v_linked l where l.low_id = x.assertion_id and l.high_id = y.assertion_id)""")
 def cross_document_pairs(c):
-    return A.cross_document_pairs(c.assertions, c.relations)
+    return A.cross_document_pairs(c.assertions, c.relations, A.MAX_CLUSTER)
 
 
 @query("a12_accept_relations", """with f as (select relationship_id, source_assertion_id as s, target_assertion_id as t from v_conflicts

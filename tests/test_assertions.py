@@ -69,6 +69,28 @@ def test_cross_document_pairs_skip_linked_and_keep_null_documents(spark):
     assert got == {(2, 3), (1, 4), (2, 4), (3, 4)}
 
 
+def test_a_concept_of_any_size_gives_all_its_pairs(spark):
+    n = 5000
+    df = spark.range(n).selectExpr("id as assertion_id", "id % 3 as document_id", "'ok' as epistemic_status", "array('hub') as entities")
+    none = spark.createDataFrame([], "source_assertion_id bigint, target_assertion_id bigint")
+    pairs = A.cross_document_pairs(df, none)
+    sizes = [len(range(d, n, 3)) for d in range(3)]
+    want = sum(a * b for i, a in enumerate(sizes) for b in sizes[:i])
+    row = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("low_id") >= F.col("high_id")).alias("bad"),
+                    F.count_if(F.col("low_id") % 3 == F.col("high_id") % 3).alias("same")).first()
+    assert (row.n, row.bad, row.same) == (want, 0, 0)
+    assert A.cross_document_pairs(df, none, 50).count() == 0
+
+
+def test_blocks_do_not_change_the_pairs(spark):
+    rows = [(i, i % 4, "ok", ["hub"] + (["small"] if i < 5 else [])) for i in range(70)]
+    df = spark.createDataFrame(rows, "assertion_id int, document_id int, epistemic_status string, entities array<string>")
+    links = A.clustered_links(df)
+    found = [sorted(tuple(r) for r in A.cluster_pairs(links, block).collect()) for block in (1, 7, 1000)]
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == len(found[0])
+    assert len(found[0]) == sum(a % 4 != b % 4 for n in (70, 5) for a in range(n) for b in range(a))
+
+
 def test_accepted_relations_are_first_per_unordered_pair(spark):
     docs = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "assertion_id int, document_id int")
     found = spark.createDataFrame([(10, 1, 2), (11, 2, 1), (12, 1, 3), (13, 2, 3)],

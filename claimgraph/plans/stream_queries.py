@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimgraph.operators import ledger as L
-from claimgraph.plans.registry import query
+from claimgraph.plans.registry import query, share
 from claimgraph.plans.source_queries import articles, assertion_responses
 from claimgraph.sources import files
 from claimgraph.sources.derived import MODELS
@@ -63,10 +63,37 @@ def _calls(events):
     from v_priced group by 1, 2""")
 def spend_per_stage(c):
     target, checkpoint = files.scratch_folder(c.spark), files.scratch_folder(c.spark)
-    spend = K.spend_per_stage(cost_stream(c), L.prices(c.spark))
-    _run(lambda: K.write_spend(spend, target, checkpoint))
-    written = c.spark.read.schema(spend.schema).parquet(target)
-    return (K.flush_spend(cost_log(c), L.prices(c.spark), written)
+    _run(lambda: K.track_spend(cost_stream(c), L.prices(c.spark), target, checkpoint))
+    return (K.spend(c.spark, target, flush=True)
+            .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.col("cost").cast("double").alias("cost")))
+
+
+def two_deliveries(c):
+    """Spend of the cost log when every tenth call arrives only after all others; the folder that holds it."""
+    source, target, checkpoint = (files.scratch_folder(c.spark) for _ in range(3))
+    calls = cost_log(c)
+    for part in ("record_id % 10 <> 3", "record_id % 10 = 3"):
+        calls.where(part).write.mode("append").parquet(source)
+        stream = c.spark.readStream.schema(calls.schema).parquet(source)
+        _run(lambda stream=stream: K.track_spend(stream, L.prices(c.spark), target, checkpoint))
+    return target
+
+
+share("v_arrivals", """select *, date_trunc('hour', ts) as window_start, record_id % 10 = 3 and date_trunc('hour', ts) + interval 1 hour
+        <= (select max(ts) from v_priced where record_id % 10 <> 3) - interval 10 minute as late from v_priced""")
+
+
+@query("st2_late_calls", """select record_id, stage, strftime(window_start, '%Y-%m-%d %H:%M') as window_start, cast(cast(round(cost, 10) as decimal(28, 10)) as double) as cost
+    from v_arrivals where late""")
+def late_calls(c):
+    return K.late_calls(c.spark, two_deliveries(c)).select(
+        "record_id", "stage", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), F.col("cost").cast("double").alias("cost"))
+
+
+@query("st2_spend_beside_late_calls", """select strftime(window_start, '%Y-%m-%d %H:%M') as window_start, stage, count(*) as calls,
+        cast(sum(cast(round(cost, 10) as decimal(28, 10))) as double) as cost from v_arrivals where not late group by 1, 2""")
+def spend_beside_late_calls(c):
+    return (K.spend(c.spark, two_deliveries(c), flush=True)
             .select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "calls", F.col("cost").cast("double").alias("cost")))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -11,53 +13,75 @@ from claimgraph import schemas as S
 from claimgraph.operators.ledger import running_total, with_cost
 from claimgraph.streaming import tables
 
-TOTALS = S.struct(cost=T.DecimalType(38, 10))
+EXACT = T.DecimalType(38, 10)
+TOTALS = S.struct(cost=EXACT)
 ALERTS = S.struct(record_id=T.LongType(), ts=T.TimestampType(), running_total=T.DoubleType())
+SUMS = S.struct(window_start=T.TimestampType(), window_end=T.TimestampType(), stage=T.StringType(), calls=T.LongType(), cost=EXACT)
+LATE = S.struct(record_id=T.LongType(), ts=T.TimestampType(), model=T.StringType(), stage=T.StringType(), window_start=T.TimestampType(),
+                cost=EXACT)
+MARKS = S.struct(newest=T.TimestampType(), watermark=T.TimestampType())
 
 
-def spend_per_stage(calls: DataFrame, price_table: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Windowed spend per stage; calls later than ``lateness`` are left out here and kept by ``late_calls``."""
-    exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
-    return (with_cost(calls.withWatermark("ts", lateness), price_table)
-            .groupBy(F.window("ts", window), "stage")
-            .agg(F.count("*").alias("calls"), F.sum(exact).alias("cost"))
-            .select(F.col("window.start").alias("window_start"), "stage", "calls", "cost"))
+def _exact() -> Column:
+    return F.round(F.col("cost"), 10).cast("decimal(30,10)")
 
 
-def write_spend(spend: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    return (spend.writeStream.format("parquet").outputMode("append").option("path", target)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def track_spend(calls: DataFrame, price_table: DataFrame, target: str, checkpoint: str, window: str = "1 hour",
+                lateness: str = "10 minutes") -> StreamingQuery:
+    """Spend per stage and window as it arrives; calls whose window has closed go to ``late``, whole.
 
+    The watermark of a batch is the newest time of all batches before it less ``lateness``, and a window that
+    ends at or before it is closed.  A batch stores its partial sums (``sums``), its late calls (``late``) and
+    one row with the newest time so far (``marks``), so a batch reads one row of the batch before it however
+    long the stream has run, and a repeated batch counts once.  A call without a time belongs to no
+    window and is late.
+    """
+    spark = calls.sparkSession
+    for name, schema in (("sums", SUMS), ("late", LATE), ("marks", MARKS)):
+        tables.prepare(spark, f"{target}/{name}", schema)
 
-def flush_spend(calls: DataFrame, price_table: DataFrame, spend: DataFrame, window: str = "1 hour") -> DataFrame:
-    """All windows once the input has ended: the streamed ones, and from ``calls`` those the watermark never closed.
+    def store(batch: DataFrame, batch_id: int) -> None:
+        last = tables.read_batch(spark, f"{target}/marks", MARKS, batch_id - 1).first()
+        newest = F.lit(last.newest if last else None).cast("timestamp")
+        watermark = newest - F.expr(f"interval {lateness}")
+        priced = with_cost(batch, price_table).select(
+            "record_id", "ts", "model", "stage", F.window("ts", window).alias("w"), _exact().alias("cost")).union(
+            # A null time has no window and would be dropped with it.
+            with_cost(batch.where("ts is null"), price_table).select(
+                "record_id", "ts", "model", "stage", F.lit(None).cast("struct<start:timestamp,end:timestamp>"), _exact()))
+        placed = priced.select("record_id", "ts", "model", "stage", F.col("w.start").alias("window_start"),
+                               F.col("w.end").alias("window_end"), "cost")
+        late = F.col("window_end").isNull() | F.coalesce(F.col("window_end") <= watermark, F.lit(False))
+        tables.write_batch(placed.where(late).select(*[F.col(f.name).cast(f.dataType) for f in LATE]), f"{target}/late", batch_id)
+        sums = placed.where(~late).groupBy("window_start", "window_end", "stage").agg(
+            F.count("*").alias("calls"), F.sum("cost").cast(EXACT).alias("cost"))
+        tables.write_batch(sums, f"{target}/sums", batch_id)
+        tables.write_batch(batch.agg(F.greatest(F.max("ts"), newest).alias("newest")).select("newest", watermark.alias("watermark")),
+                           f"{target}/marks", batch_id)
 
-    A window that a late call belongs to was closed before; the call is in ``late_calls``.
-    """
-    exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
-    every = (with_cost(calls, price_table).groupBy(F.window("ts", window), "stage")
-             .agg(F.count("*").alias("calls"), F.sum(exact).alias("cost"))
-             .select(F.col("window.start").alias("window_start"), "stage", "calls", "cost"))
-    keys = ["window_start", "stage"]
-    return spend.unionByName(every.join(spend.select(*keys), keys, "left_anti"))
+    return (calls.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def spend(spark: SparkSession, target: str, flush: bool = False) -> DataFrame:
+    """(window_start, stage, calls, cost) of the windows that are closed by now; with ``flush``, once the input has ended, of all."""
+    sums = tables.read(spark, f"{target}/sums", SUMS)
+    if not flush:
+        newest = tables.read(spark, f"{target}/marks", MARKS).agg(F.max("watermark")).scalar()
+        sums = sums.where(F.col("window_end") <= newest)
+    return sums.groupBy("window_start", "stage").agg(F.sum("calls").alias("calls"), F.sum("cost").cast(EXACT).alias("cost"))
 
 
-def late_calls(calls: DataFrame, price_table: DataFrame, spend: DataFrame, window: str = "1 hour") -> DataFrame:
-    """(window_start, stage, calls, cost) of calls that arrived after their window was closed."""
-    keys = ["window_start", "stage"]
-    exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
-    every = (with_cost(calls, price_table).groupBy(F.window("ts", window), "stage")
-             .agg(F.count("*").alias("n"), F.sum(exact).alias("whole"))
-             .select(F.col("window.start").alias("window_start"), "stage", "n", "whole"))
-    return (spend.join(every, keys).where("n > calls")
-            .select(*keys, (F.col("n") - F.col("calls")).alias("calls"), (F.col("whole") - F.col("cost")).alias("cost")))
+def late_calls(spark: SparkSession, target: str) -> DataFrame:
+    """The calls that arrived after their window had closed, each with its batch."""
+    return tables.read(spark, f"{target}/late", LATE)
 
 
 def watch_ceiling(calls: DataFrame, price_table: DataFrame, ceiling: float, target: str, checkpoint: str) -> StreamingQuery:
     """One total over all batches; the record that first reaches the ceiling is written to ``alerts``.
 
-    Each batch stores its own sum, so the total before a batch is a short read and
-    a repeated batch counts once.
+    Each batch stores the total up to its end, so the total before a batch is one row of the batch before
+    it, and a repeated batch counts once.
     """
     spark = calls.sparkSession
     tables.prepare(spark, f"{target}/totals", TOTALS)
@@ -65,11 +89,10 @@ def watch_ceiling(calls: DataFrame, price_table: DataFrame, ceiling: float, targ
 
     def store(batch: DataFrame, batch_id: int) -> None:
         priced = with_cost(batch, price_table)
-        exact = F.round(F.col("cost"), 10).cast("decimal(30,10)")
-        tables.write_batch(priced.agg(F.coalesce(F.sum(exact), F.lit(0)).cast("decimal(38,10)").alias("cost")),
+        last = tables.read_batch(spark, f"{target}/totals", TOTALS, batch_id - 1).first()
+        before = last.cost if last else Decimal(0)
+        tables.write_batch(priced.agg((F.coalesce(F.sum(_exact()), F.lit(0)) + F.lit(before)).cast(EXACT).alias("cost")),
                            f"{target}/totals", batch_id)
-        before = tables.read_before(spark, f"{target}/totals", TOTALS, batch_id).agg(
-            F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,10)").alias("b")).first().b
         # Totals stay decimal until they have been compared.
         total = F.round("running_total", 10).cast("decimal(30,10)") + F.lit(before).cast("decimal(30,10)")
         limit = F.lit(str(ceiling)).cast("decimal(30,10)")

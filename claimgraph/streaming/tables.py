@@ -31,4 +31,7 @@ def read_before(spark: SparkSession, path: str, schema: T.StructType, batch_id:
 
 
 def read_batch(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    return read(spark, path, schema).where(F.col("batch") == batch_id).drop("batch")
+    """Rows of one batch; only its folder is listed.  Batches before the first have no rows."""
+    if batch_id < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch={batch_id}")

@@ -91,6 +91,44 @@ def test_ceiling_is_found_across_batches(spark, tmp_path):
     assert step() == [(4, 3.125)]
 
 
+def test_spend_closes_windows_and_splits_late_calls_off(spark, tmp_path):
+    path, million, prices = f"{tmp_path}/in", 1_000_000, L.prices(spark)
+    target = f"{tmp_path}/out"
+
+    def step(*rows):
+        calls(spark, path, rows)
+        run(K.track_spend(spark.readStream.schema(COSTS).parquet(path), prices, target, f"{tmp_path}/checkpoint"))
+
+    def found(flush):
+        return sorted((r.window_start.hour, r.calls, float(r.cost)) for r in K.spend(spark, target, flush).collect())
+
+    step((1, 0, 30, "gemini-1.5-pro", million), (2, 2, 0, "gemini-1.5-pro", million))
+    assert found(False) == [] and found(True) == [(0, 1, 1.25), (2, 1, 1.25)]
+    # The first window closed at 1:50; the second call of it is late, the one at 1:55 is not.
+    step((3, 0, 40, "gemini-1.5-pro", million), (4, 1, 55, "gemini-1.5-pro", 2 * million))
+    assert [(r.record_id, r.window_start.hour, float(r.cost), r.batch) for r in K.late_calls(spark, target).collect()] == [(3, 0, 1.25, 1)]
+    assert found(False) == [(0, 1, 1.25)] and found(True) == [(0, 1, 1.25), (1, 1, 2.5), (2, 1, 1.25)]
+    # A window takes calls of several batches, and a call without a time is late.
+    spark.createDataFrame([(5, None, "gemini-1.5-pro", "extract", million, 0)], COSTS).coalesce(1).write.mode("append").parquet(path)
+    step((6, 2, 10, "gemini-1.5-pro", million))
+    assert sorted(r.record_id for r in K.late_calls(spark, target).collect()) == [3, 5]
+    assert found(True) == [(0, 1, 1.25), (1, 1, 2.5), (2, 2, 2.5)]
+
+
+def test_a_batch_reads_one_row_of_the_batch_before_it(spark, tmp_path, monkeypatch):
+    read = []
+    plain = tables.read_batch
+    monkeypatch.setattr(tables, "read_batch", lambda s, p, schema, b: (read.append((p.rsplit("/", 1)[1], b)), plain(s, p, schema, b))[1])
+    monkeypatch.setattr(tables, "read_before", None)
+    path, prices = f"{tmp_path}/in", L.prices(spark)
+    for hour in range(3):
+        calls(spark, path, [(hour, hour, 0, "gemini-1.5-pro", 1_000_000)])
+        run(K.track_spend(spark.readStream.schema(COSTS).parquet(path), prices, f"{tmp_path}/out", f"{tmp_path}/a"))
+        run(K.watch_ceiling(spark.readStream.schema(COSTS).parquet(path), prices, 3.0, f"{tmp_path}/out", f"{tmp_path}/b"))
+    assert sorted(read) == sorted([(name, b) for name in ("marks", "totals") for b in (-1, 0, 1)])
+    assert [r.record_id for r in tables.read(spark, f"{tmp_path}/out/alerts", K.ALERTS).collect()] == [2]
+
+
 def test_ledger_in_batch(spark):
     rows = [(1, dt.datetime(2024, 1, 1, 0, 0), "gemini-1.5-flash", "a", 1_000_000, 1_000_000), (2, dt.datetime(2024, 1, 1, 0, 0), "text-embedding-004", "b", 1000, 9),
             (3, dt.datetime(2024, 1, 2, 0, 0), "new-model", "b", 1_000_000, 0), (4, dt.datetime(2024, 1, 3, 0, 0), "gemini-1.5-pro", "a", 1_000_000, 0)]

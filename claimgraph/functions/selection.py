@@ -1,4 +1,4 @@
-"""Exact middle values of any number of values, without sorting a key's values in one task."""
+"""Exact middle values and running sums over any number of values, without sorting a key's values in one task."""
 
 from __future__ import annotations
 
@@ -44,6 +44,27 @@ def middle(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         *[F.col("key").getField(k).alias(k) for k in keys], "n", "mean", "low", "high")
 
 
+def cumulative(rows: DataFrame, keys: Sequence[str], value: str, amount: Column, name: str) -> DataFrame:
+    """``rows`` and ``name``: the sum of ``amount`` over the rows of the same keys with a smaller ``value``, 0 for the first.
+
+    A value stands once per key.  Pieces are dealt as in ``middle``; a row adds what the pieces before its own
+    hold, few per key, to what its piece holds before it.
+    """
+    rows = cut_lineage(rows.select(F.struct("*").alias("row"), F.struct(*keys, F.lit(0).alias("one")).alias("key"),
+                                   F.col(value).alias("v"), amount.alias("amount")))
+    cuts = rows.groupBy(F.col("key").alias("same")).agg(
+        F.percentile_approx("v", [k / PIECES for k in range(1, PIECES)], 20 * PIECES).alias("cuts"))
+    dealt = rows.join(cuts, F.col("key").eqNullSafe(F.col("same"))).select(
+        "row", "key", "v", "amount", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("piece"))
+    earlier = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (dealt.groupBy(F.col("key").alias("k"), F.col("piece").alias("p")).agg(F.sum("amount").alias("size"))
+              .select("k", "p", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("pieces_before")))
+    inside = Window.partitionBy("key", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("before", F.coalesce(F.sum("amount").over(inside), F.lit(0)))
+    return (summed.join(pieces, F.col("key").eqNullSafe(F.col("k")) & (F.col("piece") == F.col("p")))
+            .select("row.*", (F.col("before") + F.col("pieces_before")).alias(name)))
+
+
 def median(low: Column | str = "low", high: Column | str = "high") -> Column:
     """The mean of the two middle values."""
     low, high = (F.col(c) if isinstance(c, str) else c for c in (low, high))

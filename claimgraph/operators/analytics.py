@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import top_per_key
-from claimgraph.functions.selection import middle
+from claimgraph.functions.selection import cumulative, middle
 from claimgraph.functions.text import confidence_bucket, conflict_domain, map_category
 
 # Confidences are added in hundred-millionths.
@@ -190,14 +190,12 @@ def failures_by_document(eligibility: DataFrame, n: int = 10) -> DataFrame:
 def gini(values: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFrame:
     """Gini coefficient of non-negative values per key; 0 where empty or all zero.
 
-    Equal values are counted first: the window runs over distinct values, and a
-    run of equal values adds its rank sum in closed form.
+    Equal values are counted first, distinct ones are ranked in pieces, and a run of
+    equal values adds its rank sum in closed form.
     """
     counted = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v, c = F.col(value).cast("double"), F.col("c")
-    s = F.coalesce(F.sum("c").over(before), F.lit(0))
-    ranked = counted.withColumn("weighted", v * (c * s + c * (c + 1) / 2))
+    v, c, s = F.col(value).cast("double"), F.col("c"), F.col("smaller")
+    ranked = cumulative(counted, keys, value, F.col("c"), "smaller").withColumn("weighted", v * (c * s + c * (c + 1) / 2))
     n, total = F.sum("c"), F.sum(v * c)
     score = F.when(total > 0, F.round(2 * F.sum("weighted") / (n * total) - (n + 1) / n, digits)).otherwise(F.lit(0.0))
     return ranked.groupBy(*keys).agg(score.alias("gini"))

@@ -35,14 +35,34 @@ def day(ts: Column) -> Column:
     return F.date_trunc("day", ts)
 
 
+def ledger_piece(priced: DataFrame, pieces: int = 128) -> Column:
+    """A piece of the ledger in the order (ts, record_id) with a bounded share of its rows.
+
+    Cuts of the times come from a mergeable sketch.  Times between two cuts make a piece and times equal to a
+    cut another; a time that many calls share is a cut, and its piece is cut again by record id.
+    """
+    share = [k / pieces for k in range(1, pieces)]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(at, share, 20 * pieces)))
+    cut = priced.where("ts is not null").agg(F.coalesce(cuts, F.array().cast("array<bigint>")).alias("cuts"),
+                                             F.coalesce(F.percentile_approx("record_id", share, 20 * pieces),
+                                                        F.array().cast("array<bigint>")).alias("ids")).first()
+    # Two lists of at most ``pieces`` numbers, whatever the size of the ledger.
+    # One text is one constant of the plan, where a list would be one for each number.
+    times, ids = (F.split(F.lit(",".join(map(str, sorted(set(values)))) or None), ",").cast("array<bigint>") for values in (cut.cuts, cut.ids))
+    place = F.coalesce(2 * F.size(F.filter(times, lambda v: v < at)) + F.when(F.array_contains(times, at), 1).otherwise(0), F.lit(-1))
+    within = F.when(place % 2 == 0, 0).otherwise(F.size(F.filter(ids, lambda v: v < F.coalesce("record_id", F.lit(0)))))
+    return F.struct(place.alias("place"), within.alias("within"))
+
+
 def running_total(priced: DataFrame, digits: int = 10) -> DataFrame:
-    """The running total over the whole ledger, in two levels: within an hour, then over hours.
+    """The running total over the whole ledger, in two levels: within a piece, then over pieces of even size.
 
     Costs are added as decimals, so the total does not depend on how tasks split the rows.
     """
     exact = F.round(F.col("cost"), digits).cast(f"decimal(30,{digits})")
     out = running(priced.withColumn("ledger", F.lit("all")), ["ledger"], [F.col("ts"), F.col("record_id")],
-                  F.date_trunc("hour", "ts"), {"running_total": exact})
+                  ledger_piece(priced), {"running_total": exact})
     return out.drop("ledger").withColumn("running_total", F.col("running_total").cast("double"))
 
 

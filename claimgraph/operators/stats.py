@@ -9,11 +9,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import running
-from claimgraph.functions.selection import with_medians
+from claimgraph.functions.selection import cumulative, with_medians
 from claimgraph.functions.text import effect_label
 
 MIN_PAIRS = 3
@@ -27,17 +27,16 @@ def cohens_d(diff: Column) -> Column:
 def signed_ranks(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: counts and rank sums of the non-zero differences.
 
-    Differences are counted per absolute value first, so the window runs over
-    distinct values and tied ones share their average rank.
+    Differences are counted per absolute value first, so tied ones share their average rank,
+    and distinct values are ranked in pieces, not in one task per key.
     """
     diff = F.col("treatment") - F.col("baseline")
     counted = (pairs.withColumn("d", diff).groupBy(*keys, F.abs("d").alias("size"))
                .agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down")))
-    before = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     nonzero = F.when(F.col("size") > 0, F.col("c")).otherwise(0)
-    rank = F.coalesce(F.sum(nonzero).over(before), F.lit(0)) + (F.col("c") + 1) / 2
+    ranked = cumulative(counted, keys, "size", nonzero, "smaller").withColumn("rank", F.col("smaller") + (F.col("c") + 1) / 2)
     c = F.when(F.col("size") > 0, F.col("c"))
-    return (counted.withColumn("rank", rank).groupBy(*keys).agg(
+    return (ranked.groupBy(*keys).agg(
         F.coalesce(F.sum(c), F.lit(0)).alias("n_nonzero"),
         F.coalesce(F.sum(F.when(F.col("size") == 0, F.col("c"))), F.lit(0)).alias("n_zero"),
         F.coalesce(F.sum(F.when(F.col("size") > 0, F.col("up") * F.col("rank"))), F.lit(0.0)).alias("w_plus"),

@@ -5,9 +5,10 @@ import statistics
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from claimgraph.functions import selection
-from claimgraph.functions.selection import median, middle, with_medians
+from claimgraph.functions.selection import cumulative, median, middle, with_medians
 
 
 def expected(values):
@@ -52,3 +53,11 @@ def test_medians_beside_a_summary(spark):
     frame = spark.createDataFrame([("a", 1.0, 5.0), ("a", 2.0, None), (None, 4.0, 7.0), ("a", 9.0, 6.0)], "k string, x double, y double")
     rows = with_medians(frame.groupBy("k").count(), frame, ["k"], {"mx": "x", "my": "y"}).collect()
     assert sorted(((r.k, r["count"], r.mx, r.my) for r in rows), key=repr) == [("a", 3, 2.0, 5.5), (None, 1, 4.0, 7.0)]
+
+
+def test_sums_before_each_value(spark):
+    rows = [(k, float(v * v % 1009), v % 5) for k in ("a", None) for v in range(500)]
+    distinct = {(k, v): c for k, v, c in rows}
+    frame = spark.createDataFrame([(k, v, c) for (k, v), c in distinct.items()], "k string, v double, c int").repartition(6)
+    got = {(r.k, r.v): r.before for r in cumulative(frame, ["k"], "v", F.col("c"), "before").collect()}
+    assert got == {(k, v): sum(c for (k2, w), c in distinct.items() if k2 == k and w < v) for k, v in distinct}

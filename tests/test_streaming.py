@@ -138,3 +138,18 @@ def test_ledger_in_batch(spark):
     assert L.ceiling_crossing(totals, 0.375025).first().record_id == 2
     assert L.ceiling_crossing(totals, 99.0).count() == 0
     assert [r.model for r in L.unpriced_models(priced).collect()] == ["new-model"]
+
+
+def test_one_moment_with_most_of_the_ledger_is_cut(spark):
+    hot = dt.datetime(2024, 1, 1, 5, 0)
+    rows = [(i, dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=i), "gemini-1.5-pro", "a", 1_000_000, 0) for i in range(1000)]
+    rows += [(5000 + i, hot, "gemini-1.5-pro", "a", 2_000_000, 0) for i in range(4000)]
+    priced = L.with_cost(spark.createDataFrame(rows, COSTS), L.prices(spark))
+    sizes = [r["count"] for r in priced.groupBy(L.ledger_piece(priced, 32).alias("piece")).count().collect()]
+    assert max(sizes) < 5000 / 16
+    got = [r.running_total for r in L.running_total(priced).orderBy("ts", "record_id").collect()]
+    total, want = 0.0, []
+    for _, _, _, _, n, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += n / 1_000_000 * 1.25
+        want.append(total)
+    assert got == want

@@ -6,7 +6,7 @@ two merges the bytes of every other pre-token: linked symbols and a heap of
 mergeable pairs, lowest rank and leftmost first, O(n log n) in its bytes.
 
 Texts repeat their words, so each worker remembers what a word encoded to; the
-memory is emptied when it is full and never changes a result.
+memory is bounded by bytes, older words leave it and it never changes a result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ WHITE = "\t-\r \x85\xa0  -     　"
 WHITES = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 MEMORY_WORDS = 400_000
 MEMORY_WORD_CHARS = 80
+#: Bound of one memory by its estimated bytes: ENTRY_BYTES for the objects and table places, four a character, and the ids.
+MEMORY_BYTES = 96 << 20
+ENTRY_BYTES = 200
+#: Ids of about this many bytes go back to Spark at a time.
+FLUSH_BYTES = 4 << 20
 
 
 class PerfectHash:
@@ -91,15 +96,17 @@ class Generations(dict):
 
     def __init__(self, make: Callable[[str], bytes | None]):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes | None:
         out = self.older[key] if key in self.older else self.make(key)
         if len(key) <= MEMORY_WORD_CHARS:
-            if len(self) >= MEMORY_WORDS // 2:
+            if len(self) >= MEMORY_WORDS // 2 or self.held >= MEMORY_BYTES // 2:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = out
+            self.held += ENTRY_BYTES + 4 * len(key) + len(out or b"")
         return out
 
 
@@ -109,15 +116,17 @@ def touches_white(piece: str) -> bool:
 
 
 class PretokenEncoder:
-    """Encodes a piece that starts and ends between pre-tokens, each distinct pre-token once while it is remembered."""
+    """Encodes a piece that starts and ends between pre-tokens; the pre-tokens of a composed piece are remembered."""
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
-        self.memory = Generations(encode)
+        self.encode, self.memory = encode, Generations(encode)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
                                    .replace(r"\s", f"[{WHITE}]")).findall
 
     def __call__(self, piece: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, self.split(piece)))
+        found = self.split(piece)
+        # A piece of one pre-token is remembered by the caller, once.
+        return self.encode(found[0]) if len(found) == 1 else b"".join(map(self.memory.__getitem__, found))
 
 
 class SplitEncoder:
@@ -169,7 +178,10 @@ class ByteBpe:
         """Tables that each worker builds once for itself."""
         if not hasattr(self, "splitter"):
             self.ranks = dict(zip(self.hash.keys, self.hash.values, strict=True))
-            self.tokens = {v: k for k, v in self.ranks.items()}
+            # An id that no token has stays None, which fails to join.
+            self.tokens: list[bytes | None] = [None] * (1 + max(self.hash.values, default=-1))
+            for token, rank in self.ranks.items():
+                self.tokens[rank] = token
             self.no_rank = -1
             self.pair_ranks = [self.ranks.get(bytes(divmod(pair, 256)), -1) for pair in range(65536)]
             self.splitter = SplitEncoder(PretokenEncoder(self.pattern, self.pretoken))
@@ -260,8 +272,37 @@ def decode(encoded: DataFrame, bpe: ByteBpe, ids_col: str = "ids") -> DataFrame:
     return map_batches(encoded, run, f"{fields}, decoded binary")
 
 
+def round_trip(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``decode`` of ``encode`` in one pass, so a task has one worker with one vocabulary.
+
+    Rows, nulls and empty tables are treated as ``encode`` and ``decode`` treat them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+
+    def run(batch):
+        vocabulary, done, held, ids, decoded = shared.value, 0, 0, [], []
+
+        def rows():
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ids)), pa.array(ids, pa.binary()),
+                                               pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+
+        for text in batch.column(1):
+            ids.append(vocabulary.encode(text.as_py()))
+            decoded.append(vocabulary.decode(ids[-1]))
+            held += len(ids[-1])
+            if held >= FLUSH_BYTES:
+                yield rows()
+                done, held, ids, decoded = done + len(ids), 0, [], []
+        if ids:
+            yield rows()
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_batches(rows, run, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    return decode(encode(docs, bpe), bpe).select(
+    return round_trip(docs, bpe).select(
         "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

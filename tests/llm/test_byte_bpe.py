@@ -53,6 +53,30 @@ def test_full_memories_change_nothing(bpe, truth, monkeypatch):
         assert np.frombuffer(fresh.encode(text), "<u4").tolist() == truth.encode_ordinary(text)
 
 
+def test_memory_is_bounded_by_bytes(bpe, truth, monkeypatch):
+    monkeypatch.setattr(B, "MEMORY_BYTES", 4000)
+    fresh = B.ByteBpe(bpe.prepare().ranks, bpe.pattern)
+    text = " ".join(f"wörd{k}, {k % 7}" for k in range(500))
+    assert np.frombuffer(fresh.encode(text), "<u4").tolist() == truth.encode_ordinary(text)
+    memory = fresh.splitter.memory
+    assert memory.held <= 4000 // 2 + 400 and len(memory) + len(memory.older) < 20
+
+
+def test_ids_without_a_token_are_refused(bpe):
+    with pytest.raises((TypeError, IndexError)):
+        B.ByteBpe({b"a": 3}, bpe.pattern).decode(np.array([1], "<u4").tobytes())
+    with pytest.raises((TypeError, IndexError)):
+        bpe.decode(np.array([1 << 31], "<u4").tobytes())
+
+
+def test_one_pass_gives_what_two_give(odd_docs, no_docs, bpe, monkeypatch):
+    monkeypatch.setattr(B, "FLUSH_BYTES", 50)
+    for docs in (odd_docs, no_docs):
+        one = B.round_trip(docs, bpe)
+        two = B.decode(B.encode(docs, bpe), bpe)
+        assert one.columns == two.columns == ["doc_id", "ids", "decoded"] and rows_of(one) == rows_of(two)
+
+
 def test_rows(odd_docs, no_docs, bpe, truth):
     want = []
     for doc_id, text in [*TEXTS.items(), (9, "one"), (None, "no id here at all")]:

@@ -38,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of what is left."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bpe = byte_bpe.ByteBpe.from_file(path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(byte_bpe.encode(docs, bpe), bpe).selectExpr(
+    return byte_bpe.round_trip(docs, bpe).selectExpr(
         "doc_id", "ids", "cast(length(ids) div 4 as bigint) as n_tokens", "sha2(decoded, 256) as decoded_sha256")
 
 

@@ -45,6 +45,21 @@ def add_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named ``c0``, ``c1``, ... by position, so that no helper column meets one of the user's."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names, from ``rows`` that hold them as ``numbered`` names them."""
+    return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def place(docs: DataFrame, column: str) -> str:
+    """The name of ``column`` of ``docs`` in ``numbered``."""
+    return f"c{docs.columns.index(column)}"
+
+
 def open_folder(uri: str):
     """File system and path of a folder in the shared store, for reading and writing inside tasks."""
     from pyarrow import fs

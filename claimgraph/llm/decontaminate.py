@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import ascii_lower, words_of
+from claimgraph.llm.common import ascii_lower, numbered, place, restored, words_of
 from claimgraph.session import cut_lineage
 
 WINDOW = 10
@@ -110,12 +110,15 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text shares no window with the items; a null text stays."""
-    at = docs.columns
+    """The rows of ``docs`` whose text shares no window with the items.
+
+    A null or empty text stays, as does every row when there are no items; repeated rows
+    go or stay together; other columns pass through unchanged, whatever their names.
+    """
     key = F.sha2(F.col("text").cast("string"), 256)
     bad = contamination(docs.select(key.alias("doc_id"), "text"), items).where("n_hit > 0")
-    return (docs.withColumn("_key", key)
-            .join(bad.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*at))
+    rows = numbered(docs).withColumn("key", F.sha2(F.col(place(docs, "text")).cast("string"), 256))
+    return restored(rows.join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti"), docs)
 
 
 REPORT_SQL = """

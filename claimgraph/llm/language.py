@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ranking import top_per_key
-from claimgraph.llm.common import add_columns, map_batches
+from claimgraph.llm.common import add_columns, map_batches, numbered, place, restored
 
 DIMS, ORDERS = 1 << 14, (1, 2, 3)
 PER_LANGUAGE, MAX_LANGUAGES = 400, 64
@@ -216,8 +216,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is predicted with at least probability ``least``."""
+    """The rows of ``docs`` whose language is predicted with at least probability ``least``.
+
+    A null text, or one without a letter, goes; a null id or language stays if its text is
+    recognised; repeated rows are judged each; other columns pass through unchanged,
+    whatever their names; an empty table gives an empty one.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string"), "lang")
     model = train(rows.where(~is_held_out() & F.col("lang").isNotNull()))
-    found = predict(docs, model, lang_name="_lang_pred", score_name="_score")
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    found = predict(numbered(docs), model, place(docs, "text"))
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)

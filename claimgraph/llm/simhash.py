@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import map_batches
+from claimgraph.llm.common import add_columns, map_batches, numbered, place, restored
 from claimgraph.session import cut_lineage
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -195,13 +195,13 @@ def stars(links: DataFrame) -> DataFrame:
 
 
 def components(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): distinct fingerprints of ``marked`` (doc_id, fp) with the smallest doc_id reachable from them."""
+    """(fp, root, component_id): distinct fingerprints of ``marked`` (doc_id, fp), the smallest fingerprint and doc_id reachable from them."""
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     roots = stars(linked(distinct, distinct.count(), radius))
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -219,23 +219,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest doc_id stays.
 
-    Rows that tie (repeated ids, null ids last) are ordered by their text and one stays;
-    near-copies that all lack an id are told apart by their fingerprint only.
+    Rows that tie (repeated ids, null ids last) are ordered by their text and one stays,
+    also where all rows of a component lack an id.  A null or empty text is a copy of any
+    other such text; other columns pass through unchanged, whatever their names; an empty
+    table gives an empty one.
     """
-    at = docs.columns
+    plain, doc_id, text = numbered(docs), place(docs, "doc_id"), place(docs, "text")
+    at = plain.columns.index(text)
 
     def run(batch):
-        named = dict(zip(batch.schema.names, batch.columns, strict=True))
-        fps = pa.array([fingerprint(t.as_py(), shingle, seed) for t in named["text"]], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
+        yield add_columns(batch, fp=pa.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(at)], pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = map_batches(docs, run, f"{fields}, _fp bigint")
-    marked = cut_lineage(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_fp").alias("fp")))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    rows = map_batches(plain, run, f"{fields}, fp bigint")
+    marked = cut_lineage(rows.select(F.col(doc_id).cast("bigint").alias("doc_id"), "fp"))
+    order = [F.col(doc_id).asc_nulls_last(), F.col(text).asc_nulls_last()]
     # The rank is cut to one row per fingerprint in every task before its rows move.
-    first = Window.partitionBy("_fp").orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    own = rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-    groups = components(marked, radius).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_component"))
-    least = Window.partitionBy("_component", F.when(F.col("_component").isNull(), F.col("_fp"))).orderBy(
-        F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    return (own.join(groups, "_fp").withColumn("_rank", F.row_number().over(least)).where("_rank = 1").select(*at))
+    own = rows.withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy(*order))).where("rank = 1").drop("rank")
+    groups = components(marked, radius).select("fp", "root")
+    least = Window.partitionBy("root").orderBy(*order)
+    return restored(own.join(groups, "fp").withColumn("rank", F.row_number().over(least)).where("rank = 1"), docs)

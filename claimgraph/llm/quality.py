@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import SPACES, let, words_of
+from claimgraph.llm.common import SPACES, let, numbered, place, restored, words_of
 from claimgraph.session import cut_lineage
 
 WINDOW = 8
@@ -180,8 +180,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass all rules."""
+    """The rows of ``docs`` that pass all rules, other columns unchanged, whatever their names; see ``judged`` for nulls.
+
+    The rows are written once with their small figures, which serve the references and the verdicts.
+    """
+    plain = numbered(docs)
+    own = plain.select(*plain.columns, F.col(place(docs, "text")).alias("text"), F.col(place(docs, "lang")).alias("lang"))
+    figures = cut_lineage(_figures(own).select(*plain.columns, "_n", "_chars", "_failed", "_l", "_ch", "_wh"))
     # A filter is moved below the projections it reads from with all their expressions written
     # out, lambdas too, unless a projection is not deterministic; the row number keeps it above.
-    rows = judged(_figures(docs)).withColumn("_number", F.monotonically_increasing_id())
-    return rows.where(F.col("_kept") & (F.col("_number") >= 0)).select(*docs.columns)
+    rows = judged(figures).withColumn("_number", F.monotonically_increasing_id())
+    return restored(rows.where(F.col("_kept") & (F.col("_number") >= 0)), docs)

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,23 @@ def test_regulation_mentions_are_whole_words(spark):
     df = spark.createDataFrame([("under BASEL III and the dodd-frank act; SECtion, mifid ii.",)], "t string")
     got = df.select(annotate.regulation_mentions(F.col("t")).alias("m")).first().m
     assert got == ["Basel III", "Dodd-Frank", "MiFID", "MiFID II"]
+
+
+def test_mentions_of_overlapping_names(spark, monkeypatch):
+    names = ["MiFID", "MiFID II", "mifid iix", "II", "C++", "a.b", "a", "§ 5", "--", "Éa b", "Éa", "b c", "B", "under_score"]
+    texts = ["MIFID IIX and mifid ii", "mifid iixy", "c++ c+++ xc++", "a.b axb a.bc", "see § 5, § 51", "éa b c", "under_score_ under_score", "", None]
+
+    def brute(text):
+        low = text.lower()
+        return {n for n in names if re.search(r"\w", n) and re.search(r"(?<!\w)" + re.escape(n.lower()) + r"(?!\w)", low)}
+
+    want = sorted((k, n) for k, t in enumerate(texts) if t is not None for n in brute(t))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "id int, t string")
+    table = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "name string")
+    listed = rows.select("id", annotate.name_mentions(F.col("t"), names).alias("m")).collect()
+    assert sorted({(r.id, n) for r in listed for n in r.m or []}) == want
+    assert all(r.m == [n for n in names if n in r.m] for r in listed if r.m is not None)
+    for most in (annotate.PATTERN_NAMES, 3):
+        monkeypatch.setattr(annotate, "PATTERN_NAMES", most)
+        assert sorted(map(tuple, annotate.table_mentions(rows, table, "id", "t").collect())) == want
+        assert annotate.table_mentions(rows, table.limit(0), "id", "t").count() == 0

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_points
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -44,3 +46,14 @@ def test_no_cross_products_or_row_by_row_python(spark):
                  "t06_chunk_articles"):
         text = plan(QUERIES[name](spark, SF_DIR))
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text, name
+
+
+def test_gazetteer_names_need_no_shuffle_of_texts(spark):
+    from claimgraph.functions import annotate
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    # A regulation's name holds the word Exchange, so the operator is looked for with its partitioning.
+    shuffled = re.compile(r"Exchange (hash|range|Round|Single).*")
+    assert not shuffled.search(plan(docs.select("doc_id", F.explode(annotate.regulation_mentions(F.col("text"))))))
+    table = spark.createDataFrame([("Basel III",), ("Basel",), ("der",)], "name string")
+    found = plan(annotate.table_mentions(docs, table, "doc_id", "text"))
+    assert "Join" not in found and all("text" not in m.group() for m in shuffled.finditer(found))

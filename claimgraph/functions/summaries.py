@@ -47,3 +47,30 @@ def join_lines(rows: DataFrame, keys: list[str], position: str, line: Column, na
     return (rows.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), line.alias("t")))).alias("ls"))
             .select(*keys, F.array_join(F.transform("ls", lambda l: l["t"]), separator).alias(name)))
+
+
+# The layers of a regulation's context in order, with their headings.
+CONTEXT_LAYERS = [("warrant", "Warrant layer (authoritative source):"), ("ground", "Ground layer (peripheral documents):"),
+                  ("backing", "Backing layer (institutional authority):")]
+
+
+def regulation_line() -> Column:
+    return F.concat(F.lit("    ["), F.upper("discourse_role"), F.lit("] [regulation_anchor] "), F.col("claim_text"), F.lit(" (source: "),
+                    F.col("source_document"), F.lit(", conf: "), two_digits(F.col("confidence")), F.lit(")"))
+
+
+def regulation_block(context: DataFrame) -> DataFrame:
+    """(query_id, regulation, context_block): the layers of ``evidence.regulation_context`` as one text per query.
+
+    Layers stand in the order warrant, ground, backing and an empty one is left out.  A layer holds a
+    bounded number of rows (five there), so a text is made of at most three times as many.
+    """
+    names = F.array(*[F.lit(name) for name, _ in CONTEXT_LAYERS])
+    heading = F.get(F.array(*[F.lit(text) for _, text in CONTEXT_LAYERS]), F.array_position(names, F.col("layer")).cast("int") - 1)
+    layers = join_lines(context, ["query_id", "regulation", "layer"], "position", regulation_line(), "lines")
+    text = F.concat(F.lit("  "), heading, F.lit("\n"), F.col("lines"))
+    body = join_lines(layers.withColumn("place", F.array_position(names, F.col("layer"))), ["query_id", "regulation"], "place", text, "body")
+    documents = context.groupBy("query_id", "regulation").agg(F.array_join(F.array_sort(F.collect_set("source_document")), ", ").alias("documents"))
+    return body.join(documents, ["query_id", "regulation"]).select("query_id", "regulation", F.concat(
+        F.lit("Cross-document regulation-anchored context [regulation_anchor]:\nCross-document context anchored on ["), F.col("regulation"),
+        F.lit("] (contributing docs: "), F.col("documents"), F.lit("):\n"), F.col("body")).alias("context_block"))

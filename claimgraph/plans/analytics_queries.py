@@ -174,6 +174,35 @@ def contradiction_profile(c):
     return A.contradiction_profile(A.contradiction_rows(graph_edges(c), c.assertions))
 
 
+# Domains come from document titles here, and confidences as the extractor left them, some of them unknown.
+share("v_conflict_titles", """select d.title as src_doc, a.source_document is distinct from b.source_document as cross_document,
+        coalesce(a.validity_claim_type, 'None') || '_vs_' || coalesce(b.validity_claim_type, 'None') as pairing, r.confidence
+    from v_relations r join v_assertions a on a.assertion_id = r.source_assertion_id join v_assertions b on b.assertion_id = r.target_assertion_id
+    join v_docs d on d.document_id = a.document_id where relation_type = 'CONTRADICTS'""")
+share("v_conflict_domains", """select case
+        when regexp_matches(t, 'basel|aifmd|dodd|mifid|gdpr|sox|sarbanes|volcker|ifrs|directive|regulation|act') then 'regulatory'
+        when regexp_matches(t, 'risk|var|stress|concentration|operational|liquidity|credit|market') then 'risk'
+        when regexp_matches(t, 'capm|apt|black|scholes|arbitrage|portfolio|sharpe|markowitz') then 'financial_theory'
+        when regexp_matches(t, 'fund|swap|derivative|option|futures|bond|equity|etf|hedge') then 'products' else 'other' end as domain
+    from (select lower(src_doc) as t from v_conflict_titles)""")
+
+
+@query("m25_profile_by_title", """select 'total' as section, 'all' as key, count(*) as n from v_conflict_titles having count(*) > 0 union all
+    select 'scope', case when cross_document then 'cross_document' else 'within_document' end, count(*) from v_conflict_titles group by 2 union all
+    select 'pairing', pairing, count(*) from v_conflict_titles group by 2 union all
+    select 'expressive', 'involved', count(*) from v_conflict_titles where contains(pairing, 'expressive') having count(*) > 0 union all
+    select 'confidence', case when confidence is null then 'unknown' when confidence >= 0.9 then '0.90_1.00' when confidence >= 0.8 then '0.80_0.89'
+        when confidence >= 0.7 then '0.70_0.79' else 'below_0.70' end, count(*) from v_conflict_titles group by 2 union all
+    select 'domain', domain, count(*) from v_conflict_domains group by 2""")
+def profile_by_title(c):
+    titles = c.docs.select("document_id", "title")
+    ends = c.relations.select(F.col("source_assertion_id").alias("src"), F.col("target_assertion_id").alias("dst"), F.col("relation_type").alias("type"),
+                              "confidence", "evidence_text")
+    rows = A.contradiction_rows(ends, c.assertions)
+    named = c.assertions.select(F.col("assertion_id").alias("src"), "document_id").join(titles, "document_id").select("src", "title")
+    return A.contradiction_profile(rows.join(named, "src").drop("src_doc").withColumnRenamed("title", "src_doc"))
+
+
 @query("m25_top_contradictions", "select * from v_contradictions order by confidence desc, src, dst limit 10")
 def top_contradictions(c):
     return A.top_contradictions(A.contradiction_rows(graph_edges(c), c.assertions))

@@ -9,6 +9,7 @@ from claimgraph.operators import paths as P
 from claimgraph.operators import retrieval as R
 from claimgraph.operators import two_pass as W
 from claimgraph.plans.registry import query, share
+from claimgraph.plans.retrieval_queries import context as regulation_context_rows
 from claimgraph.plans.stored import citations, found, graph_edges, stored, vectors
 
 _TOULMIN = "('ENTAILS', 'CAUSES', 'TRIGGERS', 'SPECIALIZES')"
@@ -121,6 +122,22 @@ def trace_texts(c):
     return summaries.join_lines(rows, ["query_id"], "p", summaries.trace_line(), "trace_text")
 
 
+@query("t23_regulation_block", """with c as (
+        select query_id, regulation, layer, position, source_document, '    [' || upper(discourse_role) || '] [regulation_anchor] ' || claim_text
+            || ' (source: ' || source_document || ', conf: ' || printf('%.2f', confidence) || ')' as line
+        from v_context join v_fields using (assertion_id)),
+    l as (select query_id, regulation, case layer when 'warrant' then 1 when 'ground' then 2 else 3 end as place,
+              case layer when 'warrant' then '  Warrant layer (authoritative source):' when 'ground' then '  Ground layer (peripheral documents):'
+                   else '  Backing layer (institutional authority):' end || chr(10) || string_agg(line, chr(10) order by position) as text
+          from c group by query_id, regulation, layer),
+    d as (select query_id, regulation, string_agg(distinct source_document, ', ' order by source_document) as documents from c group by 1, 2)
+    select query_id, regulation, 'Cross-document regulation-anchored context [regulation_anchor]:' || chr(10) || 'Cross-document context anchored on ['
+        || regulation || '] (contributing docs: ' || any_value(documents) || '):' || chr(10) || string_agg(text, chr(10) order by place) as context_block
+    from l join d using (query_id, regulation) group by 1, 2""")
+def regulation_block(c):
+    return summaries.regulation_block(regulation_context_rows(c))
+
+
 # ---- proofs --------------------------------------------------------------------------------------
 
 share("v_claim_seeds", """select query_id, assertion_id, f.* exclude (assertion_id), row_number() over (partition by query_id order by f.confidence desc, assertion_id) as rank

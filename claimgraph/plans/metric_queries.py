@@ -1,5 +1,7 @@
 """Evaluation metrics, paired statistics, curves and the ledger."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimgraph.functions import selection
@@ -8,11 +10,13 @@ from claimgraph.operators import evidence as E
 from claimgraph.operators import ledger as L
 from claimgraph.operators import metrics as M
 from claimgraph.operators import paths as P
+from claimgraph.operators import report as D
 from claimgraph.operators import retrieval as R
 from claimgraph.operators import stats as T
 from claimgraph.plans.inference_queries import two_pass_rows
-from claimgraph.plans.registry import query, share
+from claimgraph.plans.registry import CHECKS, SHARED, query, share
 from claimgraph.plans.stored import citations, found, graph_edges, stored, vectors
+from claimgraph.sources import files
 
 _one = lambda name, view: f"select query_id, '{name}' as condition, rank, rank as vtp_rank, assertion_id, validity_claim_type from {view}"
 share("v_results", " union all ".join([
@@ -243,10 +247,56 @@ share("v_repetition", "select query_id, round(avg(score), 9) as r from v_top_chu
 @query("m13_tests_by_repetitiveness", _tests_sql("""(select p.*, case when r >= (select median(r) from v_repetition) then 'high' else 'low' end as stratum
     from v_paired p join v_repetition using (query_id))""", "stratum, pair, metric"))
 def tests_by_repetitiveness(c):
+    return _tests(paired(c).join(strata(c), "query_id"), ["stratum", "pair", "metric"])
+
+
+def strata(c):
     index = R.repetitiveness(c.queries, vectors(c))
     middle = selection.middle(index, [], "repetitiveness_index").select(selection.median()).scalar()
-    strata = index.select("query_id", F.when(F.col("repetitiveness_index") >= middle, "high").otherwise("low").alias("stratum"))
-    return _tests(paired(c).join(strata, "query_id"), ["stratum", "pair", "metric"])
+    return index.select("query_id", F.when(F.col("repetitiveness_index") >= middle, "high").otherwise("low").alias("stratum"))
+
+
+# The whole bundle by pair, and again with a subgroup written before the pair.
+share("v_ci", CHECKS["m11_bootstrap_ci"])
+share("v_biserial", CHECKS["m09_rank_biserial"])
+share("v_bundle", f"""select pair, metric, n_pairs, mean_baseline, mean_treatment, median_baseline, median_treatment, cohens_d, effect_size_label, error,
+        case when n_pairs >= 3 then rank_biserial end as rank_biserial, case when n_pairs >= 3 then round(p, 8) end as wilcoxon_p,
+        case when n_pairs >= 3 then ci_low end as ci_low, case when n_pairs >= 3 then ci_high end as ci_high
+    from ({_tests_sql('v_paired', 'pair, metric')}) join (select pair, metric, p from v_wilcoxon) using (pair, metric)
+    join v_ci using (pair, metric) join v_biserial using (pair, metric)""")
+_bundle_views = ["v_signed", "v_rank_sums", "v_wilcoxon", "v_ci", "v_biserial", "v_bundle"]
+for _tag, _subgroup, _source in [
+        ("type", "epistemic_type", "v_paired"),
+        ("strata", "stratum", """(select p.*, case when r >= (select median(r) from v_repetition) then 'high' else 'low' end as stratum
+            from v_paired p join v_repetition using (query_id))""")]:
+    share(f"v_paired_{_tag}", f"select query_id, metric, {_subgroup} || '|' || pair as pair, baseline, treatment from {_source}")
+    for _view in _bundle_views:
+        share(f"{_view}_{_tag}", re.sub(rf"\b({'|'.join(['v_paired', *_bundle_views])})\b", rf"\1_{_tag}", SHARED[_view]))
+
+
+def _bundle(pairs, keys):
+    rows = T.paired_tests(pairs, keys, with_ci=True)
+    digits = {"mean_baseline": 6, "mean_treatment": 6, "median_baseline": 6, "median_treatment": 6, "cohens_d": 6, "rank_biserial": 6, "wilcoxon_p": 8}
+    return rows.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
+def _split_bundle(view, subgroup):
+    return f"select split_part(pair, '|', 1) as {subgroup}, split_part(pair, '|', 2) as pair, * exclude (pair) from {view}"
+
+
+@query("m12_test_bundles", "select * from v_bundle")
+def test_bundles(c):
+    return stored(c, "test_bundles", lambda: _bundle(paired(c), ["pair", "metric"]))
+
+
+@query("m13_test_bundles_by_type", _split_bundle("v_bundle_type", "epistemic_type"))
+def test_bundles_by_type(c):
+    return stored(c, "test_bundles_by_type", lambda: _bundle(paired(c), ["epistemic_type", "pair", "metric"]))
+
+
+@query("m13_test_bundles_by_repetitiveness", _split_bundle("v_bundle_strata", "stratum"))
+def test_bundles_by_repetitiveness(c):
+    return stored(c, "test_bundles_by_repetitiveness", lambda: _bundle(paired(c).join(strata(c), "query_id"), ["stratum", "pair", "metric"]))
 
 
 def verdict_rows(c):
@@ -342,6 +392,36 @@ def conflict_curve(c):
     return M.conflict_curve(c.queries, vectors(c), c.assertions, graph_edges(c), c.conflicts)
 
 
+# ---- the nested result document ------------------------------------------------------------------
+
+def _tests_rows_sql(section, view, subgroup):
+    group, pair = ("split_part(pair, '|', 1)", "split_part(pair, '|', 2)") if subgroup else ("''", "pair")
+    return f"select '{section}', {group}, {pair}, metric, n_pairs, wilcoxon_p, cohens_d from {view}"
+
+
+share("v_conflict_curve", CHECKS["m17_conflict_curve"])
+
+
+@query("s13_nested_results", f"""select 'run' as section, '' as subgroup, 'n_queries' as key, '' as metric, (select count(*) from v_queries) as n,
+        null::double as first, null::double as second
+    union all select 'run', '', 'n_failed', '', count(*), null, null from v_queries where query_id not in (select query_id from v_results)
+    union all select 'distribution', '', epistemic_type, '', count(*), null, null from v_queries group by 3
+    union all select 'condition', '', condition, metric, n, mean, median from ({_summary})
+    union all {_tests_rows_sql('tests', 'v_bundle', False)}
+    union all {_tests_rows_sql('type', 'v_bundle_type', True)}
+    union all {_tests_rows_sql('repetitiveness', 'v_bundle_strata', True)}
+    union all select 'curve', '', condition, 'vtp_normative', k, vtp, null from v_curve
+    union all select 'curve', '', condition, 'csr_by_k', k, csr, null from v_conflict_curve""")
+def nested_results(c):
+    failed = (c.queries.select("query_id").join(results(c).select("query_id"), "query_id", "left_anti")
+              .withColumn("error", F.lit("no results")))
+    document = D.nested_results(c.queries, failed, M.summarize(metrics(c)), test_bundles(c), test_bundles_by_type(c),
+                                test_bundles_by_repetitiveness(c), curve(c), conflict_curve(c))
+    path = files.scratch_folder(c.spark)
+    files.write_json(document, path)
+    return D.flat_results(c.spark.read.schema(document.schema).json(path))
+
+
 _ks = ", ".join(f"({k})" for k in M.CURVE_KS)
 share("v_padded", f"""with n as (select * from v_found where want in (0, 1) and query_id in (select query_id from v_queries where epistemic_type = 'normative')),
     g as (select k, n.* from n, (values {_ks}) k(k) where want = 1 and rank <= k),

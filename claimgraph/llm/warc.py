@@ -3,7 +3,9 @@
 A record is one gzip member, so a reader can start at any of them.  The reader checks
 every record (member checksum, version line, declared length, closing line ends, block
 digest).  After a failed check it looks for the next valid member or version line, goes
-on there and reports the bytes between as a quarantined gap.
+on there and reports the bytes between as a quarantined gap.  A member that holds more than
+one record is searched in the same way, and what a broken member still gives is too: there
+only records whose block digest agrees count, and the member itself stays a gap.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ ROLL_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
+VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 
 
@@ -60,22 +63,27 @@ def member(raw: bytes) -> bytes:
 
 
 class Damaged(ValueError):
-    """A failed check; ``end`` is where the bytes that it covers end, if they are known."""
+    """A failed check; ``end`` is where the bytes that it covers end, if they are known, ``content`` what a broken member gave."""
 
-    def __init__(self, reason: str, end: int | None = None):
+    def __init__(self, reason: str, end: int | None = None, content: bytes = b""):
         super().__init__(reason)
-        self.end = end
+        self.end, self.content = end, content
 
 
 @dataclass
 class Found:
-    """A record with its place, or (``problem`` set) a quarantined gap."""
+    """A record with its place, or (``problem`` set) a quarantined gap.
+
+    ``inner`` is the place in the content of a member that holds more than one record or is
+    broken.  Finds of one member share its offset and the last one of a sound member carries its length.
+    """
 
     offset: int
     length: int
     headers: dict[str, str]
     block: bytes
     problem: str | None = None
+    inner: int | None = None
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -110,47 +118,76 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     try:
         while not unpacker.eof:
             if place >= len(data):
-                raise Damaged("member does not end")
+                raise Damaged("member does not end", content=b"".join(out))
             piece = data[place:place + STEP]
             out.append(unpacker.decompress(piece))
             place += len(piece)
     except zlib.error as err:
-        raise Damaged(f"bad member: {err}") from None
+        raise Damaged(f"bad member: {err}", content=readable(data, at, place)) from None
     return b"".join(out), place - len(unpacker.unused_data)
 
 
-def read_at(data: bytes, at: int) -> Found:
-    if data[at:at + 2] == b"\x1f\x8b":
-        raw, end = inflate(data, at)
-        try:
-            headers, block, stop = parse(raw)
-        except Damaged as err:
-            raise Damaged(str(err), end) from None
-        if stop != len(raw):
-            raise Damaged("member holds more than its record", end)
-    else:
+def readable(data: bytes, at: int, place: int) -> bytes:
+    """What the broken member at ``at`` gives before its error, which lies in the step at ``place``."""
+    unpacker = zlib.decompressobj(31)
+    out = [unpacker.decompress(data[at:place])]
+    try:
+        for k in range(place, min(place + STEP, len(data))):
+            out.append(unpacker.decompress(data[k:k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def read_at(data: bytes, at: int, nested: bool = False) -> list[Found]:
+    """The record at ``at``, or all finds of a member that holds more."""
+    if nested or data[at:at + 2] != b"\x1f\x8b":
         headers, block, end = parse(data, at)
-    return Found(at, end - at, headers, block)
+        return [Found(at, end - at, headers, block)]
+    raw, end = inflate(data, at)
+    found = list(salvage(raw, nested=True))
+    if all(f.problem for f in found):
+        raise Damaged(found[0].problem if found else "no version line", end)
+    if len(found) == 1:
+        return [Found(at, end - at, found[0].headers, found[0].block)]
+    return [Found(at, end - at if f is found[-1] else 0, f.headers, f.block, f.problem, f.offset) for f in found]
+
+
+def identity(found: Found) -> tuple:
+    return found.headers.get("warc-record-id"), found.headers.get("warc-block-digest"), found.block
 
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """Every valid record of an archive in order, and the gaps between them that no valid record covers."""
-    at, gap, reason = 0, None, ""
+def salvage(data: bytes, nested: bool = False) -> Iterator[Found]:
+    """Every valid record of an archive in order, and the gaps between them that no valid record covers.
+
+    ``nested`` is for the content of a member, where only version lines begin records.
+    """
+    at, gap, reason, rescued = 0, None, "", set()
     while at < len(data):
         try:
-            found = read_at(data, at)
+            found = read_at(data, at, nested)
+            # Bytes of a broken member may hold its records as they are.
+            if rescued and identity(found[0]) in rescued:
+                raise Damaged(reason, at + found[0].length)
         except Damaged as err:
-            if gap is None:
+            sound = [f for f in salvage(err.content, nested=True) if f.headers.get("warc-block-digest", "").startswith("sha1:")]
+            fresh = [f for f in sound if identity(f) not in rescued]
+            if gap is None or fresh:
+                if gap is not None and gap < at:
+                    yield Found(gap, at - gap, {}, b"", reason)
                 gap, reason = at, str(err)
-            following = START.search(data, err.end or at + 1)
+            for f in fresh:
+                rescued.add(identity(f))
+                yield Found(at, 0, f.headers, f.block, None, f.offset)
+            following = (VERSION if nested else START).search(data, err.end or at + 1)
             # The bytes of a damaged member may hide the start of the next one when its own end was lost.
             at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield Found(gap, at - gap, {}, b"", reason)
-            gap = None
-        yield found
-        at += found.length
+            gap, rescued = None, set()
+        yield from found
+        at += sum(f.length for f in found)
     if gap is not None:
         yield Found(gap, len(data) - gap, {}, b"", reason)
 
@@ -204,7 +241,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
 def read(manifest: DataFrame, with_block: bool = True) -> DataFrame:
     """Records and quarantined gaps of the archives in ``manifest`` (file).
 
-    Columns: file, offset, length, problem (null for a record), page_id, record_type,
+    Columns: file, offset, length, inner, problem (null for a record), page_id, record_type,
     refers_to, uri, payload_bytes, payload_digest and, if asked for, block.  Archives are
     read one at a time and about ``STEP * 64`` bytes of records are handed on at once.
     """
@@ -215,7 +252,7 @@ def read(manifest: DataFrame, with_block: bool = True) -> DataFrame:
     def row(file: str, found: Found) -> dict:
         h = found.headers
         size = re.search(rb"\r\ncontent-length:\s*([0-9]+)", found.block.partition(b"\r\n\r\n")[0], re.I)
-        return {"file": file, "offset": found.offset, "length": found.length, "problem": found.problem,
+        return {"file": file, "offset": found.offset, "length": found.length, "inner": found.inner, "problem": found.problem,
                 "page_id": number(h.get("warc-record-id")), "record_type": h.get("warc-type"), "refers_to": number(h.get("warc-refers-to")),
                 "uri": h.get("warc-target-uri"), "payload_bytes": int(size[1]) if size else None,
                 "payload_digest": h["warc-payload-digest"].partition(":")[2] if "warc-payload-digest" in h else None,
@@ -237,7 +274,7 @@ def read(manifest: DataFrame, with_block: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    kinds = {"file": "string", "offset": "bigint", "length": "bigint", "problem": "string", "page_id": "bigint", "record_type": "string",
+    kinds = {"file": "string", "offset": "bigint", "length": "bigint", "inner": "bigint", "problem": "string", "page_id": "bigint", "record_type": "string",
              "refers_to": "bigint", "uri": "string", "payload_bytes": "bigint", "payload_digest": "string",
              **({"block": "binary"} if with_block else {})}
     arrow = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}

@@ -87,18 +87,50 @@ def test_every_damage_is_survived(zipped):
 def test_gaps_are_logged():
     parts = archive()
     found = list(W.salvage(parts[0] + b"garbage" + parts[1] + parts[2][:50] + parts[3] + parts[4][:-9]))
-    assert ids(found) == [W.name(0), None, W.name(1), None, W.name(3), None]
+    # The last member breaks off behind its record, whose block digest still agrees.
+    assert ids(found) == [W.name(0), None, W.name(1), None, W.name(3), W.name(4), None]
     assert found[1].length == 7 and found[1].problem == "no version line"
-    assert found[3].length == 50 and found[5].length == len(parts[4]) - 9
+    assert found[3].length == 50 and found[6].length == len(parts[4]) - 9
     assert list(W.salvage(b"")) == [] and ids(W.salvage(b"junk")) == [None]
 
 
-def test_a_member_must_hold_one_whole_record():
+def test_a_member_must_hold_a_whole_record():
     raw = gzip.decompress(archive()[0])
-    for bad in (raw + b"x", raw[:-4], raw.replace(b"page 0", b"page 9", 1), raw.replace(b"Content-Length: ", b"Content-Size: ", 9)):
+    for bad in (raw[:-4], raw.replace(b"page 0", b"page 9", 1), raw.replace(b"Content-Length: ", b"Content-Size: ", 9)):
         assert ids(W.salvage(W.member(bad) + archive()[1])) == [None, W.name(1)]
 
 
+def test_records_inside_members():
+    raws, after = archive(zipped=False), archive()[5]
+    many = W.member(b"".join(raws[:3]))
+    found = list(W.salvage(many + after))
+    assert ids(found) == [W.name(0), W.name(1), W.name(2), W.name(5)]
+    assert [f.inner for f in found] == [0, len(raws[0]), len(raws[0] + raws[1]), None]
+    assert [(f.offset, f.length) for f in found] == [(0, 0), (0, 0), (0, len(many)), (len(many), len(after))]
+    found = list(W.salvage(W.member(raws[0] + b"x") + after))
+    assert ids(found) == [W.name(0), None, W.name(5)] and (found[1].inner, found[1].problem) == (len(raws[0]), "no version line")
+    found = list(W.salvage(W.member(raws[0] + raws[1][:-9] + raws[2]) + after))
+    assert ids(found) == [W.name(0), None, W.name(2), W.name(5)]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_records_of_broken_members(stored):
+    draw = random.Random(4)
+    blocks = [bytes(draw.randrange(256) for _ in range(900)) for _ in range(3)]
+    raws, after = [W.record(k, None, b, W.base32_sha1(b), None) for k, b in enumerate(blocks)], archive()[5]
+    many = gzip.compress(b"".join(raws), 0) if stored else W.member(b"".join(raws))
+    flipped = many[:-6] + bytes([many[-6] ^ 1]) + many[-5:]
+    hurt = many[:1500] + bytes(b ^ 0x55 for b in many[1500:1510]) + many[1510:]
+    for broken, want in ((many[:-9], {0, 1}), (flipped, {0, 1, 2}), (hurt, {0})):
+        found = list(W.salvage(broken + after))
+        got = [f.headers["warc-record-id"] for f in found if f.problem is None]
+        assert len(got) == len(set(got)) and {W.name(k) for k in want} <= set(got) and got[-1] == W.name(5)
+        assert [f.offset for f in found[1:]] == [f.offset + f.length for f in found[:-1]] and found[0].offset == 0
+        assert any(f.problem for f in found) and found[-1].offset + found[-1].length == len(broken + after)
+        assert all(f.block.endswith(blocks[int(f.headers["warc-record-id"][10:-1])]) for f in found[:-1] if f.problem is None)
+    assert list(W.read_at(many, 0))[-1].length == len(many)
+
+
 def test_quarantine_of_a_damaged_file(spark, tmp_path):
     parts = archive()
     (tmp_path / "bad.warc.gz").write_bytes(parts[0] + parts[1][:30] + b"\0" * 40 + parts[2])

@@ -7,8 +7,9 @@ learned by follow-the-regularised-leader (per-coordinate steps, elastic net), wh
 keeps them sparse, from a bounded sample of training documents; a temperature fitted on
 a part of the sample that was held back calibrates the probabilities.
 
-Bounds of the sample: at most PER_LANGUAGE documents of each of the MAX_LANGUAGES most
-frequent languages, those with the smallest hashes of their ids.
+Bounds of the sample: at most PER_LANGUAGE rows of each language, and SAMPLE_ROWS over all
+languages, which share them evenly but have one row each at least; those with the smallest
+hashes of their ids.  Every language is learned; the learner takes 256 KB of the driver for each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from claimgraph.functions.ranking import top_per_key
 from claimgraph.llm.common import add_columns, map_batches, numbered, place, restored
 
 DIMS, ORDERS = 1 << 14, (1, 2, 3)
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE, SAMPLE_ROWS = 400, 25_600
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 CHARS_AT_ONCE = 1 << 20
@@ -141,19 +142,27 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(labelled: DataFrame) -> DataFrame:
-    """(part, lang, text): the bounded sample; part 0 of 5 is for calibration.  Ids are chosen without reading texts."""
-    ids = labelled.select("doc_id", "lang")
-    top = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    """(part, lang, text): the bounded sample; part 0 of 5 is for calibration.
+
+    Rows are chosen by ids and digests of texts, so only chosen texts are shuffled; equal rows
+    count once, rows that share an id or have none are told apart by their texts.
+    """
+    rows = labelled.withColumn("digest", F.xxhash64("text"))
+    known = rows.select("doc_id", "lang", "digest").distinct()
+    n_languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // max(1, n_languages)))
     key = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = top_per_key(ids.where(F.col("lang").isin(top)), ["lang"], [key, F.col("doc_id")], PER_LANGUAGE)
-    # At most PER_LANGUAGE * MAX_LANGUAGES ids, whatever the data.
-    chosen = chosen.select("doc_id", "lang").distinct()
-    return labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select(
-        F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id").cast("string")), F.lit(5)).alias("part"), "lang", "text")
+    chosen = top_per_key(known, ["lang"], [key, F.col("doc_id"), F.col("digest")], each)
+    # At most the larger of SAMPLE_ROWS and the number of languages, whatever the data.
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("digest").alias("d")))
+    found = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")) & (F.col("digest") == F.col("d")), "left_semi")
+    once = found.groupBy("doc_id", "lang", "digest").agg(F.first("text").alias("text"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.col("digest").cast("string"))
+    return once.select(F.pmod(F.xxhash64(F.lit("part"), named), F.lit(5)).alias("part"), "lang", "text")
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, lang) with non-null languages; without any rows it predicts nothing."""
+    """A model from (doc_id, text, lang) with non-null languages; null ids are rows as any; without any rows it predicts nothing."""
     labelled = labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
     seen, n = document_frequency(labelled)
     idf = np.log((1 + n) / (1 + seen)) + 1
@@ -207,7 +216,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per document.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text
-    when no document is labelled; repeated rows repeat; an empty table gives an empty one.
+    when no document is labelled; repeated rows repeat; an empty table gives an empty one;
+    columns of other names are not read.
     """
     rows = docs.select("doc_id", F.col("text").cast("string"), "lang")
     model = train(rows.where(~is_held_out() & F.col("lang").isNotNull()))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from odd_rows import rows_of
+from pyspark.sql import functions as F
 
 from claimgraph.llm import language as L
 
@@ -69,3 +70,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert rows_of(unlabelled.select("lang_pred", "score")) == [("und", 0.0)]
     kept = L.keep_identified(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == len(got) + 1 - 4
+
+
+def texts_of(letters, n, draw):
+    return [" ".join("".join(draw.choice(letters) for _ in range(4)) for _ in range(8)) for _ in range(n)]
+
+
+def test_every_language_is_learned(spark):
+    draw = random.Random(3)
+    alphabets = {f"l{k:02d}": [chr(0x4E00 + 40 * k + j) for j in range(12)] for k in range(100)}
+    rows = [(lang, text) for lang, letters in alphabets.items() for text in texts_of(letters, 3 if lang > "l05" else 6, draw)]
+    model = L.train(spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(rows)], "doc_id bigint, text string, lang string"))
+    assert model.languages == sorted(alphabets)
+
+
+def test_null_and_repeated_ids_are_rows(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(None, text, "none") for text in texts_of("abcd", 30, draw)] + [(7, text, "same") for text in texts_of("wxyz", 30, draw)]
+    rows += [(k, text, "each") for k, text in enumerate(texts_of("mnop", 30, draw))] + [(None, "abcd dcba", "none")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    counted = {r["lang"]: r["n"] for r in L.sample(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert counted == {"none": 31, "same": 30, "each": 30}
+    assert {r["part"] for r in L.sample(docs).where("lang = 'none'").collect()} == {0, 1, 2, 3, 4}
+    model = L.train(docs)
+    assert model.predict("dacb bcda abdc")[0] == "none" and model.predict("zwyx yxwz")[0] == "same" and model.predict("mopn")[0] == "each"
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 30)
+    assert {r["n"] for r in L.sample(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()} == {10}

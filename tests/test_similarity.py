@@ -97,3 +97,24 @@ def test_assertions_of_a_crowded_chunk(spark):
     for r in R.top_assertions(R.requests_for(queries), claims, vectors, 4).orderBy("want", "rank").collect():
         got.setdefault(r.want, []).append(r.assertion_id)
     assert got == {0: [1, 100, 101, 102], 1: [101, 103, 105, 107], 2: [1, 100, 102, 104]}
+
+
+def test_groups_grow_where_cells_prune_nothing():
+    """Without clusters a vector is copied once per block; where few cells are reached groups stay small."""
+    sizes, everywhere = np.full(2000, 500), np.ones((50, 2000), dtype=bool)
+    grown = V.cell_groups(sizes, everywhere, 2048, 65_536)
+    assert 1_000_000 // 65_536 <= grown.max() + 1 <= 1_000_000 // 65_536 + 1
+    assert np.bincount(grown, weights=sizes).max() <= 65_536 + 500
+    few = np.zeros((50, 2000), dtype=bool)
+    few[:, :20] = True
+    assert V.cell_groups(sizes, few, 2048, 65_536).max() + 1 > 400
+
+
+def test_similarity_join_without_clusters_is_exact(spark):
+    """Groups as large as blocks, and single precision as a first look, lose no pair and change no score."""
+    rng = np.random.default_rng(11)
+    vectors = unit(rng.normal(size=(3000, 24))).astype(np.float32)
+    got = V.similar_vectors(frame(spark, vectors), 0.6, pivots=16, group_rows=64).collect()
+    s = scores_of(vectors, vectors)
+    assert {(r.left_id, r.right_id) for r in got} == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.6))}
+    assert all(r.score == s[r.left_id, r.right_id] for r in got)

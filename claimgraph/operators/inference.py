@@ -9,7 +9,7 @@ from claimgraph.functions.ranking import top_per_key
 from claimgraph.operators import evidence as E
 from claimgraph.operators import paths as P
 from claimgraph.operators import retrieval as R
-from claimgraph.session import cut_lineage
+from claimgraph.session import cut_lineage, few
 
 SEED_CHUNKS = 10
 
@@ -49,10 +49,10 @@ def proof_chains(seeds: DataFrame, edges: DataFrame, assertions: DataFrame, max_
 
     A seed with an active rebuttal supports nothing.
     """
-    targets = seeds.select("query_id", F.col("assertion_id").alias("node"))
+    targets = few(seeds.select("query_id", F.col("assertion_id").alias("node")))
     beaten = (P.rebuttals(targets, edges, assertions, season).select("query_id", F.col("claim_id").alias("assertion_id"))
               .distinct())
-    standing = cut_lineage(seeds.join(beaten, ["query_id", "assertion_id"], "left_anti"))
+    standing = few(seeds.join(beaten, ["query_id", "assertion_id"], "left_anti"))
     longer = P.backward_chains(standing.select("query_id", F.col("assertion_id").alias("node")), edges, assertions, max_depth)
     longer = longer.withColumn("chain_id", chain_id())
     if season is not None and scopes is not None:
@@ -88,7 +88,7 @@ def best_chains(chains: DataFrame) -> DataFrame:
 
 def toulmin_completeness(chains: DataFrame, assertions: DataFrame) -> DataFrame:
     """Whether a claim's best chain has both a warrant and a ground."""
-    ids = best_chains(chains).select("query_id", F.explode("chain").alias("assertion_id")).distinct()
+    ids = few(best_chains(chains).select("query_id", F.explode("chain").alias("assertion_id")).distinct())
     roles = (ids.join(assertions.select("assertion_id", "discourse_role"), "assertion_id")
              .groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("discourse_role") == "warrant"), F.lit(False)).alias("w"),
                                       F.coalesce(F.bool_or(F.col("discourse_role") == "ground"), F.lit(False)).alias("g")))
@@ -107,7 +107,7 @@ def prove(claims: DataFrame, seeds: DataFrame, chains: DataFrame, edges: DataFra
     best = best_chains(chains).select("query_id", F.col("chain_confidence").alias("confidence"))
     totals = chains.groupBy("query_id").agg(F.count("*").alias("n_chains"))
     contested = seeds.groupBy("query_id").agg(F.count_if(F.col("epistemic_status") == "contested").alias("contested_seeds"))
-    defeated = (P.rebuttals(seeds.select("query_id", F.col("assertion_id").alias("node")), edges, assertions, season)
+    defeated = (P.rebuttals(few(seeds.select("query_id", F.col("assertion_id").alias("node"))), edges, assertions, season)
                 .groupBy("query_id").agg(F.countDistinct("claim_id").alias("defeated_seeds"), F.count("*").alias("active_rebuttals")))
     joined = claims.select("query_id")
     for part in (totals, best, consistency(chains, conflicts), toulmin_completeness(chains, assertions), contested, defeated):

@@ -5,6 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from claimgraph import session
+from claimgraph.operators import retrieval as R
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry_points.queries()
@@ -57,3 +59,24 @@ def test_gazetteer_names_need_no_shuffle_of_texts(spark):
     table = spark.createDataFrame([("Basel III",), ("Basel",), ("der",)], "name string")
     found = plan(annotate.table_mentions(docs, table, "doc_id", "text"))
     assert "Join" not in found and all("text" not in m.group() for m in shuffled.finditer(found))
+
+
+def test_few_found_rows_do_not_shuffle_the_assertions(spark, monkeypatch):
+    """Whatever the broadcast limit: a batch's rows go to the assertions; more rows than that are joined by a shuffle, with the same result."""
+    claims = spark.createDataFrame([(i, 0.9, "normative", "warrant", "d", "authoritative", f"text {i}") for i in range(50)],
+                                   "assertion_id bigint, confidence double, validity_claim_type string, discourse_role string, "
+                                   "source_document string, epistemic_status string, claim_text string")
+    found = spark.createDataFrame([(1, 3), (1, 3), (2, 7), (2, 99)], "query_id bigint, assertion_id bigint")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {}
+        for name, most in (("few", 10), ("many", 1)):
+            monkeypatch.setattr(session, "FEW_ROWS", most)
+            rows = R.fetch(found, claims)
+            got[name] = sorted((r.query_id, r.assertion_id, r.claim_text) for r in rows.collect())
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning" in plan) == (name == "many"), plan
+        assert got["few"] == got["many"] == [(1, 3, "text 3"), (1, 3, "text 3"), (2, 7, "text 7")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

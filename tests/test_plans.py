@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from claimgraph import session
+from claimgraph.operators import paths as P
 from claimgraph.operators import retrieval as R
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -80,3 +81,14 @@ def test_few_found_rows_do_not_shuffle_the_assertions(spark, monkeypatch):
         assert got["few"] == got["many"] == [(1, 3, "text 3"), (1, 3, "text 3"), (2, 7, "text 7")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_neighbourhood_tasks_grow_with_the_centres(spark, monkeypatch):
+    """What one task sorts is bounded: more centres are dealt to more tasks, and nothing is sorted before."""
+    centres = spark.createDataFrame([(i, f"A:{i}") for i in range(40)], "query_id bigint, node string")
+    edges = spark.createDataFrame([(f"A:{i}", f"A:{i + 1}", f"L{i:03d}", "CAUSES") for i in range(41)], "src string, dst string, edge_id string, type string")
+    whole = sorted((r.query_id, r.edge_ids) for r in P.neighborhood_paths(centres, edges, 2, 5).collect())
+    monkeypatch.setattr(P, "PATHS_PER_TASK", 10)
+    found = P.neighborhood_paths(centres, edges, 2, 5)
+    assert "hashpartitioning(query_id" in plan(found) and re.search(r"start#\d+, 20\)", plan(found))
+    assert sorted((r.query_id, r.edge_ids) for r in found.collect()) == whole

@@ -110,6 +110,19 @@ def test_groups_grow_where_cells_prune_nothing():
     assert V.cell_groups(sizes, few, 2048, 65_536).max() + 1 > 400
 
 
+def test_similarity_join_writes_a_vector_once_however_many_blocks(spark):
+    """Blocks that meet are read again, not copied: four times the blocks write no more."""
+    rng = np.random.default_rng(5)
+    vectors = frame(spark, unit(rng.normal(size=(2000, 24))).astype(np.float32))
+    results = []
+    for rows in (1000, 250):
+        got = V.similar_vectors(vectors, 0.6, pivots=16, block_rows=rows, group_rows=rows)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in text and "Exchange" not in text and "CoGroups" not in text, text
+        results.append({(r.left_id, r.right_id, r.score) for r in got.collect()})
+    assert results[0] == results[1] and len(results[0]) > 2000
+
+
 def test_similarity_join_without_clusters_is_exact(spark):
     """Groups as large as blocks, and single precision as a first look, lose no pair and change no score."""
     rng = np.random.default_rng(11)

@@ -110,17 +110,20 @@ def test_groups_grow_where_cells_prune_nothing():
     assert V.cell_groups(sizes, few, 2048, 65_536).max() + 1 > 400
 
 
-def test_similarity_join_writes_a_vector_once_however_many_blocks(spark):
-    """Blocks that meet are read again, not copied: four times the blocks write no more."""
+def test_similarity_join_copies_no_blocks(spark, monkeypatch):
+    """Blocks that meet are sent piece by piece and not shuffled once per pair; pieces change no result."""
     rng = np.random.default_rng(5)
-    vectors = frame(spark, unit(rng.normal(size=(2000, 24))).astype(np.float32))
-    results = []
-    for rows in (1000, 250):
-        got = V.similar_vectors(vectors, 0.6, pivots=16, block_rows=rows, group_rows=rows)
-        text = got._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" in text and "Exchange" not in text and "CoGroups" not in text, text
-        results.append({(r.left_id, r.right_id, r.score) for r in got.collect()})
-    assert results[0] == results[1] and len(results[0]) > 2000
+    vectors = unit(rng.normal(size=(1200, 24))).astype(np.float32)
+    joined = V.similar_vectors(frame(spark, vectors), 0.6, pivots=16, block_rows=300, group_rows=300)
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "CoGroups" not in text, text
+    whole = {(r.left_id, r.right_id, r.score) for r in joined.collect()}
+    s = scores_of(vectors, vectors)
+    assert {p[:2] for p in whole} == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.6))}
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 4 * 24 * 500)
+    assert {tuple(r) for r in V.similar_vectors(frame(spark, vectors), 0.6, pivots=16, block_rows=300, group_rows=300).collect()} == whole
+    best = {(r.left_id, r.right_id) for r in V.similar_vectors(frame(spark, vectors), 0.6, pivots=16, block_rows=300, group_rows=300, keep=2).collect()}
+    assert best == {(int(i), int(j)) for i in range(1200) for j in sorted(np.flatnonzero(s[i] >= 0.6), key=lambda j: (-s[i, j], j))[:2]}
 
 
 def test_similarity_join_without_clusters_is_exact(spark):

@@ -155,3 +155,14 @@ def test_readiness_of_an_empty_document(spark):
     assert rows[2].assertion_count == 0 and rows[2].ai_readiness_score == 0.2
     assert (rows[1].conflict_count, rows[1].isolated_count) == (2, 1)
     assert rows[1].ai_readiness_score == round(2 / 150 * 0.3 + 1.0 * 0.5 + 0.5 * 0.2, 3)
+
+
+def test_bootstrap_draws_are_spread_over_tasks(spark):
+    # A few thousand small rows, drawn a thousand times each, were all resampled by one task.
+    pairs = spark.createDataFrame([(q, "p", "m", q / 7, q / 5) for q in range(40)], "query_id long, pair string, metric string, baseline double, treatment double")
+    plan = T.bootstrap_ci(pairs, ["pair", "metric"])._jdf.queryExecution().optimizedPlan().toString()
+    drawn = plan.index("Generate explode")
+    assert "RepartitionByExpression [pair" in plan[drawn:]
+    low, high = T.bootstrap_ci(pairs, ["pair", "metric"]).select("ci_low", "ci_high").first()
+    mean = sum(q / 5 - q / 7 for q in range(40)) / 40
+    assert low < mean < high

@@ -7,6 +7,7 @@ from claimgraph.functions import scope as sc
 from claimgraph.operators import assertions as A
 from claimgraph.operators.chunking import common_chunks
 from claimgraph.sources import files, responses, tables
+from claimgraph.sources.derived import Corpus
 
 
 def test_malformed_elements_cost_only_themselves(spark):
@@ -147,3 +148,14 @@ def test_text_ids_get_ascending_numbers(spark):
     assert dict(coded.dtypes) == {"a": "bigint", "b": "bigint"}
     assert sorted(map(tuple, ids.decode(coded, table, "a", "b").collect())) == sorted(map(tuple, rows.collect()))
     assert ids.encode(spark.createDataFrame([("zz",)], "a string"), table, "a").first().a is None
+
+
+def test_a_vector_is_normed_once(spark, tmp_path):
+    # The length of a mixture was computed again for each of its entries.
+    spark.createDataFrame([(3, "a\nb", "s", "en", 3)], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vector = [0.6, 0.8] + [0.0] * 62
+    spark.createDataFrame([(0, vector)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = Corpus(spark, str(tmp_path)).vectors
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sqrt(aggregate(" in plan and "/ sqrt(" not in plan
+    assert [round(x, 6) for x in rows.first().vector] == vector

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,11 +29,13 @@ from claimgraph.llm.common import add_columns, map_batches
 # Spaces as the pattern's \s has them (White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
 WHITES = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 600_000
 MEMORY_WORD_CHARS = 80
-#: Bound of one memory by its estimated bytes: ENTRY_BYTES for the objects and table places, four a character, and the ids.
-MEMORY_BYTES = 96 << 20
+#: Bound of the memory of pieces by its estimated bytes, that of other pre-tokens has a third: ENTRY_BYTES for the objects and table places, four a character, and the ids.
+MEMORY_BYTES = 144 << 20
 ENTRY_BYTES = 200
+#: The new words of about this many characters of texts are encoded together.
+CHUNK_CHARS = 1 << 20
 #: Ids of about this many bytes go back to Spark at a time.
 FLUSH_BYTES = 4 << 20
 
@@ -94,21 +96,30 @@ class PerfectHash:
 class Generations(dict):
     """A bounded memory: when it is full it becomes the older half, and what is used again comes back from there."""
 
-    def __init__(self, make: Callable[[str], bytes | None]):
+    def __init__(self, make: Callable[[str], bytes | None], share: float = 1.0):
         super().__init__()
         self.make, self.older, self.held = make, {}, 0
+        self.words, self.bytes = int(share * MEMORY_WORDS), int(share * MEMORY_BYTES)
 
     def __missing__(self, key: str) -> bytes | None:
         out = self.older[key] if key in self.older else self.make(key)
         if len(key) <= MEMORY_WORD_CHARS:
-            if len(self) >= MEMORY_WORDS // 2 or self.held >= MEMORY_BYTES // 2:
-                self.older = dict(self)
-                self.clear()
-                self.held = 0
+            self.make_room()
             self[key] = out
             self.held += ENTRY_BYTES + 4 * len(key) + len(out or b"")
         return out
 
+    def make_room(self) -> None:
+        if len(self) >= self.words // 2 or self.held >= self.bytes // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.make_room()
+        self.update(found)
+        self.held += ENTRY_BYTES * len(found) + 4 * sum(map(len, found)) + sum(map(len, found.values()))
+
 
 def touches_white(piece: str) -> bool:
     """Whether a piece is empty, or starts or ends with white space, which then belongs to a longer run."""
@@ -119,7 +130,8 @@ class PretokenEncoder:
     """Encodes a piece that starts and ends between pre-tokens; the pre-tokens of a composed piece are remembered."""
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
-        self.encode, self.memory = encode, Generations(encode)
+        # What starts with a space is mostly remembered by the caller, without it.
+        self.encode, self.memory = encode, Generations(encode, 1 / 3)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
                                    .replace(r"\s", f"[{WHITE}]")).findall
 
@@ -137,20 +149,65 @@ class SplitEncoder:
     coarse pattern, whose cuts are all cuts of the full one as well.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: PretokenEncoder):
         self.encode = encode
         # None marks a piece that must not be encoded by itself.
         self.memory = Generations(lambda piece: None if touches_white(piece) else encode(" " + piece))
         self.coarse = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
     def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        first, *pieces = text.split(" ")
-        memory = self.memory
+        return self._join(text, text.split(" ")) if text else b""
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``text`` of each; the new pieces of neighbouring texts are learned together."""
+        waiting, held = [], 0
+        for text in texts:
+            waiting.append((text, text.split(" ") if text else []))
+            held += len(text or "")
+            if held >= CHUNK_CHARS:
+                yield from self._flush(waiting)
+                waiting, held = [], 0
+        yield from self._flush(waiting)
+
+    def _flush(self, waiting: list[tuple[str | None, list[str]]]) -> Iterator[bytes]:
+        self.learn(set().union(*[pieces[1:] for _, pieces in waiting]))
+        for text, pieces in waiting:
+            yield self._join(text, pieces) if text else b""
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Remember what ``pieces`` encode to, cutting all new ones in one pass of the pattern.
+
+        Where they stand behind single spaces, every pre-token that starts with a space is the first of
+        its piece; without the space it is a key of the same memory.
+        """
+        memory, tails, encode = self.memory, self.encode.memory, self.encode.encode
+        older = memory.older
+        new = [p for p in pieces if p not in memory and p not in older and len(p) <= MEMORY_WORD_CHARS and not touches_white(p)]
+        found = self.encode.split(" " + " ".join(new)) if new else []
+        done: dict[str, bytes] = {}  # the memory may forget while it learns
+        at, code = -1, b""
+        for token in found:
+            if token[0] == " ":
+                if at >= 0:
+                    done[new[at]] = code
+                at += 1
+                key = token[1:]
+                code = done.get(key) or memory.get(key) or older.get(key)
+                if code is None:
+                    code = encode(token)
+                    if key:  # a pattern may have the space as a pre-token of its own
+                        done[key] = code
+            else:
+                code += tails[token]
+        if found:
+            done[new[at]] = code
+        memory.keep(done)
+
+    def _join(self, text: str, pieces: list[str]) -> bytes:
+        memory, first = self.memory, pieces[0]
         if not touches_white(first):
             try:
-                return self.encode(first) + b"".join(map(memory.__getitem__, pieces))
+                return self.encode(first) + b"".join(map(memory.__getitem__, pieces[1:]))
             except TypeError:  # a piece that is not to be encoded by itself
                 pass
         return b"".join([memory[c[1:]] if c[0] == " " and not touches_white(c[1:])
@@ -236,6 +293,9 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         return self.prepare().splitter.text(text)
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        return self.prepare().splitter.texts(texts)
+
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.prepare().tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
@@ -250,7 +310,7 @@ def encode(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str
 
     def run(batch):
         vocabulary = shared.value
-        ids = pa.array([vocabulary.encode(t.as_py()) for t in batch.column(1)], pa.binary())
+        ids = pa.array(vocabulary.encode_all(t.as_py() for t in batch.column(1)), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -286,8 +346,8 @@ def round_trip(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ids)), pa.array(ids, pa.binary()),
                                                pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
-        for text in batch.column(1):
-            ids.append(vocabulary.encode(text.as_py()))
+        for code in vocabulary.encode_all(text.as_py() for text in batch.column(1)):
+            ids.append(code)
             decoded.append(vocabulary.decode(ids[-1]))
             held += len(ids[-1])
             if held >= FLUSH_BYTES:

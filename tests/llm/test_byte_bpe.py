@@ -85,3 +85,28 @@ def test_rows(odd_docs, no_docs, bpe, truth):
                      hashlib.sha256((text or "").encode()).hexdigest()))
     assert rows_of(B.digests(odd_docs, bpe)) == sorted(want, key=repr)
     assert rows_of(B.digests(no_docs, bpe)) == []
+
+
+def test_neighbouring_texts_encode_as_each_alone(bpe, truth, monkeypatch):
+    letters, draw = list("ab  \n\t'sé.,!1\x85　日😀"), random.Random(5)
+    texts = [None, "", *("".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(800)), "x" * 200 + " y"]
+    for chunk, words in ((1, 600_000), (300, 600_000), (300, 20), (1 << 20, 6)):
+        monkeypatch.setattr(B, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(B, "MEMORY_WORDS", words)
+        found = list(B.ByteBpe(bpe.prepare().ranks, bpe.pattern).encode_all(texts))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [truth.encode_ordinary(t or "") for t in texts]
+
+
+def test_a_word_before_a_comma_is_merged_once(bpe):
+    # The word was merged again behind a space, before a comma and in a text of its own.
+    merged = []
+    cut = B.SplitEncoder(B.PretokenEncoder(bpe.pattern, lambda token: merged.append(token) or bpe.pretoken(token)))
+    bpe.prepare()
+    texts = ["A zqxvw zqxvw, (zqxvw) a.", "A zqxvw. zqxvw,"]
+    assert list(cut.texts(texts)) == [bpe.encode(t) for t in texts]
+    assert merged.count(" zqxvw") == 1
+
+
+def test_a_space_may_be_a_pretoken_of_its_own():
+    letters = B.ByteBpe({bytes([k]): k for k in range(256)}, r"[a-z]+|\s")
+    assert [bytes(np.frombuffer(i, "<u4").tolist()) for i in letters.encode_all(["a b  c d", "a  b"])] == [b"a b  c d", b"a  b"]

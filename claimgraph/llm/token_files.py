@@ -204,21 +204,25 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int],
         end, tokenize = pack_ids([end_id]), tokenizer.model.tokenize
 
         def pretoken(token: str) -> bytes:
-            found = tokenize(token.encode().decode("latin-1").translate(letters))
-            return pack_ids([t.id for t in found])
+            if token.isascii() and token.isprintable():  # only the space has another letter
+                written = token.replace(" ", letters[32])
+            else:
+                written = token.encode().decode("latin-1").translate(letters)
+            return pack_ids([t.id for t in tokenize(written)])
 
         splitter = SplitEncoder(PretokenEncoder(pattern, pretoken))
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
-        def whole(text: str | None) -> bytes:
-            if text and any(a in text for a in added):
-                return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
-            return splitter.text(text)
+        def whole(texts: list[str | None]) -> Iterator[bytes]:
+            quoting = [bool(text) and any(a in text for a in added) for text in texts]
+            plain = splitter.texts(text for text, quotes in zip(texts, quoting, strict=True) if not quotes)
+            for text, quotes in zip(texts, quoting, strict=True):
+                yield pack_ids(tokenizer.encode(text, add_special_tokens=False).ids) if quotes else next(plain)
 
         lowest = int(edges[0]) if len(edges) else 0
         for batch in batches:
             ids = [lowest if i is None else i for i in batch.column(0).to_pylist()]
-            out = pa.array([whole(t.as_py()) + end for t in batch.column(1)], pa.binary())
+            out = pa.array([code + end for code in whole(batch.column(1).to_pylist())], pa.binary())
             buckets = np.searchsorted(edges, np.array(ids, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), batch.column(0), out], ["bucket", "doc_id", "ids"])
 

@@ -59,9 +59,13 @@ class Vocabulary:
     def prepare(self) -> Vocabulary:
         if not hasattr(self, "index"):
             self.index = {p: k for k, p in enumerate(self.pieces)}
-            self.longest = max(map(len, self.pieces), default=1)
-            # Every beginning of a piece: its number, or -1 where it only goes on.
-            self.begins = {p[:n]: -1 for p in self.pieces for n in range(1, len(p) + 1)} | self.index
+            # Prefix tree: character to (number of the piece that ends here or -1, what may follow).
+            self.tree: dict[str, list] = {}
+            for p, k in self.index.items():
+                step = [-1, self.tree]
+                for c in p:
+                    step = step[1].setdefault(c, [-1, {}])
+                step[0] = k
             self.bytes = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
             floor = 1e-12
             self.plain = [max(w, floor) for w in self.weights.tolist()]
@@ -71,22 +75,27 @@ class Vocabulary:
     def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int | tuple[int, ...]]]]:
         """Number of places, and (start, end, piece) of every piece of the marked word by start; byte pieces as a tuple."""
         s = START + word
-        n, begins, longest = len(s), self.begins, self.longest
+        n, tree, index = len(s), self.tree, self.index
         out = []
         for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = begins.get(s[i:j])
-                if k is None:
+            follow = tree
+            for j in range(i, n):
+                step = follow.get(s[j])
+                if step is None:
                     break
+                k, follow = step
                 if k >= 0:
-                    out.append((i, j, k))
-            if s[i] not in self.index:
-                ids = tuple(self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass"))
-                if None in ids:
-                    raise ValueError("the vocabulary needs a piece for every byte")
-                out.append((i, i + 1, ids))
+                    out.append((i, j + 1, k))
+            if s[i] not in index:
+                out.append((i, i + 1, self.spelled(s[i])))
         return n, out
 
+    def spelled(self, character: str) -> tuple[int, ...]:
+        ids = tuple(self.bytes[b] for b in character.encode("utf-8", "surrogatepass"))
+        if None in ids:
+            raise ValueError("the vocabulary needs a piece for every byte")
+        return ids
+
     def log_weight(self, piece: int | tuple[int, ...]) -> float:
         return self.logs[piece] if type(piece) is int else sum(self.logs[k] for k in piece)
 
@@ -107,7 +116,32 @@ class Vocabulary:
         return alpha
 
     def log_probability(self, word: str) -> float:
-        return self.prepare().forward(*self.arcs(word))[-1]
+        """What ``forward`` gives for the whole word, without a list of its arcs."""
+        self.prepare()
+        logs, exp, log, tree, index = self.logs, math.exp, math.log, self.tree, self.index
+        s = START + word
+        alpha = [-math.inf] * (len(s) + 1)
+        alpha[0] = 0.0
+        for i, first in enumerate(s):
+            before, follow, j = alpha[i], tree, i
+            for c in s[i:]:
+                step = follow.get(c)
+                if step is None:
+                    break
+                k, follow = step
+                j += 1
+                if k >= 0:
+                    t, have = before + logs[k], alpha[j]
+                    if have == -math.inf:
+                        alpha[j] = t
+                    elif have > t:
+                        alpha[j] = have + log(1.0 + exp(t - have))
+                    else:
+                        alpha[j] = t + log(1.0 + exp(have - t))
+            if first not in index:
+                t, have = before + self.log_weight(self.spelled(first)), alpha[i + 1]
+                alpha[i + 1] = t if have == -math.inf else max(have, t) + log(1.0 + exp(-abs(have - t)))
+        return alpha[-1]
 
     def expected(self, word: str, into, count: float) -> None:
         """Add the expected pieces of ``count`` occurrences of ``word`` to ``into``."""

@@ -110,3 +110,15 @@ def test_odd_rows(odd_docs, no_docs, vocabulary):
 
 def test_scores_are_lower_for_longer_texts(vocabulary):
     assert np.isfinite(vocabulary.log_probability("x" * 100)) and vocabulary.log_probability("x" * 100) < vocabulary.log_probability("x")
+
+
+def test_score_of_a_word_is_the_forward_sum_of_its_arcs():
+    pieces = [*(f"<0x{b:02X}>" for b in range(256)), "▁", "▁a", "a", "ab", "abc", "b", "éa", "▁abé", "ca"]
+    model, draw = L.Vocabulary(pieces).prepare(), random.Random(2)
+    for _ in range(500):
+        word = "".join(draw.choice("aabbcéx日") for _ in range(draw.randrange(12)))
+        n, arcs = model.arcs(word)
+        spelled = "▁" + word
+        wanted = [(i, j, pieces.index(spelled[i:j])) for i in range(n) for j in range(i + 1, n + 1) if spelled[i:j] in pieces]
+        assert [a for a in arcs if type(a[2]) is int] == wanted
+        assert model.log_probability(word) == model.forward(n, arcs)[-1]

@@ -11,7 +11,7 @@ training words: each round spreads a word's count over its segmentations by forw
 backward sums.
 
 At scale: words are counted once, in the tasks and then by word.  A word's lattice is
-computed once for all its occurrences.  Words that make up at least one in HEAD of all
+computed once for all its occurrences, together with those of some thousand other words.  Words that make up at least one in HEAD of all
 words, at most HEAD of them, go to every task; documents meet the rest in a join on the
 word, whose keys are rare by that choice, so none of them is hot.
 """
@@ -35,6 +35,10 @@ FLUSH_WORDS = 300_000
 START = "▁"
 # Below this probability plain products may have lost terms, and a word is summed in log space.
 LEAST_PLAIN = 1e-250
+# This many words are taken through their lattices together; a word of more characters goes through its own.
+TOGETHER, LONG = 10_000, 100
+# A character number no text has, behind each of the words taken together.
+GAP, WIDE = (1 << 21) - 1, 21
 
 
 class Vocabulary:
@@ -70,8 +74,48 @@ class Vocabulary:
             floor = 1e-12
             self.plain = [max(w, floor) for w in self.weights.tolist()]
             self.logs = [math.log(w) for w in self.plain]
+            self._flatten()
         return self
 
+    def _flatten(self) -> None:
+        """The tree as arrays: pieces by node, and a hash table from (node, character) to the next node."""
+        below, ends, keys = [self.tree], [-1], []
+        for node, follow in enumerate(below):  # grows as it goes
+            for c, (k, more) in follow.items():
+                keys.append(node << WIDE | ord(c))
+                below.append(more)
+                ends.append(k)
+        self.ends, self.weight = np.array(ends, np.int64), np.array(self.plain)
+        keys = np.array(keys, np.int64)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << 64 - int(self.shift)
+        self.keys, self.nodes = np.full(size, -1), np.zeros(size, np.int64)
+        waiting = np.arange(len(keys))
+        slots = self._slots(keys)
+        while len(waiting):  # of those that want the same free slot the first gets it, the others go on to the next
+            at = slots[waiting]
+            free = np.flatnonzero(self.keys[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            placed = waiting[free[first]]
+            self.keys[taken], self.nodes[taken] = keys[placed], placed + 1
+            waiting = np.setdiff1d(waiting, placed)
+            slots[waiting] = (slots[waiting] + 1) % size
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _next(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The node behind each node by its character, or 0."""
+        keys = nodes << WIDE | characters
+        slots = self._slots(keys)
+        have = self.keys[slots]
+        other = np.flatnonzero((have != keys) & (have >= 0))
+        while len(other):
+            slots[other] = (slots[other] + 1) % len(self.keys)
+            have[other] = now = self.keys[slots[other]]
+            other = other[(now != keys[other]) & (now >= 0)]
+        return np.where(have == keys, self.nodes[slots], 0)
+
     def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int | tuple[int, ...]]]]:
         """Number of places, and (start, end, piece) of every piece of the marked word by start; byte pieces as a tuple."""
         s = START + word
@@ -143,6 +187,97 @@ class Vocabulary:
                 alpha[i + 1] = t if have == -math.inf else max(have, t) + log(1.0 + exp(-abs(have - t)))
         return alpha[-1]
 
+    def _lattices(self, words: list[str]):
+        """The lattices of ``words`` side by side: first and last place of each, and all arcs.
+
+        Arcs come in groups of one start and length, by start, in the order of ``arcs``; no two of
+        a group leave or reach the same place.  An arc has its two places, its weight and its
+        piece, or where it spells a character by bytes, -1 less the place of that in a list of byte pieces.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        last = np.cumsum(sizes) - 1
+        first = last - sizes + 1
+        joined = START + f"\n{START}".join(words) + "\n"
+        characters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        characters[last] = GAP
+        at = np.flatnonzero(characters != GAP)
+        nodes, lone = np.zeros(len(at), np.int64), characters != GAP
+        found = []
+        length = 1
+        while len(at):
+            nodes = self._next(nodes, characters[at + length - 1])
+            on = np.flatnonzero(nodes)
+            at, nodes = at[on], nodes[on]
+            piece = self.ends[nodes]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at[whole], piece[whole], length))
+            if length == 1:
+                lone[at[whole]] = False
+            length += 1
+        lone = np.flatnonzero(lone)
+        odd, which = np.unique(characters[lone], return_inverse=True)
+        spelled = [self.spelled(chr(c)) for c in odd.tolist()]
+        odd_weight = np.array([math.prod([self.plain[b] for b in k]) for k in spelled])
+        start = np.concatenate([*(a for a, _, _ in found), lone])
+        end = np.concatenate([*(a + n for a, _, n in found), lone + 1])
+        piece = np.concatenate([*(k for _, k, _ in found), -1 - which])
+        weight = np.concatenate([*(self.weight[k] for _, k, _ in found), odd_weight[which]])
+        group = np.concatenate([*(np.full(len(a), n) for a, _, n in found), np.full(len(lone), length)])
+        group += (start - np.repeat(first, sizes)[start]) * (length + 1)
+        order = np.argsort(group, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(order)]
+        groups = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        return first, last, start[order], end[order], weight[order], piece[order], groups, spelled
+
+    def _sums(self, first, last, start, end, weight, groups) -> np.ndarray:
+        """Sums over all segmentations of each prefix, by place."""
+        alpha = np.zeros(int(last[-1]) + 1)
+        alpha[first] = 1.0
+        for g in groups:
+            alpha[end[g]] += alpha[start[g]] * weight[g]
+        return alpha
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """``log_probability`` of each word, to rounding."""
+        self.prepare()
+        out = np.full(len(words), -math.inf)
+        short = [k for k, word in enumerate(words) if len(word) <= LONG]
+        for a in range(0, len(short), TOGETHER):
+            part = short[a:a + TOGETHER]
+            first, last, start, end, weight, _, groups, _ = self._lattices([words[k] for k in part])
+            whole = self._sums(first, last, start, end, weight, groups)[last]
+            plain = whole >= LEAST_PLAIN
+            out[np.array(part)[plain]] = np.log(whole[plain])
+        for k in np.flatnonzero(out == -math.inf).tolist():
+            out[k] = self.log_probability(words[k])
+        return out
+
+    def expected_all(self, words: list[str], counts: list[int], into: np.ndarray) -> None:
+        """``expected`` of each word and its count."""
+        self.prepare()
+        short = [k for k, word in enumerate(words) if len(word) <= LONG]
+        alone = [k for k, word in enumerate(words) if len(word) > LONG]
+        for a in range(0, len(short), TOGETHER):
+            part = short[a:a + TOGETHER]
+            first, last, start, end, weight, piece, groups, spelled = self._lattices([words[k] for k in part])
+            alpha = self._sums(first, last, start, end, weight, groups)
+            plain = alpha[last] >= LEAST_PLAIN
+            alone += np.array(part)[~plain].tolist()
+            beta = np.zeros(len(alpha))
+            beta[last[plain]] = np.array([counts[k] for k in part], float)[plain] / alpha[last[plain]]
+            share = np.zeros(len(start))
+            for g in reversed(groups):
+                t = weight[g] * beta[end[g]]
+                share[g] = alpha[start[g]] * t
+                beta[start[g]] += t
+            own = piece >= 0
+            into += np.bincount(piece[own], share[own], len(into))
+            for k, x in zip(spelled, np.bincount(-1 - piece[~own], share[~own], len(spelled)).tolist(), strict=True):
+                for b in k:
+                    into[b] += x
+        for k in alone:
+            self.expected(words[k], into, counts[k])
+
     def expected(self, word: str, into, count: float) -> None:
         """Add the expected pieces of ``count`` occurrences of ``word`` to ``into``."""
         n, arcs = self.arcs(word)
@@ -182,6 +317,10 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces
 
 
+def decoded(column: pa.Array) -> list[str]:
+    return [word.decode("utf-8", "surrogatepass") for word in column.to_pylist()]
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """(word, c, n): occurrences in training texts and in all, of ``rows`` (held_out, text)."""
     def run(batches):
@@ -214,13 +353,12 @@ def estimate(counted: DataFrame, vocabulary: Vocabulary, n_docs: int, rounds: in
         shared = counted.sparkSession.sparkContext.broadcast(vocabulary)
 
         def run(batches, shared=shared):
-            model, into = shared.value.prepare(), [0.0] * n_pieces
+            into = np.zeros(n_pieces)
             for batch in batches:
-                for word, c in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    model.expected(word.as_py().decode("utf-8", "surrogatepass"), into, c)
+                shared.value.expected_all(decoded(batch.column(0)), batch.column(1).to_pylist(), into)
             # Whole thousandths add up the same in every order of the tasks.
             yield pa.RecordBatch.from_arrays([pa.array(range(n_pieces), pa.int64()),
-                                              pa.array([round(1000 * x) for x in into], pa.int64())], ["piece", "n"])
+                                              pa.array(np.rint(1000 * into).astype(np.int64))], ["piece", "n"])
 
         sums = (counted.where("c > 0").select("word", "c").mapInArrow(run, "piece bigint, n bigint")
                 .groupBy("piece").agg(F.sum("n").alias("n")).collect())
@@ -237,8 +375,7 @@ def score_words(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = counted.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batch):
-        model = shared.value.prepare()
-        s = [model.log_probability(w.as_py().decode("utf-8", "surrogatepass")) / math.log(10) for w in batch.column(0)]
+        s = shared.value.log_probabilities(decoded(batch.column(0))) / math.log(10)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], ["word", "c", "n", "s"])
 
     return map_batches(counted.select("word", "c", "n"), run, "word binary, c bigint, n bigint, s double")

@@ -122,3 +122,35 @@ def test_score_of_a_word_is_the_forward_sum_of_its_arcs():
         wanted = [(i, j, pieces.index(spelled[i:j])) for i in range(n) for j in range(i + 1, n + 1) if spelled[i:j] in pieces]
         assert [a for a in arcs if type(a[2]) is int] == wanted
         assert model.log_probability(word) == model.forward(n, arcs)[-1]
+
+
+@pytest.mark.parametrize("least", [1e-250, 1e-20, 2.0])
+def test_words_together_give_what_each_gives_alone(monkeypatch, least):
+    monkeypatch.setattr(L, "LEAST_PLAIN", least)
+    monkeypatch.setattr(L, "TOGETHER", 70)
+    pieces = [*(f"<0x{b:02X}>" for b in range(256)), "▁", "▁a", "a", "ab", "abc", "b", "éa", "▁abé", "ca", "c\na", "\n"]
+    draw = random.Random(3)
+    words = ["", "\n", "a\n", "\na", "\ud800b", "x" * 101, "ab" * 2000, "日本" * 50, "\U0010ffff", *(
+        "".join(draw.choice("aabbcéx日\n") for _ in range(draw.randrange(14))) for _ in range(300))]
+    counts = [draw.randrange(1, 9) for _ in words]
+    model, want, got = L.Vocabulary(pieces).prepare(), [0.0] * len(pieces), np.zeros(len(pieces))
+    for word, count in zip(words, counts, strict=True):
+        model.expected(word, want, count)
+    model.expected_all(words, counts, got)
+    assert got.tolist() == pytest.approx(want, rel=1e-9)
+    assert model.log_probabilities(words).tolist() == pytest.approx([model.log_probability(w) for w in words], rel=1e-12)
+    model.expected_all([], [], got)
+    assert got.tolist() == pytest.approx(want, rel=1e-9) and not len(model.log_probabilities([]))
+
+
+def test_usual_words_are_not_taken_one_by_one(vocabulary, monkeypatch):
+    # Every word's lattice was searched and summed by itself, in each round and once more for its score.
+    def one_by_one(*_):
+        raise AssertionError("a usual word went through its lattice alone")
+
+    model = vocabulary.prepare()
+    for name in ("arcs", "expected", "log_probability"):
+        monkeypatch.setattr(type(model), name, one_by_one)
+    into = np.zeros(len(model.pieces))
+    model.expected_all(["the", "thentien", "éleè", "日本a"], [1, 2, 3, 4], into)
+    assert into.sum() > 10 and (model.log_probabilities(["the", "日本a"]) < 0).all()

@@ -20,14 +20,15 @@ from __future__ import annotations
 import sys
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.llm.byte_bpe import PretokenEncoder, SplitEncoder
+from claimgraph.llm.byte_bpe import PretokenEncoder, SplitEncoder, touches_white
 from claimgraph.llm.common import map_batches, open_folder
 from claimgraph.sources.files import scratch_folder
 
@@ -37,6 +38,8 @@ DOC = np.dtype([("id", "<i8"), ("flags", "u1"), ("n", "<u8")])
 FOOT = np.dtype(("<u8", (4,)))
 FLUSH_IDS = 1 << 20
 FILE_BYTES = 64 << 20
+#: Texts of about this many bytes are cut and put together at a time.
+CHUNK_BYTES = 8 << 20
 
 
 def bit_length(values: np.ndarray) -> np.ndarray:
@@ -184,6 +187,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def encode_texts(texts: pa.Array, splitter: SplitEncoder, alone: Callable[[str], bytes], added: list[str], end: bytes) -> pa.Array:
+    """The packed ids of each text and the end id.
+
+    Texts are cut at single spaces and each distinct piece is encoded once.  A text that holds one of
+    ``added`` or a piece that must not be encoded by itself goes whole to ``alone``.
+    """
+    n = len(texts)
+    cut = pc.split_pattern(texts, " ")
+    n_pieces = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+    pieces = pc.dictionary_encode(cut.flatten())
+    names, which = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy().copy()
+    firsts, filled = np.cumsum(n_pieces) - n_pieces, np.flatnonzero(n_pieces)
+    later = np.ones(len(which), bool)
+    later[firsts[filled]] = False
+    asked = np.zeros(len(names), bool)
+    asked[which[later]] = True
+    memory, asked = splitter.memory, asked.tolist()
+    splitter.learn([name for name, behind in zip(names, asked, strict=True) if behind])
+    codes = [memory[name] if behind else b"" for name, behind in zip(names, asked, strict=True)]
+    row = np.repeat(np.arange(n), n_pieces)
+    whole = np.zeros(n, bool)
+    whole[row[later & np.array([code is None for code in codes], bool)[which]]] = True
+    for token in added:
+        whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+    # Behind the pieces' codes come the end's, an empty one, and of every text that of its first piece or of all of it.
+    the_end, nothing = len(codes), len(codes) + 1
+    codes += [end, b""]
+    for k in filled.tolist():
+        first = names[which[firsts[k]]]
+        whole[k] |= touches_white(first)
+        codes.append(alone(texts[k].as_py()) if whole[k] else splitter.encode(first))
+    which[whole[row]] = nothing
+    which[firsts[filled]] = nothing + 1 + np.arange(len(filled))
+    which = np.insert(which, firsts + n_pieces, the_end)
+    joined = pa.array(codes, pa.binary()).take(pa.array(which))  # its bytes are those of the texts, one behind the other
+    ends = np.append(0, np.cumsum(n_pieces + 1))
+    places = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places[ends]), joined.buffers()[2]])
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], pattern: str, added_tokens: bool = False) -> DataFrame:
     """(bucket, doc_id, ids): ids of every whole text by the tokenizers library and the end id, u16 or u32 packed.
 
@@ -213,18 +256,20 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int],
         splitter = SplitEncoder(PretokenEncoder(pattern, pretoken))
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
-        def whole(texts: list[str | None]) -> Iterator[bytes]:
-            quoting = [bool(text) and any(a in text for a in added) for text in texts]
-            plain = splitter.texts(text for text, quotes in zip(texts, quoting, strict=True) if not quotes)
-            for text, quotes in zip(texts, quoting, strict=True):
-                yield pack_ids(tokenizer.encode(text, add_special_tokens=False).ids) if quotes else next(plain)
+        def alone(text: str) -> bytes:
+            quotes = any(a in text for a in added)
+            return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids) if quotes else splitter.text(text)
 
         lowest = int(edges[0]) if len(edges) else 0
         for batch in batches:
             ids = [lowest if i is None else i for i in batch.column(0).to_pylist()]
-            out = pa.array([code + end for code in whole(batch.column(1).to_pylist())], pa.binary())
-            buckets = np.searchsorted(edges, np.array(ids, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), batch.column(0), out], ["bucket", "doc_id", "ids"])
+            buckets = pa.array(np.searchsorted(edges, np.array(ids, np.int64)), pa.int32())
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(ends // CHUNK_BYTES)) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(at, to - at)
+                out = encode_texts(part.column(1), splitter, alone, added, end)
+                yield pa.RecordBatch.from_arrays([buckets.slice(at, to - at), part.column(0), out], ["bucket", "doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "bucket int, doc_id bigint, ids binary")

@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from odd_rows import TEXTS, rows_of
 from tokenizers import Tokenizer
 
+from claimgraph.llm import byte_bpe as B
 from claimgraph.llm import token_files as F
 
 PATH = P.path("byte_bpe_50k.json")
@@ -86,3 +88,39 @@ def test_the_query_knows_added_tokens(spark, tmp_path):
 
     spark.createDataFrame([(1, "one <|endoftext|> two")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op5_token_files(spark, str(tmp_path)).first()["n_tokens"] == 5
+
+
+def test_texts_of_a_batch_share_their_pieces(monkeypatch):
+    # Every piece of every text was looked up and its ids joined by themselves.
+    letters, draw = list("ab  \n\t'sé.,!1\x85　日😀"), random.Random(5)
+    texts = [None, "", " ", "a", *("".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(400)), "x" * 200 + " y",
+             "one <|endoftext|> two", "y" * 100, None]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [np.array((tokenizer.encode(t or "", add_special_tokens=False).ids) + [2], "<u2").tobytes() for t in texts]
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = tokenizer.pre_tokenizer
+    pack = lambda text: np.array(bare.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    asked = []
+
+    def alone(text):
+        asked.append(text)
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    for words in (600_000, 6):
+        monkeypatch.setattr(B, "MEMORY_WORDS", words)
+        splitter = B.SplitEncoder(B.PretokenEncoder(P.PATTERN, pack))
+        column = pa.array([None, "before", *texts])
+        got = F.encode_texts(column.slice(2), splitter, alone, ["<|endoftext|>"], np.array([2], "<u2").tobytes())
+        got.validate(full=True)
+        assert got.to_pylist() == want
+        assert "one <|endoftext|> two" in asked and "x" * 200 + " y" not in asked and "a" not in asked
+    nothing = F.encode_texts(pa.array([], pa.string()), splitter, alone, [], b"\2\0")
+    assert nothing.to_pylist() == [] and nothing.type == pa.binary()
+
+
+def test_chunks_of_texts_change_nothing(odd_docs, monkeypatch):
+    want = rows_of(F.round_trip(odd_docs, PATH, 2, P.PATTERN))
+    monkeypatch.setattr(F, "CHUNK_BYTES", 1)
+    run = F.encode(odd_docs, PATH, 2, [], P.PATTERN)
+    lengths = sorted(len(r["ids"]) // 2 for r in run.collect())
+    assert lengths == sorted(r[2] for r in want)

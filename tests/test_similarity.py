@@ -134,3 +134,52 @@ def test_similarity_join_without_clusters_is_exact(spark):
     s = scores_of(vectors, vectors)
     assert {(r.left_id, r.right_id) for r in got} == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.6))}
     assert all(r.score == s[r.left_id, r.right_id] for r in got)
+
+
+def noisy_copies(rng, directions, copies, dims, noise):
+    centres = unit(rng.normal(size=(directions, dims)))
+    return unit(np.repeat(centres, copies, axis=0) + noise * unit(rng.normal(size=(directions * copies, dims)))).astype(np.float32)
+
+
+@pytest.mark.parametrize("dims,noise,share", [(64, 0.47, 0.15), (64, 0.01, 0.15), (6, 0.6, 2.0)])
+def test_blocks_meet_once_and_bundle_by_bundle(monkeypatch, dims, noise, share):
+    """Vectors of one direction are compared as one; both orders of a pair come from one meeting, and none is lost."""
+    vectors = noisy_copies(np.random.default_rng(2), 100, 20, dims, noise)[np.random.default_rng(4).permutation(2000)]
+    theta, compared, hits = V._threshold_angle(0.82), [], V._hits
+
+    def counted(strip, tiles):
+        compared.append(sum(len(strip) * t[1].shape[1] for t in tiles))
+        return hits(strip, tiles)
+
+    monkeypatch.setattr(V, "_hits", counted)
+    home, other, ids = vectors[:1000], vectors[1000:], np.arange(2000)
+    label = V.bundles(home, min(0.9 * theta, V.BUNDLE_REACH - theta))
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+    centres, least = V._centres(V._unit(home[order]), starts, theta)
+    for keep in (None, 3):
+        got = {tuple(r) for b in V._near_pairs(ids[:1000][order], home[order], starts, centres, least, ids[1000:], other, other, 0.82, keep, True)
+               for r in zip(*(c.to_pylist() for c in b.columns))}
+        s = scores_of(vectors, vectors)
+        s[:1000, :1000] = s[1000:, 1000:] = -1.0
+        assert got == {(i, int(j), s[i, j]) for i in range(2000)
+                       for j in sorted(np.flatnonzero(s[i] >= 0.82), key=lambda j: (-s[i, j], j))[:keep]}
+    assert sum(compared) <= 2 * share * 1000 * 1000
+
+
+def test_vectors_dealt_out_again_by_bundles_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = np.vstack([noisy_copies(rng, 150, 8, 32, 0.47), unit(rng.normal(size=(300, 32))).astype(np.float32)])
+    turns, regroup = [], V._regroup
+    monkeypatch.setattr(V, "_regroup", lambda points, widest: turns.append(len(points)) or regroup(points, widest))
+    monkeypatch.setattr(V, "REGROUP_ROWS", 100)
+    monkeypatch.setattr(V, "VISITS", 2)
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 4 * 32 * 250)
+    monkeypatch.setattr(V, "FOLD", 2)
+    got = V.similar_vectors(frame(spark, vectors), 0.82, pivots=32, group_rows=100, block_rows=200).collect()
+    s = scores_of(vectors, vectors)
+    assert len(turns) == V.REGROUPINGS
+    assert len(got) == len({tuple(r) for r in got})
+    assert {tuple(r) for r in got} == {(int(i), int(j), s[i, j]) for i, j in zip(*np.nonzero(s >= 0.82))}
+    best = {(r.left_id, r.right_id) for r in V.similar_vectors(frame(spark, vectors), 0.82, pivots=32, group_rows=100, block_rows=200, keep=3).collect()}
+    assert best == {(i, int(j)) for i in range(len(vectors)) for j in sorted(np.flatnonzero(s[i] >= 0.82), key=lambda j: (-s[i, j], j))[:3]}

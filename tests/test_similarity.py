@@ -167,6 +167,29 @@ def test_blocks_meet_once_and_bundle_by_bundle(monkeypatch, dims, noise, share):
     assert sum(compared) <= 2 * share * 1000 * 1000
 
 
+@pytest.mark.parametrize("both", [True, False])
+def test_pairs_that_can_not_be_kept_are_not_held(monkeypatch, both):
+    """Of a crowd in one direction each block reports every vector's best partners, ties by the smaller id."""
+    vectors = noisy_copies(np.random.default_rng(6), 2, 300, 16, 0.2)
+    vectors[300:600:7] = vectors[300]
+    home, other, ids = vectors[::2], vectors[1::2], np.arange(600)
+    unit_a, starts = V._unit(home), np.array([0, 150])
+    centres, least = V._centres(unit_a, starts, V._threshold_angle(0.82))
+    monkeypatch.setattr(V, "HELD_PAIRS", 2000)
+    found = [r for b in V._near_pairs(ids[::2], home, starts, centres, least, ids[1::2], other, V._unit(other).astype(np.float32), 0.82, 3, both)
+             for r in zip(*(c.to_pylist() for c in b.columns))]
+    s = scores_of(vectors, vectors)
+    s[::2, ::2] = s[1::2, 1::2] = -1.0
+    got = {}
+    for a, b, score in set(found):
+        assert score == s[a, b]
+        got.setdefault(a, []).append((-score, b))
+    for i in range(600) if both else range(0, 600, 2):
+        assert sorted(got[i])[:3] == sorted((-s[i, j], int(j)) for j in np.flatnonzero(s[i] >= 0.82))[:3]
+    assert both or set(got) <= set(range(0, 600, 2))
+    assert len(found) < (s >= 0.82).sum() / 4
+
+
 def test_vectors_dealt_out_again_by_bundles_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = np.vstack([noisy_copies(rng, 150, 8, 32, 0.47), unit(rng.normal(size=(300, 32))).astype(np.float32)])
@@ -174,8 +197,8 @@ def test_vectors_dealt_out_again_by_bundles_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(V, "_regroup", lambda points, widest: turns.append(len(points)) or regroup(points, widest))
     monkeypatch.setattr(V, "REGROUP_ROWS", 100)
     monkeypatch.setattr(V, "VISITS", 2)
-    monkeypatch.setattr(V, "BROADCAST_BYTES", 4 * 32 * 250)
-    monkeypatch.setattr(V, "FOLD", 2)
+    monkeypatch.setattr(V, "PIECE_BYTES", 4 * 32 * 500)
+    monkeypatch.setattr(V, "FOLD", 0)
     got = V.similar_vectors(frame(spark, vectors), 0.82, pivots=32, group_rows=100, block_rows=200).collect()
     s = scores_of(vectors, vectors)
     assert len(turns) == V.REGROUPINGS
